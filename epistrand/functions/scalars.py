@@ -8,19 +8,22 @@ _DIGITS = r"[0-9](_?[0-9])*"
 _NUMERAL = rf"^[+-]?({_DIGITS}([.]({_DIGITS})?)?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?$"
 _NAN = r"(?i)^[+-]?nan$"
 _INFINITY = r"(?i)^[+-]?inf(inity)?$"
-_BLANKS = r"^\s+|\s+$"
+_PLAIN = "0123456789+-.eE"
+_BLANKS = " \t\n\r\f\v"
 
 
 def strip_whitespace(text: Column) -> Column:
     """Drop blanks of every kind at both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(text, _BLANKS, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def to_number(text: Column) -> Column:
     """Number written in ``text``, or NULL: ``'<5'``, ``'1.5d'`` and ``'0x10'`` are no numbers."""
     text = strip_whitespace(text.cast("string"))
     return (
-        F.when(text.rlike(_NUMERAL), F.translate(text, "_", "").try_cast("double"))
+        # Nearly every value, without a pattern match.
+        F.when(F.translate(text, _PLAIN, "") == "", text.try_cast("double"))
+        .when(text.rlike(_NUMERAL), F.translate(text, "_", "").try_cast("double"))
         .when(text.rlike(_NAN), F.lit(float("nan")))
         .when(text.rlike(_INFINITY), text.try_cast("double"))
     )

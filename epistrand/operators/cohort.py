@@ -6,8 +6,6 @@ hash ranges, and turn the rank into one cut key per label; the wide sequence tab
 then only filtered, never shuffled.
 """
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +156,11 @@ def label_distribution(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, "label").agg(F.count("*").alias("n"))
 
 
+def batch_count(df: DataFrame, batch: int = 32) -> DataFrame:
+    """``steps``: whole batches in one pass over ``df``."""
+    return df.agg(F.floor(F.count("*") / F.lit(batch)).alias("steps"))
+
+
 def steps_per_epoch(df: DataFrame, batch: int = 32) -> int:
-    """Whole batches in one pass over ``df``."""
-    return math.floor(df.count() / batch)
+    """As :func:`batch_count`, as a number."""
+    return batch_count(df, batch).first()["steps"]

@@ -1,24 +1,25 @@
 """Laboratory and vital-sign records to binned events."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from epistrand.functions.scalars import strip_whitespace, to_number
 from epistrand.operators.skew import lookup_join
 from epistrand.schemas import BIN_EDGES
+from epistrand.sources.store import local_table
 
 
 def threshold_table(spark: SparkSession, thresholds: dict = BIN_EDGES) -> DataFrame:
     """One row per test: ``test_name, edges``."""
-    schema = StructType(
-        [StructField("test_name", StringType()), StructField("edges", ArrayType(DoubleType()))]
-    )
-    rows = [(name, [float(e) for e in edges]) for name, edges in thresholds.items()]
-    for name, edges in rows:
-        if edges != sorted(edges):
+    for name, edges in thresholds.items():
+        if list(edges) != sorted(edges):
             raise ValueError(f"bin edges of {name} must ascend")
-    return spark.createDataFrame(rows, schema)
+    return local_table(
+        spark,
+        test_name=pa.array(list(thresholds), pa.string()),
+        edges=pa.array([[float(e) for e in edges] for edges in thresholds.values()], pa.list_(pa.float64())),
+    )
 
 
 def labs_to_measurements(labs: DataFrame) -> DataFrame:
@@ -51,36 +52,23 @@ def with_value(measurements: DataFrame) -> DataFrame:
     return measurements.filter(F.col("TEST_VALUE").isNotNull())
 
 
-def _crosswalk_sets(crosswalk):
-    """Names with the set of their LOINC codes; names without any code do not count."""
+def _loincs_of_names(crosswalk):
+    """``name, loincs``: the set of LOINC codes of each name; names without any code do not count."""
     pairs = crosswalk.select(
         strip_whitespace(F.col("SUNQUEST_NAME")).alias("name"), F.col("LOINC_CODE").alias("loinc")
     ).filter(F.col("name").isNotNull() & F.col("loinc").isNotNull())
-    pairs = pairs.distinct()
-    sets = pairs.groupBy("name").agg(F.collect_set("loinc").alias("loincs"))
-    return pairs, sets
-
-
-def _canonical_table(spark, canonical):
-    rows = [(name, order) for order, name in enumerate(canonical)]
-    return spark.createDataFrame(rows, "canonical string, ord int")
+    return pairs.groupBy("name").agg(F.collect_set("loinc").alias("loincs"))
 
 
-def _synonym_candidates(crosswalk, canonical):
-    """For each canonical name with exactly one LOINC code, the other names of that code."""
-    pairs, sets = _crosswalk_sets(crosswalk)
-    names = _canonical_table(crosswalk.sparkSession, canonical)
-    chosen = (
-        names.join(sets, F.col("canonical") == F.col("name"))
-        .filter(F.size("loincs") == 1)
-        .select("canonical", "ord", F.col("loincs")[0].alias("loinc"))
+def _canonical_codes(names, canonical):
+    """``canonical, ord, loinc``: canonical names with exactly one LOINC code."""
+    table = local_table(
+        names.sparkSession,
+        canonical=pa.array(list(canonical), pa.string()),
+        ord=pa.array(range(len(canonical)), pa.int32()),
     )
-    return (
-        chosen.join(pairs, "loinc")
-        .filter(F.col("name") != F.col("canonical"))
-        .join(sets, "name")
-        .select("canonical", "ord", "name", "loincs")
-    ), names, sets
+    found = table.join(names, F.col("canonical") == F.col("name"))
+    return found.filter(F.size("loincs") == 1).select("canonical", "ord", F.col("loincs")[0].alias("loinc"))
 
 
 def synonym_map(crosswalk: DataFrame, canonical=tuple(BIN_EDGES)) -> DataFrame:
@@ -89,9 +77,11 @@ def synonym_map(crosswalk: DataFrame, canonical=tuple(BIN_EDGES)) -> DataFrame:
     A name with several LOINC codes is never a synonym. If a synonym belongs to several
     canonical names, the one listed last counts.
     """
-    candidates, _, _ = _synonym_candidates(crosswalk, canonical)
+    names = _loincs_of_names(crosswalk)
+    single = names.filter(F.size("loincs") == 1).select("name", F.col("loincs")[0].alias("loinc"))
     return (
-        candidates.filter(F.size("loincs") == 1)
+        single.join(_canonical_codes(names, canonical), "loinc")
+        .filter(F.col("name") != F.col("canonical"))
         .groupBy(F.col("name").alias("synonym"))
         .agg(F.max_by("canonical", "ord").alias("canonical"))
     )
@@ -99,9 +89,12 @@ def synonym_map(crosswalk: DataFrame, canonical=tuple(BIN_EDGES)) -> DataFrame:
 
 def ambiguous_names(crosswalk: DataFrame, canonical=tuple(BIN_EDGES)) -> DataFrame:
     """``name, loincs``: canonical names and would-be synonyms with several LOINC codes."""
-    candidates, names, sets = _synonym_candidates(crosswalk, canonical)
-    own = names.join(sets, F.col("canonical") == F.col("name")).select("name", "loincs")
-    both = own.unionByName(candidates.select("name", "loincs")).filter(F.size("loincs") > 1)
+    names = _loincs_of_names(crosswalk)
+    several = names.filter(F.size("loincs") > 1)
+    codes = several.select("name", "loincs", F.explode("loincs").alias("loinc"))
+    would_be = codes.join(_canonical_codes(names, canonical).select("loinc"), "loinc", "left_semi")
+    own = several.filter(F.col("name").isin(list(canonical)))
+    both = own.unionByName(would_be.select("name", "loincs"))
     return both.select("name", F.array_sort("loincs").alias("loincs")).distinct()
 
 

@@ -1,14 +1,18 @@
 """Token and age vocabularies as tables ``token, idx``."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistrand.operators.skew import running_before
 from epistrand.schemas import PAD, SPECIAL_TOKENS, UNK
+from epistrand.sources.store import local_table
 
 
 def _symbols(spark, symbols):
-    return spark.createDataFrame([(s, i) for i, s in enumerate(symbols)], "token string, idx int")
+    return local_table(
+        spark, token=pa.array(symbols, pa.string()), idx=pa.array(range(len(symbols)), pa.int32())
+    )
 
 
 def build_vocab(sequences: DataFrame, column: str = "code") -> DataFrame:

@@ -2,7 +2,13 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+
+def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A few fixed rows as part of the plan itself."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def materialize(df: DataFrame) -> DataFrame:
