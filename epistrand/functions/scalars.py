@@ -32,12 +32,11 @@ def to_number(text: Column) -> Column:
 def age_number(age: Column, highest: int = 1321) -> Column:
     """Age as an integer no greater than ``highest``; 0 where the text is not all digits."""
     digits = F.regexp_replace(age.cast("string"), "^0+(?=[0-9])", "")
-    value = (
-        F.when(~digits.rlike("^[0-9]+$"), F.lit(0))
+    return (
+        F.when(digits.isNull() | ~digits.rlike("^[0-9]+$"), F.lit(0))
         .when(F.length(digits) > 9, F.lit(highest))
         .otherwise(F.least(digits.try_cast("int"), F.lit(highest)))
     )
-    return F.coalesce(value, F.lit(0))
 
 
 def years_before(day: Column, years) -> Column:

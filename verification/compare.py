@@ -44,6 +44,16 @@ def _rows(columns, rows):
     return Counter(tuple(_plain(r[i]) for i in order) for r in rows), sorted(columns)
 
 
+# DuckDB names of the Spark types that results have.
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE"}
+
+
+def _types(df, result):
+    got = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    want = {d[0]: str(d[1]) for d in result.description}
+    return {c: (got[c], want[c]) for c in got if got[c] != want[c]}
+
+
 def compare(name, spark, con, sf_dir):
     """None if the results are equal, else what differs."""
     df = run(name, spark, sf_dir)
@@ -54,6 +64,8 @@ def compare(name, spark, con, sf_dir):
     want, expected = _rows([d[0] for d in result.description], result.fetchall())
     if columns != expected:
         return f"columns {columns} instead of {expected}"
+    if _types(df, result):
+        return f"types {_types(df, result)}"
     if got != want:
         extra, lack = got - want, want - got
         return f"{sum(extra.values())} rows too many, {sum(lack.values())} missing of {sum(want.values())}: {list(extra)[:2]} {list(lack)[:2]}"

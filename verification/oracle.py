@@ -79,7 +79,7 @@ FROM (SELECT patid{extra}, code[greatest(len(code) - {length - 2}, 1):] AS c, ag
 def _auc(source, group):
     return f"""
 SELECT {group}, sum(CASE WHEN label = 1 THEN r + (ties - 1) / 2.0 ELSE 0 END) AS ranks, count(*) AS n_patients,
-  sum(label) AS n_cases, count(*) - sum(label) AS n_controls
+  CAST(sum(label) AS BIGINT) AS n_cases, CAST(count(*) - sum(label) AS BIGINT) AS n_controls
 FROM (SELECT {group}, label, rank() OVER (PARTITION BY {group} ORDER BY prob) AS r,
         count(*) OVER (PARTITION BY {group}, prob) AS ties FROM {source}) GROUP BY {group}"""
 
@@ -220,7 +220,7 @@ SELECTS = {
     "reference_dates": "SELECT * FROM refs",
     "censor_at_horizon": "SELECT * FROM horizon_events",
     "horizon_test_sets": f"SELECT years, patid, label, {_SEQUENCE_TEXT} FROM horizons",
-    "horizon_report": "SELECT years, count(*) AS n_kept, sum(label) AS n_cases, count(*) - sum(label) AS n_controls, (SELECT count(*) FROM test_ids) - count(*) AS n_dropped FROM horizons GROUP BY years",
+    "horizon_report": "SELECT years, count(*) AS n_kept, CAST(sum(label) AS BIGINT) AS n_cases, CAST(count(*) - sum(label) AS BIGINT) AS n_controls, (SELECT count(*) FROM test_ids) - count(*) AS n_dropped FROM horizons GROUP BY years",
     "reference_disagreements": "SELECT r.is_case, t.label, count(*) AS n FROM refs r JOIN test_ids t ON t.patid = r.PATIENT_ID WHERE r.is_case <> t.label GROUP BY 1, 2",
     "patient_sequences": f"SELECT patid, {_SEQUENCE_TEXT} FROM seqs",
     "build_visits": """
@@ -276,13 +276,13 @@ LEFT JOIN (SELECT patid, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS toke
     "binary_metrics": "SELECT horizon, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(specificity, 9) AS specificity FROM metrics",
     "roc_auc": f"SELECT horizon, round({_AUC_VALUE}, 9) AS roc_auc FROM aucs",
     "single_class_groups": """
-SELECT CAST(floor(prob * 100) AS INT) AS horizon, count(*) AS n_patients, sum(label) AS n_cases, count(*) - sum(label) AS n_controls
+SELECT CAST(floor(prob * 100) AS INT) AS horizon, count(*) AS n_patients, CAST(sum(label) AS BIGINT) AS n_cases, CAST(count(*) - sum(label) AS BIGINT) AS n_controls
 FROM predictions GROUP BY 1 HAVING sum(label) IN (0, count(*))""",
     "metrics_by_horizon": f"""
 SELECT a.horizon, a.n_patients, a.n_cases, a.n_controls, round({_AUC_VALUE}, 9) AS roc_auc, round(m.f1, 9) AS f1, round(m.precision, 9) AS precision,
   round(m.recall, 9) AS recall, round(m.specificity, 9) AS specificity FROM aucs a JOIN metrics m ON m.horizon = a.horizon WHERE n_cases > 0 AND n_controls > 0""",
     "smooth": """
-SELECT run_id, cnt, round(smoothed, 6) AS smoothed FROM (
+SELECT run_id, cnt, CAST(CAST(smoothed AS FLOAT) AS DOUBLE) AS smoothed FROM (
 WITH RECURSIVE s AS (SELECT run_id, cnt, loss, row_number() OVER (PARTITION BY run_id ORDER BY cnt) AS i FROM training_log),
 f AS (SELECT run_id, cnt, i, loss AS smoothed FROM s WHERE i = 1
   UNION ALL SELECT s.run_id, s.cnt, s.i, 0.9 * f.smoothed + (1 - 0.9) * s.loss FROM f JOIN s ON s.run_id = f.run_id AND s.i = f.i + 1) SELECT * FROM f)""",

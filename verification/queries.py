@@ -295,8 +295,9 @@ QUERIES = {
         ["horizon", "n_patients", "n_cases", "n_controls"],
         ["roc_auc", "f1", "precision", "recall", "specificity"],
     ),
-    "smooth": lambda i: _rounded(
-        evaluate.smooth(i.views.training_log, "run_id", "cnt", "loss"), ["run_id", "cnt"], ["smoothed"], 6
+    # Rounded to single precision: the values have few decimals, so decimal rounding would meet ties.
+    "smooth": lambda i: evaluate.smooth(i.views.training_log, "run_id", "cnt", "loss").select(
+        "run_id", "cnt", F.col("smoothed").cast("float").cast("double").alias("smoothed")
     ),
     "masked_precision": lambda i: _rounded(evaluate.masked_precision(_masked_scores(i)), [], ["precision"]),
     "global_steps": lambda i: evaluate.global_steps(i.step_log, 1000).select("epoch", "cnt", "global_step", "loss"),
