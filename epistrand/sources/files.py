@@ -7,33 +7,44 @@ from pyspark.sql.types import StringType, StructField, StructType
 from epistrand.functions.scalars import bucket_of
 
 
-def _read_csv(spark, path, schema, mode, sep):
-    """Read the declared columns by name; further columns of the file are ignored."""
+def _csv_columns(spark, path, schema, sep):
+    """Names of all columns of a file; only its first line is read."""
     header = spark.read.option("header", True).option("sep", sep).csv(path).columns
-    declared = {f.name: f for f in schema.fields}
-    missing = [name for name in declared if name not in header]
+    missing = [name for name in schema.names if name not in header]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
-    whole = StructType([declared.get(name, StructField(name, StringType(), True)) for name in header])
-    reader = (
-        spark.read.schema(whole)
-        .option("header", True)
-        .option("sep", sep)
-        .option("mode", mode)
-        # A row is good or bad as a whole, whichever columns a query uses.
-        .option("columnPruning", False)
-    )
-    return reader.csv(path).select(*declared)
+    return header
+
+
+def _read_csv(spark, path, fields, mode, sep):
+    reader = spark.read.schema(StructType(fields)).option("header", True).option("sep", sep)
+    # A row with too few or too many values is bad, whichever columns a query uses.
+    return reader.option("mode", mode).option("columnPruning", False).csv(path)
 
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
-    """CSV with a header; rows that do not fit the schema are left out."""
-    return _read_csv(spark, path, schema, "DROPMALFORMED", sep)
+    """CSV with a header; rows that do not fit the schema are left out.
+
+    Columns are found by name; further columns of the file are ignored. Values are read as
+    text and converted here, since the reader itself looks only at the columns in use.
+    """
+    header = _csv_columns(spark, path, schema, sep)
+    table = _read_csv(spark, path, [StructField(name, StringType()) for name in header], "DROPMALFORMED", sep)
+    good = F.lit(True)
+    columns = []
+    for field in schema.fields:
+        value = F.col(f"`{field.name}`").try_cast(field.dataType)
+        columns.append(value.alias(field.name))
+        if field.dataType != StringType():
+            good = good & (F.col(f"`{field.name}`").isNull() | value.isNotNull())
+    return table.filter(good).select(*columns)
 
 
 def read_csv_strict(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
     """CSV with a header; a row that does not fit the schema fails the job."""
-    return _read_csv(spark, path, schema, "FAILFAST", sep)
+    declared = {f.name: f for f in schema.fields}
+    fields = [declared.get(n, StructField(n, StringType())) for n in _csv_columns(spark, path, schema, sep)]
+    return _read_csv(spark, path, fields, "FAILFAST", sep).select(*[f"`{n}`" for n in declared])
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:

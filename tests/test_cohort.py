@@ -1,0 +1,89 @@
+import hashlib
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from epistrand.operators import cohort as H
+
+
+def key(patid, seed):
+    return hashlib.md5(f"{patid}:{seed}".encode()).hexdigest(), patid
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.createDataFrame([(f"p{i}", int(i % 4 == 0)) for i in range(101)], "patid string, label int")
+
+
+def test_recode(spark):
+    df = spark.createDataFrame([("1_NoD",), ("2_Type2",), ("3_Other",), (None,)], "AIM_GROUP string")
+    assert [r.label for r in H.recode_label(df).collect()] == [0, 1, None, None]
+    assert [r.label for r in H.recode_label(df, {}).collect()] == [None] * 4
+
+
+def test_cohort_and_conflicts(spark):
+    seqs = spark.createDataFrame(
+        [("a", ["x", "SEP"]), ("b", ["x", "SEP"]), ("c", ["x", "SEP"]), ("short", ["x"]), ("d", ["x", "SEP"])],
+        "patid string, code array<string>",
+    )
+    dx = spark.createDataFrame(
+        [("a", "1_NoD"), ("a", "1_NoD"), ("b", "1_NoD"), ("b", "2_Type2"), ("c", "3_Other"), ("short", "1_NoD"),
+         ("d", "2_Type2"), ("d", "3_Other"), ("nobody", "1_NoD")],
+        "PATIENT_ID string, AIM_GROUP string",
+    )
+    assert rows(H.labelled_cohort(seqs, dx)) == [("a", 0), ("d", 1)]
+    assert rows(H.labelled_cohort(seqs, dx, conflicts="keep")) == [("a", 0), ("b", 0), ("b", 1), ("d", 1)]
+    assert rows(H.conflicting_labels(dx)) == [("b", [0, 1])]
+    with pytest.raises(ValueError):
+        H.labelled_cohort(seqs, dx, conflicts="drop")
+
+
+def test_split_is_stratified_disjoint_and_repeatable(people):
+    split = H.stratified_split(people, 0.2, 42)
+    got = {r.patid: (r.label, r.split) for r in split.collect()}
+    assert len(got) == 101
+    for label in (0, 1):
+        ids = sorted((p for p, (l, _) in got.items() if l == label), key=lambda p: key(p, 42))
+        cut = math.ceil(0.2 * len(ids))
+        assert [got[p][1] for p in ids] == ["test"] * cut + ["train"] * (len(ids) - cut)
+    assert rows(H.stratified_split(people.repartition(7), 0.2, 42)) == rows(split)
+    other = {r.patid for r in H.stratified_split(people, 0.2, 1).filter("split = 'test'").collect()}
+    assert other != {p for p, (_, s) in got.items() if s == "test"}
+
+
+def test_undersample(people):
+    balanced = H.undersample(people, 42)
+    assert rows(H.label_distribution(balanced)) == [(0, 26), (1, 26)]
+    zeros = sorted((r.patid for r in people.collect() if r.label == 0), key=lambda p: key(p, 42))[:26]
+    assert sorted(r.patid for r in balanced.filter("label = 0").collect()) == sorted(zeros)
+    with pytest.raises(ValueError):
+        H.undersample(people.withColumn("label", 1 - F.col("label")))
+    assert H.undersample(people.filter("label = 0")).count() == 0
+
+
+def test_undersampling_does_not_shuffle_the_sequences(people):
+    wide = people.withColumn("code", F.array(F.lit("x")))
+    plan = H.undersample(wide, 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("scalar-subquery")[0]
+
+
+def test_shuffle_sample_and_batches(people):
+    ids = [r.patid for r in people.collect()]
+    assert [r.patid for r in H.shuffle(people, 5).collect()] == sorted(ids, key=lambda p: key(p, 5))
+    assert [r.patid for r in H.sample_patients(people, 10, 5).collect()] == sorted(ids, key=lambda p: key(p, 5))[:10]
+    assert H.steps_per_epoch(people, 32) == 3
+
+
+def test_restrict(people):
+    wanted = people.filter("label = 1").union(people.filter("label = 1"))
+    df = people.withColumnRenamed("patid", "PATIENT_ID")
+    assert H.restrict_to(df, wanted).count() == 26
+
+
+def test_write_splits(spark, people, tmp_path):
+    seqs = people.select("patid", F.array(F.lit("x")).alias("code"))
+    H.write_splits(seqs, H.stratified_split(people), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(back.groupBy("split").count()) == [("test", 21), ("train", 80)] and back.count() == 101
