@@ -3,11 +3,11 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Decimal numerals, with single underscores allowed between digits.
+# Decimal numerals, with single underscores allowed between digits, and the names of
+# the values that are no numerals.
 _DIGITS = r"[0-9](_?[0-9])*"
-_NUMERAL = rf"^[+-]?({_DIGITS}([.]({_DIGITS})?)?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?$"
-_NAN = r"(?i)^[+-]?nan$"
-_INFINITY = r"(?i)^[+-]?inf(inity)?$"
+_NUMERAL = rf"[+-]?({_DIGITS}([.]({_DIGITS})?)?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?"
+_NUMBER = rf"^({_NUMERAL}|(?i:[+-]?nan|[+-]?inf(inity)?))$"
 _PLAIN = "0123456789+-.eE"
 _BLANKS = " \t\n\r\f\v"
 
@@ -20,12 +20,13 @@ def strip_whitespace(text: Column) -> Column:
 def to_number(text: Column) -> Column:
     """Number written in ``text``, or NULL: ``'<5'``, ``'1.5d'`` and ``'0x10'`` are no numbers."""
     text = strip_whitespace(text.cast("string"))
+    special = F.when(F.lower(text).endswith("nan"), F.lit(float("nan"))).otherwise(
+        F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    )
     return (
         # Nearly every value, without a pattern match.
         F.when(F.translate(text, _PLAIN, "") == "", text.try_cast("double"))
-        .when(text.rlike(_NUMERAL), F.translate(text, "_", "").try_cast("double"))
-        .when(text.rlike(_NAN), F.lit(float("nan")))
-        .when(text.rlike(_INFINITY), text.try_cast("double"))
+        .when(text.rlike(_NUMBER), special)
     )
 
 

@@ -79,7 +79,7 @@ def leakage_examples(events: DataFrame, dx_dates: DataFrame, codes: list) -> Dat
     index = earliest_index(dx_dates).join(
         dx_dates.groupBy("PATIENT_ID").agg(F.count("*").alias("n_index_rows")), "PATIENT_ID"
     )
-    return lookup_join(events_with_codes(events, codes), index, "PATIENT_ID", "left").select(
+    return lookup_join(events_with_codes(events, codes), index, "PATIENT_ID", "left", bound=dx_dates).select(
         "PATIENT_ID", "DATE", "CODE", "Index_Date", "n_index_rows"
     )
 

@@ -25,11 +25,11 @@ def censor_at_index(events: DataFrame, dx_dates: DataFrame, mode: str = "earlies
     never the default.
     """
     if mode == "earliest":
-        joined = lookup_join(events, earliest_index(dx_dates), "PATIENT_ID", "left")
+        joined = lookup_join(events, earliest_index(dx_dates), "PATIENT_ID", "left", bound=dx_dates)
         kept = joined.filter(F.col("Index_Date").isNull() | (F.col("DATE") < F.col("Index_Date")))
         return kept.select(*events.columns)
     if mode == "any_row":
-        joined = lookup_join(events, _index_days(dx_dates), "PATIENT_ID", "left")
+        joined = lookup_join(events, _index_days(dx_dates), "PATIENT_ID", "left", bound=dx_dates)
         later = F.aggregate(
             "days",
             F.lit(0).cast("long"),

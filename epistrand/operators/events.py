@@ -57,5 +57,5 @@ def age_text(year, birth):
 def add_age(events: DataFrame, demographics: DataFrame) -> DataFrame:
     """Events with ``AGE`` as text."""
     births = year_of_birth(events, demographics)
-    joined = lookup_join(events, births, "PATIENT_ID", "inner")
+    joined = lookup_join(events, births, "PATIENT_ID", "inner", bound=demographics)
     return joined.select(*events.columns, age_text(F.year("DATE"), F.col("YOB")).alias("AGE"))

@@ -98,10 +98,13 @@ def ambiguous_names(crosswalk: DataFrame, canonical=tuple(BIN_EDGES)) -> DataFra
     return both.select("name", F.array_sort("loincs").alias("loincs")).distinct()
 
 
-def normalize_names(measurements: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Replace each synonym in TEST_NAME by its canonical name."""
+def normalize_names(measurements: DataFrame, synonyms: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """Replace each synonym in TEST_NAME by its canonical name.
+
+    ``bound`` may be the crosswalk that ``synonyms`` is made from; see ``lookup_join``.
+    """
     lookup = synonyms.select(F.col("synonym").alias("TEST_NAME"), F.col("canonical"))
-    joined = lookup_join(measurements, lookup, "TEST_NAME", "left")
+    joined = lookup_join(measurements, lookup, "TEST_NAME", "left", bound=bound)
     name = F.coalesce("canonical", "TEST_NAME").alias("TEST_NAME")
     return joined.select(*[name if c == "TEST_NAME" else F.col(c) for c in measurements.columns])
 
@@ -146,5 +149,5 @@ def discretize(
     No shuffle: every lookup table has one row per test or synonym.
     """
     rows = with_value(union_measurements(labs_to_measurements(labs), vitals_to_measurements(vitals)))
-    named = normalize_names(rows, synonym_map(crosswalk, tuple(thresholds)))
+    named = normalize_names(rows, synonym_map(crosswalk, tuple(thresholds)), bound=crosswalk)
     return binned_to_events(bin_values(keep_known_tests(named, thresholds), thresholds))

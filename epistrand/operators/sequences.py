@@ -96,9 +96,10 @@ def _collect_parts(runs, keys, part_tokens, sep_age):
         copies.alias("copies"), has_sep.alias("sep"),
     ]
     piece = F.struct(*fields, *([F.col("sep_age")] if sep_age == "sep_age" else []))
-    collected = pieces.groupBy(*keys, F.col("part").cast("int").alias("part"), "n_tokens", "n_visits").agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces")
-    )
+    group = [*keys, "part", "n_tokens", "n_visits"]
+    # Rows arrive in groups, so that each array is filled in one go.
+    pieces = pieces.select(*group, piece.alias("piece")).repartition(*group).sortWithinPartitions(*group)
+    collected = pieces.groupBy(*group).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def spread(value, closing):
         def one(p):
@@ -108,7 +109,7 @@ def _collect_parts(runs, keys, part_tokens, sep_age):
         return F.flatten(F.transform("pieces", one))
 
     return collected.select(
-        *keys, "part", "n_tokens", "n_visits",
+        *keys, F.col("part").cast("int").alias("part"), "n_tokens", "n_visits",
         spread(lambda p: p["code"], lambda p: F.lit(SEP)).alias("code"),
         spread(lambda p: p["age"], lambda p: p[sep_age]).alias("age"),
     )

@@ -45,14 +45,21 @@ def salted_join(
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a table that is unique on ``key``.
 
     A lookup table that is counted to be small is broadcast, so that ``rows`` are not
-    shuffled at all; a larger one goes through :func:`salted_join`.
+    shuffled at all; a larger one goes through :func:`salted_join`. ``bound`` is a table
+    with at least as many rows that is cheaper to count, such as the one that ``lookup``
+    is made from.
     """
-    if fits_in_broadcast(lookup, max_rows):
+    if fits_in_broadcast(lookup if bound is None else bound, max_rows):
         return rows.join(F.broadcast(lookup), key, how)
     return salted_join(rows, lookup, key, how)
 

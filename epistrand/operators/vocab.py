@@ -18,12 +18,12 @@ def _symbols(spark, symbols):
 def build_vocab(sequences: DataFrame, column: str = "code") -> DataFrame:
     """Vocabulary of a token column: PAD, UNK, CLS, SEP, MASK are 0 to 4, then all others in alphabetical order.
 
-    Tokens are made distinct map-side; numbering runs per leading part of the token.
+    Tokens are made distinct map-side; they are numbered within their first characters.
     """
     tokens = sequences.select(F.explode(column).alias("token")).distinct()
     others = tokens.filter(F.col("token").isNotNull() & ~F.col("token").isin(SPECIAL_TOKENS))
-    others = others.withColumn("_head", F.substring("token", 1, 12))
-    ranked = running_before(others, [], ["_head"], [F.col("token")], F.lit(1), "_before")
+    others = others.withColumns({"_head": F.substring("token", 1, 4), "_stem": F.substring("token", 1, 12)})
+    ranked = running_before(others, [], ["_head", "_stem"], [F.col("token")], F.lit(1), "_before")
     numbered = ranked.select("token", (F.col("_before") + len(SPECIAL_TOKENS)).cast("int").alias("idx"))
     return _symbols(sequences.sparkSession, SPECIAL_TOKENS).unionByName(numbered)
 

@@ -33,15 +33,23 @@ def _aged_days(days, demographics):
     last = F.max(F.when(year_of_day(F.col("day")).isNotNull(), F.col("day"))).over(
         Window.partitionBy("PATIENT_ID")
     )
-    known = days.withColumn("_last", last).join(
-        demographics.select("PATIENT_ID", "AGE_AT_END"), "PATIENT_ID"
-    )
+    known = days.withColumn("_last", last).join(_one_row_each(demographics), "PATIENT_ID")
     birth = year_of_day(F.col("_last")) - F.col("AGE_AT_END")
     return known.withColumn("sep_age", age_text(year_of_day(F.col("day")), birth)).drop(
         "_last", "AGE_AT_END"
     )
 
 
+def _one_row_each(demographics):
+    """``PATIENT_ID, AGE_AT_END``; fails if a patient is listed twice, as ages would be ambiguous."""
+    twice = F.raise_error(F.concat(F.lit("several demographic rows of patient "), F.col("PATIENT_ID")))
+    age = F.when(F.col("_n") > 1, twice.cast("int")).otherwise(F.col("AGE_AT_END"))
+    counted = demographics.groupBy("PATIENT_ID").agg(
+        F.count("*").alias("_n"), F.max("AGE_AT_END").alias("AGE_AT_END")
+    )
+    return counted.select("PATIENT_ID", age.alias("AGE_AT_END"))
+
+
 def _censored_days(counts, dx_dates):
     days = counts.groupBy("PATIENT_ID", "day").agg(F.sum("n").alias("n_day"))
     joined = days.join(earliest_index(dx_dates), "PATIENT_ID", "left")
@@ -55,7 +63,7 @@ def patient_sequences(
 ) -> DataFrame:
     """The same as ``censor_at_index``, ``add_age`` and ``build_sequences`` one after the other.
 
-    ``demographics`` must have one row per patient.
+    ``demographics`` must have one row per patient; otherwise the job fails.
     """
     counts = count_events(events)
     days = _aged_days(_censored_days(counts, dx_dates), demographics)

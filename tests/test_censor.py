@@ -92,6 +92,8 @@ def test_plans_agree_with_the_operators_one_by_one(spark, tables):
     assert by_id["case"].age == ["45", "45", "50", "50", "50"]
     assert by_id["undated"].age == ["0", "0"]
     assert "nodemo" not in by_id
+    with pytest.raises(Exception, match="several demographic rows of patient case"):
+        patient_sequences(events, index, demo.union(demo.filter("PATIENT_ID = 'case'"))).collect()
 
     test = spark.createDataFrame([("case", 1), ("control", 0), ("undated", 1), ("nodemo", 0)], "patid string, label int")
     sets = horizon_test_sets(censored, demo, index, test, [1, 2])

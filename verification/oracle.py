@@ -276,7 +276,7 @@ LEFT JOIN (SELECT patid, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS toke
     "binary_metrics": "SELECT horizon, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(specificity, 9) AS specificity FROM metrics",
     "roc_auc": f"SELECT horizon, round({_AUC_VALUE}, 9) AS roc_auc FROM aucs",
     "single_class_groups": """
-SELECT CAST(floor(prob * 100) AS INT) AS horizon, count(*) AS n_patients, CAST(sum(label) AS BIGINT) AS n_cases, CAST(count(*) - sum(label) AS BIGINT) AS n_controls
+SELECT CAST(floor(CAST(patid AS BIGINT) / 4) AS BIGINT) AS horizon, count(*) AS n_patients, CAST(sum(label) AS BIGINT) AS n_cases, CAST(count(*) - sum(label) AS BIGINT) AS n_controls
 FROM predictions GROUP BY 1 HAVING sum(label) IN (0, count(*))""",
     "metrics_by_horizon": f"""
 SELECT a.horizon, a.n_patients, a.n_cases, a.n_controls, round({_AUC_VALUE}, 9) AS roc_auc, round(m.f1, 9) AS f1, round(m.precision, 9) AS precision,

@@ -287,8 +287,9 @@ QUERIES = {
         evaluate.binary_metrics(i.preds), ["horizon"], ["precision", "recall", "f1", "specificity"]
     ),
     "roc_auc": lambda i: _rounded(evaluate.roc_auc(i.preds), ["horizon"], ["roc_auc"]),
+    # Groups of four orders, many of which have one class only.
     "single_class_groups": lambda i: evaluate.single_class_groups(
-        i.preds.withColumn("horizon", F.floor(F.col("prob") * 100).cast("int"))
+        i.preds.withColumn("horizon", F.floor(F.col("patid").cast("bigint") / 4))
     ),
     "metrics_by_horizon": lambda i: _rounded(
         evaluate.metrics_by_horizon(i.preds),

@@ -1,5 +1,7 @@
 """The raw inputs of the library, derived from the test tables (see FIXTURES.md)."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 # One text serves Spark SQL and DuckDB.
@@ -49,6 +51,12 @@ THRESHOLDS = {
 _TABLES = ["customer", "part", "orders", "lineitem", "events"]
 
 
+@functools.cache
+def _open(spark, application, path):
+    """The table, not its rows: saves reading the schema again for every query."""
+    return spark.read.parquet(path)
+
+
 class Views:
     """The views over one directory of test tables, as DataFrames: ``views.deid_dem`` and so on."""
 
@@ -57,7 +65,8 @@ class Views:
         self._dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        path = f"{self._dir}/{name}.parquet"
+        return _open(self.spark, self.spark.sparkContext.applicationId, path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
