@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from epistrand.functions.scalars import calendar_years, event_kind
 from epistrand.operators.censor import earliest_index
 from epistrand.operators.events import events_with_codes, patient_events
+from epistrand.operators.sequences import once_each
 from epistrand.operators.skew import lookup_join
 
 
@@ -86,9 +87,8 @@ def leakage_examples(events: DataFrame, dx_dates: DataFrame, codes: list) -> Dat
 
 def horizon_report(sets: DataFrame, test: DataFrame) -> DataFrame:
     """Per horizon: patients kept, cases, controls and patients dropped."""
-    kept = sets.filter(F.col("part") == 0) if "part" in sets.columns else sets
     total = test.agg(F.countDistinct("patid").alias("n")).scalar()
-    return kept.groupBy("years").agg(
+    return once_each(sets).groupBy("years").agg(
         F.count("*").alias("n_kept"),
         F.sum("label").alias("n_cases"),
         (F.count("*") - F.sum("label")).alias("n_controls"),

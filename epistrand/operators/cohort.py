@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistrand.functions.scalars import seeded_key
-from epistrand.operators.sequences import min_tokens
+from epistrand.operators.sequences import min_tokens, once_each
 from epistrand.operators.skew import lookup_join, running_before
 from epistrand.schemas import LABEL_OF_GROUP
 
@@ -69,9 +69,7 @@ def labelled_cohort(
         )
     elif conflicts != "keep":
         raise ValueError("conflicts must be 'exclude' or 'keep'")
-    enough = min_tokens(sequences)
-    if "part" in sequences.columns:
-        enough = enough.filter(F.col("part") == 0)
+    enough = once_each(min_tokens(sequences))
     return attach_labels(enough.select("patid"), labels).select("patid", "label")
 
 
@@ -106,7 +104,7 @@ def stratified_split(df: DataFrame, test: float = 0.2, seed: int = 42) -> DataFr
 
     ``df`` has ``patid, label``; the label takes few values.
     """
-    cuts = seeded_cuts(df, lambda n: F.ceil(n * F.lit(test)), seed)
+    cuts = seeded_cuts(once_each(df), lambda n: F.ceil(n * F.lit(test)), seed)
     # One row per label.
     joined = df.join(F.broadcast(cuts), "label", "left")
     is_test = F.coalesce(seeded_key(F.col("patid"), seed) <= F.col("cut"), F.lit(False))
@@ -127,15 +125,17 @@ def split_sequences(sequences: DataFrame, split: DataFrame) -> DataFrame:
 def undersample(df: DataFrame, seed: int = 42) -> DataFrame:
     """All rows of label 1 and as many of label 0, drawn without replacement.
 
-    ``df`` has ``patid, label``. Raises if there are fewer rows of label 0.
+    ``df`` has ``patid, label``, one sequence per patient. Raises if there are fewer of label 0.
     """
-    sizes = {r["label"]: r["n"] for r in df.filter(F.col("label").isin(0, 1)).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    whole = once_each(df)
+    counted = label_distribution(df.filter(F.col("label").isin(0, 1))).collect()  # two rows
+    sizes = {r["label"]: r["n"] for r in counted}
     wanted, available = sizes.get(1, 0), sizes.get(0, 0)
     if wanted > available:
         raise ValueError(f"cannot draw {wanted} of {available} rows of label 0")
     if wanted == 0:
         return df.filter(F.lit(False))
-    cut = seeded_cuts(df, lambda n: F.lit(wanted), seed, labels=[0]).select("cut").scalar()
+    cut = seeded_cuts(whole, lambda n: F.lit(wanted), seed, labels=[0]).select("cut").scalar()
     drawn = (F.col("label") == 0) & (seeded_key(F.col("patid"), seed) <= cut)
     ones = df.filter(F.col("label") == 1)
     return ones.unionByName(df.filter(drawn))
@@ -153,12 +153,12 @@ def sample_patients(df: DataFrame, n: int = 150, seed: int = 42, key: str = "pat
 
 def label_distribution(df: DataFrame, *by: str) -> DataFrame:
     """Rows per label: ``label, n``."""
-    return df.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    return once_each(df).groupBy(*by, "label").agg(F.count("*").alias("n"))
 
 
 def batch_count(df: DataFrame, batch: int = 32) -> DataFrame:
     """``steps``: whole batches in one pass over ``df``."""
-    return df.agg(F.floor(F.count("*") / F.lit(batch)).alias("steps"))
+    return once_each(df).agg(F.floor(F.count("*") / F.lit(batch)).alias("steps"))
 
 
 def steps_per_epoch(df: DataFrame, batch: int = 32) -> int:

@@ -155,6 +155,11 @@ def sequences_from_counts(counts: DataFrame, keys: list[str], part_tokens: int =
     return assemble(counts, layout, keys, part_tokens).withColumnRenamed("PATIENT_ID", "patid")
 
 
+def once_each(sequences: DataFrame) -> DataFrame:
+    """One row per sequence: its first-listed part, if it comes in parts."""
+    return sequences.filter(F.col("part") == 0) if "part" in sequences.columns else sequences
+
+
 def latest(sequences: DataFrame, n: int) -> DataFrame:
     """One row per sequence, holding at least its last ``n`` tokens (all, if there are fewer)."""
     if "part" not in sequences.columns:
@@ -178,7 +183,7 @@ def min_visits(sequences: DataFrame, n: int = 5) -> DataFrame:
 
 def visit_filter_report(sequences: DataFrame, n: int = 5) -> DataFrame:
     """How many sequences :func:`min_visits` keeps: ``n_before, n_after, n_dropped``."""
-    whole = sequences.filter(F.col("part") == 0) if "part" in sequences.columns else sequences
+    whole = once_each(sequences)
     visits = F.col("n_visits") if "n_visits" in sequences.columns else count_token(F.col("code"))
     return whole.agg(
         F.count("*").alias("n_before"),

@@ -63,6 +63,14 @@ def test_undersample(people):
     assert H.undersample(people.filter("label = 0")).count() == 0
 
 
+def test_patients_in_parts_count_once(people):
+    parts = people.withColumn("part", F.explode(F.when(F.col("label") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    assert rows(H.label_distribution(H.undersample(parts, 42))) == [(0, 26), (1, 26)]
+    assert H.undersample(parts, 42).count() == 26 + 3 * 26
+    assert rows(H.stratified_split(parts).select("patid", "split").distinct()) == rows(H.stratified_split(people).select("patid", "split"))
+    assert H.steps_per_epoch(parts, 32) == 3
+
+
 def test_undersampling_does_not_shuffle_the_sequences(people):
     wide = people.withColumn("code", F.array(F.lit("x")))
     plan = H.undersample(wide, 42)._jdf.queryExecution().optimizedPlan().toString()

@@ -244,19 +244,19 @@ SELECT PATIENT_ID, DATE, 0 AS part, count(*) + 1 AS n_tokens, array_to_string(li
     "invert_vocab": "SELECT idx, token FROM vocab",
     "truncate_with_cls": f"SELECT patid, array_to_string(code, '|') AS code, array_to_string(age, '|') AS age FROM ({_cls('seqs', TOKENS)})",
     "index_arrays": f"""
-SELECT patid, {_joined('position')}, {_joined('position % 2', 'segment')}, max(mask) AS mask FROM (
+SELECT patid, 0 AS part, {_joined('position')}, {_joined('position % 2', 'segment')}, max(mask) AS mask FROM (
   SELECT *, string_agg(CAST(CAST(is_real AS INT) AS VARCHAR), ',' ORDER BY pos) OVER (PARTITION BY patid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS mask
   FROM ({_INDEX_ROWS})) WHERE is_real GROUP BY patid""",
     "tokens_to_ids": f"""
-SELECT r.patid, {_joined("CASE WHEN r.token = 'SEP' THEN 1 ELSE coalesce(v.idx, 1) END", 'code')}
+SELECT r.patid, 0 AS part, {_joined("CASE WHEN r.token = 'SEP' THEN 1 ELSE coalesce(v.idx, 1) END", 'code')}
 FROM (SELECT patid, generate_subscripts(code, 1) AS pos, unnest(code) AS token FROM seqs) r LEFT JOIN vocab v ON v.token = r.token GROUP BY r.patid""",
     "pad_to_ids": f"""
-SELECT p.patid, {_joined("CASE WHEN t.token IS NULL THEN 0 ELSE coalesce(a.idx, 1) END", 'age', 'p.pos')}
+SELECT p.patid, 0 AS part, {_joined("CASE WHEN t.token IS NULL THEN 0 ELSE coalesce(a.idx, 1) END", 'age', 'p.pos')}
 FROM (SELECT patid, unnest(range({TOKENS})) AS pos FROM seqs) p
 LEFT JOIN (SELECT patid, generate_subscripts(age, 1) - 1 AS pos, unnest(age) AS token FROM seqs) t ON t.patid = p.patid AND t.pos = p.pos
 LEFT JOIN ages a ON a.token = t.token GROUP BY p.patid""",
     "mlm_mask": f"""
-SELECT patid, {_joined(_MASKED, 'code')}, {_joined(_LABEL, 'label')}
+SELECT patid, 0 AS part, {_joined(_MASKED, 'code')}, {_joined(_LABEL, 'label')}
 FROM (SELECT r.patid, r.pos, coalesce(v.idx, 1) AS code_id
   FROM (SELECT patid, generate_subscripts(code, 1) - 1 AS pos, unnest(code) AS token FROM seqs) r LEFT JOIN vocab v ON v.token = r.token) GROUP BY patid""",
     "encode_mlm": f"""

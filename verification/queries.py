@@ -118,7 +118,7 @@ class Inputs:
     @property
     def next_visits(self):
         """Sequences with a label list: their last three tokens."""
-        return self.seqs.withColumn("label", A.tail(F.col("code"), 3))
+        return sequences.latest(self.seqs, TOKENS).withColumn("label", A.tail(F.col("code"), 3))
 
     @property
     def label_vocab(self):
@@ -174,18 +174,19 @@ def _score(i):
 
 
 def _classifier(i):
-    labelled = cohort.split_sequences(i.seqs.drop("part", "n_tokens", "n_visits"), i.split)
+    labelled = cohort.split_sequences(i.seqs, i.split)
     return encode.encode_classifier(labelled.drop("split"), i.vocab, CLASSIFIER_TOKENS)
 
 
 def _mlm_mask(i):
-    rows = encode.mlm_mask(i.seqs.select("patid", "code"), i.vocab, SEED)
-    return _numbers(rows, ["patid"], ["code", "label"])
+    rows = encode.mlm_mask(i.seqs.select("patid", "part", "code"), i.vocab, SEED)
+    return _numbers(rows, ["patid", "part"], ["code", "label"])
 
 
 def _index_arrays(i):
     return i.seqs.select(
         "patid",
+        "part",
         A.position_index(F.col("code")).alias("position"),
         A.segment_index(F.col("code")).alias("segment"),
         A.attention_mask(F.col("code"), CLASSIFIER_TOKENS).alias("mask"),
@@ -263,12 +264,13 @@ QUERIES = {
     "build_vocab": lambda i: vocab.build_vocab(i.seqs),
     "invert_vocab": lambda i: vocab.invert_vocab(i.vocab),
     "truncate_with_cls": lambda i: encode.truncate_with_cls(i.seqs, TOKENS).select("patid", text("code"), text("age")),
-    "index_arrays": lambda i: _numbers(_index_arrays(i), ["patid"], ["position", "segment", "mask"]),
+    "index_arrays": lambda i: _numbers(_index_arrays(i), ["patid", "part"], ["position", "segment", "mask"]),
     "tokens_to_ids": lambda i: _numbers(
-        encode.tokens_to_ids(i.seqs.select("patid", "code"), i.vocab, mask_token="SEP"), ["patid"], ["code"]
+        encode.tokens_to_ids(i.seqs.select("patid", "part", "code"), i.vocab, mask_token="SEP"),
+        ["patid", "part"], ["code"],
     ),
     "pad_to_ids": lambda i: _numbers(
-        encode.pad_to_ids(i.seqs.select("patid", "age"), i.ages, TOKENS, "age"), ["patid"], ["age"]
+        encode.pad_to_ids(i.seqs.select("patid", "part", "age"), i.ages, TOKENS, "age"), ["patid", "part"], ["age"]
     ),
     "mlm_mask": _mlm_mask,
     "encode_mlm": lambda i: _numbers(
