@@ -76,7 +76,7 @@ def labelled_cohort(
 def restrict_to(df: DataFrame, ids: DataFrame, key: str = "PATIENT_ID") -> DataFrame:
     """Keep the rows whose patient is in ``ids`` (column ``patid``)."""
     wanted = ids.select(F.col("patid").alias(key)).distinct().withColumn("_wanted", F.lit(True))
-    return lookup_join(df, wanted, key, "inner").select(*df.columns)
+    return lookup_join(df, wanted, key, "inner", bound=ids).select(*df.columns)
 
 
 def seeded_cuts(ids: DataFrame, quota, seed: int, labels: list | None = None) -> DataFrame:

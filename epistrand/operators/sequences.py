@@ -68,8 +68,10 @@ def assemble(counts: DataFrame, layout: DataFrame, keys: list[str], part_tokens:
         Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     age = F.col("AGE") if has_age else F.col("sep_age")
+    # The window leaves the counts partitioned and sorted for a merge join. The size of
+    # compressed files may make Spark believe that they can be broadcast instead.
     placed = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
-        layout, [*keys, "day"]
+        layout.hint("merge"), [*keys, "day"]
     )
     runs = placed.select(
         *keys, "CODE", age.alias("AGE"), "sep_age", "n", "n_tokens", "n_visits",

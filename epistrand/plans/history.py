@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistrand.operators.censor import cutoffs, earliest_index, expand_horizons, reference_dates
+from epistrand.operators.cohort import restrict_to
 from epistrand.operators.events import age_text
 from epistrand.operators.sequences import (
     PART_TOKENS,
@@ -86,9 +87,8 @@ def horizon_test_sets(
     ``years, patid, label, part, n_tokens, n_visits, code, age``.
     """
     people = test.select(F.col("patid").alias("PATIENT_ID"), "label").filter(F.col("label").isNotNull())
-    counts = count_events(events)
+    counts = count_events(restrict_to(events, test))
     days = counts.groupBy("PATIENT_ID", "day").agg(F.sum("n").alias("n_day"))
-    days = days.join(people.select("PATIENT_ID"), "PATIENT_ID", "left_semi")
     references = reference_dates(test, dx_dates, days.withColumn("DATE", _date(F.col("day"))))
     limits = cutoffs(references, HORIZON_YEARS if years is None else years)
     aged = _aged_days(days, demographics.filter(F.col("AGE_AT_END").isNotNull()))

@@ -1,6 +1,7 @@
 """Intermediate tables that several later steps read."""
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,29 @@ def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder of the session.
+    """Compute ``df`` once: write it as Parquet to the checkpoint folder and read it back.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Where a local test
-    session names none, a temporary one is made; on a cluster that is an error,
-    since executors share no local folder.
+    Later steps read only the columns they need, and lose nothing when an executor is lost.
+    The folder is the one named by ``spark.checkpoint.dir``. Where a local test session
+    names none, a temporary one is made; on a cluster that is an error, since executors
+    share no local folder.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(spark):
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="epistrand-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def name_relation(df: DataFrame, name: str) -> DataFrame:
