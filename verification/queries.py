@@ -71,11 +71,11 @@ class Inputs:
 
     @property
     def censored(self):
-        return self._once("censored", lambda: censor.censor_at_index(self.events, self.index))
+        return censor.censor_at_index(self.events, self.index)
 
     @property
     def aged(self):
-        return self._once("aged", lambda: events.add_age(self.censored, self.demo))
+        return events.add_age(self.censored, self.demo)
 
     @property
     def seqs(self):
@@ -103,9 +103,7 @@ class Inputs:
 
     @property
     def horizons(self):
-        return self._once(
-            "horizons", lambda: horizon_test_sets(self.censored, self.demo, self.index, self.test)
-        )
+        return horizon_test_sets(self.censored, self.demo, self.index, self.test)
 
     @property
     def vocab(self):
