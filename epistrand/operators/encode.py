@@ -111,8 +111,8 @@ def mask_columns(code_id, patid, pos, seed, vocab_size):
 def mlm_mask(df: DataFrame, vocab: DataFrame, seed: int = 42) -> DataFrame:
     """Random masking of a token column: ``code`` becomes masked ids, ``label`` the ids to predict.
 
-    ``df`` has ``patid`` and ``code``; the columns other than ``code`` must identify a row. What is masked depends on the patient, the position
-    and the seed alone.
+    ``df`` has ``patid`` and ``code``; the columns other than ``code`` must identify a row.
+    What is masked depends on the patient, the position and the seed alone.
     """
     rows, others = _explode(df.drop("label"), ["code"])
     rows = _masked(_look_up(rows, vocab, "code", "code_id"), vocab, seed)
