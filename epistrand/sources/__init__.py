@@ -13,4 +13,4 @@ from epistrand.sources.files import (  # noqa: F401
     write_parquet,
 )
 from epistrand.sources.logs import append_log, read_log  # noqa: F401
-from epistrand.sources.store import local_table, materialize, name_relation  # noqa: F401
+from epistrand.sources.store import local_table, materialize, name_relation, release  # noqa: F401

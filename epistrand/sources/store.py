@@ -1,6 +1,5 @@
 """Intermediate tables that several later steps read."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,26 +15,34 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once: write it as Parquet to the checkpoint folder and read it back.
 
     Later steps read only the columns they need, and lose nothing when an executor is lost.
-    The folder is the one named by ``spark.checkpoint.dir``. Where a local test session
-    names none, a temporary one is made; on a cluster that is an error, since executors
-    share no local folder.
+    The folder is the one named by ``spark.checkpoint.dir``, which executors must share;
+    without it this is an error. :func:`release` removes the table.
     """
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4()}.parquet"
+    path = f"{checkpoint_folder(spark)}/{_TABLE}-{uuid.uuid4()}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _checkpoint_folder(spark):
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="epistrand-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+_TABLE = "materialized"
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that ``materialize`` returned. Plans that still read it fail afterwards."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith(f"{_TABLE}-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one named by ``spark.checkpoint.dir``."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
 
 
 def name_relation(df: DataFrame, name: str) -> DataFrame:
