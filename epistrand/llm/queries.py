@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import linededup, mixing, packing
+from epistrand.llm import linededup, minhash, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rewritten = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_source_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
 
 ORACLE = {
     "op8_source_mixing": r"""
