@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import linededup, minhash, mixing, packing
+from epistrand.llm import linededup, minhash, mixing, packing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), with_ids=False)
     return packing.pack(pieces)
@@ -29,7 +34,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
 
 ORACLE = {
     "op8_source_mixing": r"""
