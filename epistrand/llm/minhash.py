@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistrand.llm.components import components
-from epistrand.llm.words import BASES, U64, Words, as_bytes, chunks, mix, run_hashes
+from epistrand.llm.words import BASES, LOWER, U64, Words, as_bytes, chunks, mix, run_hashes
 from epistrand.sources import materialize
 
 WORDS = 5
@@ -27,7 +27,7 @@ def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> tuple[np.ndarray,
 
     A text of fewer words has one run, all of it; a text without words has none.
     """
-    words = Words(texts, lower=True)
+    words = Words(texts, LOWER)
     starts, hashes = words.grams(n)
     owner = words.texts_of(starts)
     short = np.flatnonzero((words.counts > 0) & (words.counts < n))

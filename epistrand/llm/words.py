@@ -16,8 +16,10 @@ CHUNK_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LETTERS = LOWER.copy()  # and all other ASCII characters are spaces
+LETTERS[:65] = LETTERS[91:97] = LETTERS[123:128] = 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,10 +60,11 @@ class Words:
     ``begin[i]`` to ``begin[i + 1]`` are the words of text i.
     """
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False, base: int = BASES[0]):
+    def __init__(self, texts: list[bytes | None], fold: np.ndarray | None = None, base: int = BASES[0]):
+        """``fold`` replaces each byte before words are taken."""
         data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-        if lower:
-            data = _LOWER[data]
+        if fold is not None:
+            data = fold[data]
         space = _SPACE[data]
         self.starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
         self.ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
@@ -100,3 +103,11 @@ def chunks(texts: Iterable[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[
 def as_bytes(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8."""
     return column.cast("binary").to_pylist()
+
+
+def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum the counts of equal keys."""
+    if not keys:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
