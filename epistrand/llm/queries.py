@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import linededup, minhash, mixing, packing, substrings, toxicity
+from epistrand.llm import languages, linededup, minhash, mixing, packing, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), with_ids=False)
     return packing.pack(pieces)
@@ -40,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language_id, op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
 
 ORACLE = {
     "op8_source_mixing": r"""
