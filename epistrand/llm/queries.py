@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import languages, linededup, minhash, mixing, packing, substrings, toxicity
+from epistrand.llm import embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,33 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+URL_RULES = (
+    urls.Rule("com", "/", urls.ALLOW),
+    urls.Rule("example.com", "/en/", urls.BLOCK),
+    urls.Rule("www.example.com", "/en/", urls.ALLOW),
+    urls.Rule("net", "/es/", urls.BLOCK),
+    urls.Rule("net", "/fr/", urls.BLOCK),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_by_rules(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized_pieces(_table(spark, sf_dir, "documents"), with_ids=False)
     return packing.pack(pieces)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddingdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = mixing.mix_counts(_table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -45,7 +67,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language_id, op5_best_fit_packing, op8_source_mixing, op9_minhash_near_dedup, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_toxicity,
+        op3_language_id,
+        op4_url_filter,
+        op5_best_fit_packing,
+        op6_nearest_neighbours,
+        op7_embedding_near_dedup,
+        op8_source_mixing,
+        op9_minhash_near_dedup,
+        op10_line_dedup,
+    )
+}
 
 ORACLE = {
     "op8_source_mixing": r"""
