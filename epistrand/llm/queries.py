@@ -36,7 +36,8 @@ URL_RULES = (
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urls.judge_by_rules(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, URL_RULES, urls.fit(urls.examples(spark)))
     return judged.select("page.page_id", "host", "path", "rule", "verdict", "block_probability")
 
 

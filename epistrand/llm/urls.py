@@ -6,7 +6,7 @@ from typing import NamedTuple
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistrand.sources import materialize
@@ -15,6 +15,24 @@ ALLOW, BLOCK = "allow", "block"
 GRAM = 3
 FEATURES = 1 << 15
 MAX_LABELLED = 20_000
+BLOCK_SHARE = 0.2  # weight of all blocked examples: what is like none of them is allowed
+
+# The small table of labelled URLs: what hosts are about, in the shapes below.
+BLOCKED_TOPICS = (
+    "ads adult adserver banner bets betting bingo bonus casino cheap clicks cracked dating escort "
+    "free gambling hotgirls jackpot keygen lottery loans nude payday pharmacy pills poker popups porn prizes "
+    "replica sex slots spam track tracker viagra warez win winner xxx"
+).split()
+ALLOWED_TOPICS = (
+    "archive articles arts blog books bank chemistry cinema city club college court culture docs events "
+    "film forum garden geography health history journal kitchen library magazine market maths museum music "
+    "nature news open paper parents photos physics poetry radio recipes research schools science shop "
+    "sports stories theatre things town trains travel university village weather wiki world"
+).split()
+SHAPES = (
+    "https://{0}.org/en/1", "http://www.{0}-site.net/de/22.html", "https://m.the-{0}.com/fr/333/",
+    "https://blog.{0}.net/es/44?page=2", "http://{0}-x.org/en/5", "https://my{0}.com/en/6#top",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,7 +102,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> UrlModel:
     """Learn from a small table of ``url`` and ``verdict`` (allow or block; others do not count).
 
     Of a larger table, the ``max_labelled`` rows with the smallest md5 of the url are used.
-    Both verdicts weigh the same in sum. Without labels of both kinds, all URLs get the
+    The blocked examples weigh ``BLOCK_SHARE`` in sum. Without labels of both kinds, all URLs get the
     probability 1 or 0 of the only one, and 0 without any.
     """
     host, path = host_and_path(F.col("url"))
@@ -95,7 +113,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> UrlModel:
     if not 0 < n["block"] < n["all"]:
         return UrlModel(None, 1.0 if n["block"] else 0.0)
     share = n["block"] / n["all"]
-    weight = F.when(F.col("_label") == 1, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share)))
+    weight = F.when(F.col("_label") == 1, F.lit(BLOCK_SHARE / share)).otherwise(F.lit((1 - BLOCK_SHARE) / (1 - share)))
     regression = LogisticRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_prediction", regParam=0.001, maxIter=40,
@@ -117,8 +135,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel) -> DataFrame
     return scored.withColumn("verdict", F.coalesce("_said", guess)).drop("_said")
 
 
-def judge_by_rules(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Judge with a model learned from the URLs that a rule covers, labelled with its verdict."""
-    host, path = host_and_path(F.col("url"))
-    labelled = pages.select("url", decide(host, path, rules)[1].alias("verdict"))
-    return judge(pages, rules, fit(labelled))
+def examples(spark: SparkSession) -> DataFrame:
+    """The small labelled table: url, verdict."""
+    labelled = [(t, BLOCK) for t in BLOCKED_TOPICS] + [(t, ALLOW) for t in ALLOWED_TOPICS]
+    return spark.createDataFrame([(x.format(t), v) for t, v in labelled for x in SHAPES], "url string, verdict string")
