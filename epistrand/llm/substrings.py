@@ -31,7 +31,7 @@ from epistrand.llm.words import BASES, U64, Words, as_bytes, chunks, mix
 
 WINDOW = 20
 ANCHOR = 8
-SHARD_BYTES = 16_000_000  # of text per shard
+SHARD_BYTES = 4_000_000  # of text per shard
 REPEATED = np.uint8(2)
 
 _PLACE_BITS = U64(24)

@@ -12,7 +12,7 @@ import numpy as np
 
 U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
