@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from epistrand.llm.grams import Grams
 from epistrand.llm.words import LETTERS, U64, as_bytes, chunks
@@ -158,8 +159,7 @@ class LanguageModel:
         Where the text is NULL or has no letter, or nothing was learned, lang_pred is ``und``
         and the score 0. Equal proportions go to the language that is first by name.
         """
-        fields = [f"`{n}` {t}" for n, t in docs.dtypes if n != "text"]
-        schema = ", ".join([*fields, "lang_pred string", "score double"])
+        schema = StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
         return docs.mapInArrow(functools.partial(_predict, model=self.model), schema)
 
 

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from epistrand.llm.words import U64, as_bytes, mix
 from epistrand.sources.store import checkpoint_folder
@@ -321,7 +322,7 @@ class LineIndex:
         lost = self.repeated().groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
         rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"))
         rows = rows.join(lost, "doc_id", "left").select("doc", "text", "_keys")
-        out = f"doc {rows.schema['doc'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
+        out = StructType([rows.schema["doc"]]).add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
         return rows.mapInArrow(_rewrite, out)
 
 

@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from epistrand.llm.words import BASES, U64, Words, as_bytes, chunks, mix
 
@@ -286,5 +287,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")
     whole = docs.join(covered.withColumnRenamed("doc_id", "_doc"), docs["doc_id"] == F.col("_doc"), "left")
     whole = whole.select(others, docs["text"], covered["covered"])
-    out = f"doc {whole.schema['doc'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    out = StructType([whole.schema["doc"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return whole.mapInArrow(_remove, out)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from epistrand.llm.lookup import join_per_key
 from epistrand.llm.words import LETTERS, U64, Words, as_bytes, chunks, tally
@@ -145,8 +146,8 @@ class ToxicityModel:
 
     def mean_ratio(self, docs: DataFrame) -> DataFrame:
         """The columns of ``docs`` but text, and ``mean_ratio``: the log ratio per word of the whole text."""
-        fields = [f"`{n}` {t}" for n, t in docs.dtypes if n != "text"]
-        return docs.mapInArrow(functools.partial(_ratio, table=self.table), ", ".join([*fields, "mean_ratio double"]))
+        schema = StructType([f for f in docs.schema if f.name != "text"]).add("mean_ratio", "double")
+        return docs.mapInArrow(functools.partial(_ratio, table=self.table), schema)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """One row per row of ``docs``: its columns but text, and score and predicted.
