@@ -45,18 +45,25 @@ def visit_index(marks: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
 
 
-def position_index(codes: Column, symbol: str = SEP) -> Column:
-    """Visit number of each token: how many separators come strictly before it."""
-    return visit_index(F.transform(codes, lambda c: F.coalesce(c == F.lit(symbol), F.lit(False))))
+def position_index(codes: Column, symbol: str = SEP, before=0) -> Column:
+    """Visit number of each token: how many separators come strictly before it.
+
+    ``before`` is the number of visits that end before a segment (its column ``visit``).
+    """
+    found = visit_index(F.transform(codes, lambda c: F.coalesce(c == F.lit(symbol), F.lit(False))))
+    if isinstance(before, int) and before == 0:
+        return found
+    first = (before if isinstance(before, Column) else F.lit(before)).cast("int")
+    return F.zip_with(found, F.array_repeat(first, F.size(found)), lambda i, b: i + b)
 
 
 def parity(positions: Column) -> Column:
     return F.transform(positions, lambda p: p % 2)
 
 
-def segment_index(codes: Column, symbol: str = SEP) -> Column:
+def segment_index(codes: Column, symbol: str = SEP, before=0) -> Column:
     """0 and 1 in turn from visit to visit."""
-    return parity(position_index(codes, symbol))
+    return parity(position_index(codes, symbol, before))
 
 
 def attention_mask(values: Column, length: int) -> Column:

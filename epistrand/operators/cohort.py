@@ -6,13 +6,14 @@ hash ranges, and turn the rank into one cut key per label; the wide sequence tab
 then only filtered, never shuffled.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistrand.functions.scalars import seeded_key
 from epistrand.operators.sequences import min_tokens, once_each
-from epistrand.operators.skew import lookup_join, running_before
+from epistrand.operators.skew import lookup_join, null_safe_join, running_before
 from epistrand.schemas import LABEL_OF_GROUP
+from epistrand.sources.store import materialize
 
 
 def distinct_labels(dx: DataFrame) -> DataFrame:
@@ -79,34 +80,41 @@ def restrict_to(df: DataFrame, ids: DataFrame, key: str = "PATIENT_ID") -> DataF
     return lookup_join(df, wanted, key, "inner", bound=ids).select(*df.columns)
 
 
-def seeded_cuts(ids: DataFrame, quota, seed: int, labels: list | None = None) -> DataFrame:
-    """``label, cut``: the ``quota``-th smallest seeded key of each label.
+def _ranked_keys(ids, seed):
+    """``label, _key, _before``: the seeded keys of each label with their rank.
 
-    ``quota`` is a function of the column with the label's number of rows. There is one
-    row per label. Keys are ranked within ranges of their hash, so no task sees a whole
-    label.
+    Keys are ranked within ranges of their hash, so no task sees a whole label.
     """
     keyed = ids.select("label", seeded_key(F.col("patid"), seed).alias("_key"))
-    if labels is not None:
-        keyed = keyed.filter(F.col("label").isin(labels))
     keyed = keyed.withColumn("_range", F.substring("_key", 1, 3))
-    sizes = keyed.groupBy("label").agg(F.count("*").alias("_size"))
-    ranked = running_before(keyed, ["label"], ["_range"], [F.col("_key")], F.lit(1), "_before")
-    return (
-        ranked.join(sizes, "label")
-        .filter(F.col("_before") + 1 == quota(F.col("_size")))
-        .select("label", F.col("_key").alias("cut"))
-    )
+    return running_before(keyed, ["label"], ["_range"], [F.col("_key")], F.lit(1), "_before").drop("_range")
+
+
+def test_quotas(ids: DataFrame, test: float) -> DataFrame:
+    """``label, quota``: ``ceil(test * n)`` of all rows, shared out over the labels by largest remainder.
+
+    Of equal remainders, the smaller label comes first. The windows are over labels.
+    """
+    share = F.lit(test) * F.col("_n")
+    every = Window.partitionBy(F.lit(0))
+    sizes = ids.groupBy("label").agg(F.count("*").alias("_n")).withColumn("_whole", F.floor(share))
+    spare = F.ceil(F.lit(test) * F.sum("_n").over(every)) - F.sum("_whole").over(every)
+    rank = F.row_number().over(every.orderBy(F.desc(share - F.col("_whole")), "label"))
+    return sizes.select("label", (F.col("_whole") + (rank <= spare).cast("long")).alias("quota"))
 
 
 def stratified_split(df: DataFrame, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``split``: within each label, ``ceil(test * n)`` patients are ``test``, the others ``train``.
+    """Add ``split``: ``ceil(test * n)`` patients are ``test``, the others ``train``, with the same share of each label.
 
-    ``df`` has ``patid, label``; the label takes few values.
+    ``df`` has ``patid, label``. Rows without a label are in neither and drop out.
     """
-    cuts = seeded_cuts(once_each(df), lambda n: F.ceil(n * F.lit(test)), seed)
-    # One row per label.
-    joined = df.join(F.broadcast(cuts), "label", "left")
+    labelled = df.filter(F.col("label").isNotNull())
+    ids = once_each(labelled)
+    keyed = _ranked_keys(ids, seed)
+    cuts = null_safe_join(keyed, test_quotas(ids, test), ["label"]).filter(F.col("_before") + 1 == F.col("quota"))
+    # One row per label; stored, so that its size is known.
+    cuts = materialize(cuts.select("label", F.col("_key").alias("cut")))
+    joined = lookup_join(labelled, cuts, "label", "left")
     is_test = F.coalesce(seeded_key(F.col("patid"), seed) <= F.col("cut"), F.lit(False))
     split = F.when(is_test, F.lit("test")).otherwise(F.lit("train"))
     return joined.select(*df.columns, split.alias("split"))
@@ -125,20 +133,17 @@ def split_sequences(sequences: DataFrame, split: DataFrame) -> DataFrame:
 def undersample(df: DataFrame, seed: int = 42) -> DataFrame:
     """All rows of label 1 and as many of label 0, drawn without replacement.
 
-    ``df`` has ``patid, label``, one sequence per patient. Raises if there are fewer of label 0.
+    ``df`` has ``patid, label``, one sequence per patient. The job fails if there are fewer of label 0.
     """
-    whole = once_each(df)
-    counted = label_distribution(df.filter(F.col("label").isin(0, 1))).collect()  # two rows
-    sizes = {r["label"]: r["n"] for r in counted}
-    wanted, available = sizes.get(1, 0), sizes.get(0, 0)
-    if wanted > available:
-        raise ValueError(f"cannot draw {wanted} of {available} rows of label 0")
-    if wanted == 0:
-        return df.filter(F.lit(False))
-    cut = seeded_cuts(whole, lambda n: F.lit(wanted), seed, labels=[0]).select("cut").scalar()
-    drawn = (F.col("label") == 0) & (seeded_key(F.col("patid"), seed) <= cut)
-    ones = df.filter(F.col("label") == 1)
-    return ones.unionByName(df.filter(drawn))
+    ids = once_each(df)
+    sizes = ids.agg(F.count_if(F.col("label") == 1).alias("wanted"), F.count_if(F.col("label") == 0).alias("available"))
+    wanted, available = sizes.select("wanted").scalar(), sizes.select("available").scalar()
+    ranked = _ranked_keys(ids.filter(F.col("label") == 0), seed)
+    cut = ranked.filter(F.col("_before") + 1 == wanted).select("_key").scalar()
+    message = F.concat(F.lit("cannot draw "), wanted, F.lit(" of "), available, F.lit(" rows of label 0"))
+    drawn = F.coalesce(seeded_key(F.col("patid"), seed) <= cut, F.lit(False))
+    kept = F.when(wanted > available, F.raise_error(message).cast("boolean")).otherwise((F.col("label") == 1) | drawn)
+    return df.filter(F.col("label").isin(0, 1)).filter(kept)
 
 
 def shuffle(df: DataFrame, seed: int, key: str = "patid") -> DataFrame:

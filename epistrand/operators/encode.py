@@ -1,8 +1,9 @@
 """Fixed-length training tables from token sequences.
 
-Only the latest ``max_len`` tokens of a sequence matter, and they are always in one row
-(part 0). Those rows are exploded, looked up in the vocabulary by a join, and collected
-again; a group never has more than ``max_len`` tokens.
+Only the latest ``max_len`` tokens of a sequence matter. They are cut off first, exploded,
+looked up in the vocabulary by a join, and collected again; a group never has more than
+``max_len`` tokens. All columns of a sequence that are not arrays come along as its keys
+(``patid``, a horizon, ...) and together must identify it; equal keys fail the job.
 """
 
 from pyspark.sql import DataFrame
@@ -13,13 +14,12 @@ from epistrand.functions.arrays import (
     attention_mask,
     pad_right,
     parity,
-    tail,
     visit_index,
     with_cls,
 )
 from epistrand.functions.scalars import age_number, hashed_integer, hashed_uniform
 from epistrand.operators.sequences import latest
-from epistrand.operators.skew import lookup_join
+from epistrand.operators.skew import lookup_join, null_safe_join
 from epistrand.schemas import MASK, PAD, SEP, SPECIAL_TOKENS, UNK
 
 
@@ -30,8 +30,7 @@ def _special_id(token):
 
 def truncate_with_cls(sequences: DataFrame, max_len: int) -> DataFrame:
     """Keep the last ``max_len - 1`` tokens and put CLS in front, or in place of a leading SEP."""
-    rows = latest(sequences, max_len)
-    rows = rows.withColumns({"code": tail(F.col("code"), max_len - 1), "age": tail(F.col("age"), max_len - 1)})
+    rows = latest(sequences, max_len - 1)
     return rows.withColumns(
         {"code": with_cls(F.col("code")), "age": ages_with_cls(F.col("code"), F.col("age"))}
     )
@@ -49,10 +48,15 @@ def _explode(df, arrays):
 
 
 def _collect(rows, others, fields):
-    """Collect the fields back into arrays in the order of ``pos``."""
+    """Collect the fields back into arrays in the order of ``pos``; fails if two rows had the same other columns."""
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", *fields))
     collected = rows.groupBy(*others).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    return collected.select(*others, *[F.col(f"_items.{f}").alias(f) for f in fields])
+    last = F.coalesce(F.array_max(F.col("_items.pos")), F.lit(-1))
+    twice = F.raise_error(F.concat(F.lit("several rows with the same "), F.lit(", ".join(others)))).cast(
+        collected.schema["_items"].dataType
+    )
+    checked = collected.withColumn("_items", F.when(F.size("_items") > last + 1, twice).otherwise(F.col("_items")))
+    return checked.select(*others, *[F.col(f"_items.{f}").alias(f) for f in fields])
 
 
 def _look_up(rows, vocab, column, out):
@@ -112,17 +116,19 @@ def mlm_mask(df: DataFrame, vocab: DataFrame, seed: int = 42) -> DataFrame:
     """Random masking of a token column: ``code`` becomes masked ids, ``label`` the ids to predict.
 
     ``df`` has ``patid`` and ``code``; the columns other than ``code`` must identify a row.
-    What is masked depends on the patient, the position and the seed alone.
+    What is masked depends on the patient, the position in the whole sequence (``start``
+    of a segment and the place in it) and the seed alone.
     """
     rows, others = _explode(df.drop("label"), ["code"])
-    rows = _masked(_look_up(rows, vocab, "code", "code_id"), vocab, seed)
+    at = F.col("pos") + F.col("start") if "start" in df.columns else F.col("pos")
+    rows = _masked(_look_up(rows, vocab, "code", "code_id"), vocab, seed, at)
     return _collect(rows, others, ["masked_id", "label"]).withColumnRenamed("masked_id", "code")
 
 
-def _masked(rows, vocab, seed):
+def _masked(rows, vocab, seed, at=None):
     known = rows.withColumn("code_id", F.coalesce("code_id", _special_id(UNK)))
     size = vocab.agg(F.count("*").alias("_size")).scalar()
-    masked, label = mask_columns(F.col("code_id"), F.col("patid"), F.col("pos"), seed, size)
+    masked, label = mask_columns(F.col("code_id"), F.col("patid"), F.col("pos") if at is None else at, seed, size)
     return known.withColumns({"masked_id": masked, "label": label})
 
 
@@ -160,11 +166,19 @@ def _identity(sequences):
     return sequences.drop("n_tokens", "n_visits")
 
 
+def _keys(sequences, *arrays):
+    """The columns that identify a sequence."""
+    return [c for c in _identity(sequences).columns if c not in ("start", "visit", "code", "age", *arrays)]
+
+
 def encode_mlm(
     sequences: DataFrame, vocab: DataFrame, ages: DataFrame, max_len: int = 300, seed: int = 42
 ) -> DataFrame:
-    """Masked-token examples: ``patid, age, code, position, segment, mask, label``."""
-    cut = truncate_with_cls(sequences, max_len).select("patid", "code", "age")
+    """Masked-token examples: the keys of the sequence and ``age, code, position, segment, mask, label``.
+
+    A column ``label`` of the sequences is not among the keys.
+    """
+    cut = truncate_with_cls(sequences, max_len).select(*_keys(sequences, "label"), "code", "age")
     rows, others = _explode(cut, ["code", "age"])
     rows = _masked(_look_up_both(rows, vocab, ages), vocab, seed)
     rows = _collect(rows, others, ["age_id", "code_id", "masked_id", "label", "is_sep"])
@@ -179,14 +193,14 @@ def encode_next_visit(
     ``sequences`` has ``label``, an array of tokens, encoded with its own vocabulary and
     padded with -1.
     """
-    cut = truncate_with_cls(sequences, max_len).select("patid", "code", "age", "label")
-    rows, others = _explode(cut.select("patid", "code", "age"), ["code", "age"])
+    keys = _keys(sequences, "label")
+    cut = truncate_with_cls(sequences, max_len).select(*keys, "code", "age", "label")
+    rows, others = _explode(cut.select(*keys, "code", "age"), ["code", "age"])
     rows = _collect(_look_up_both(rows, vocab, ages), others, ["age_id", "code_id", "is_sep"])
     inputs = _fixed_length(rows, max_len, ages, "code_id", others)
-    labels = tokens_to_ids(cut.select("patid", "label"), label_vocab, "label")
-    return inputs.join(
-        labels.select("patid", pad_right(F.col("label"), max_len, -1).alias("label")), "patid"
-    )
+    labels = tokens_to_ids(cut.select(*keys, "label"), label_vocab, "label")
+    padded = labels.select(*keys, pad_right(F.col("label"), max_len, -1).alias("label"))
+    return null_safe_join(inputs, padded, keys)
 
 
 def encode_classifier(sequences: DataFrame, vocab: DataFrame, max_len: int = 300) -> DataFrame:
@@ -198,8 +212,7 @@ def encode_classifier(sequences: DataFrame, vocab: DataFrame, max_len: int = 300
     rows = _identity(latest(sequences, max_len))
     if "age" not in rows.columns:
         rows = rows.withColumn("age", F.array_repeat(F.lit("0"), F.size("code")))
-    cut = rows.withColumns({"code": tail(F.col("code"), max_len), "age": tail(F.col("age"), max_len)})
-    long, others = _explode(cut, ["code", "age"])
+    long, others = _explode(rows, ["code", "age"])
     limits = vocab.agg(
         (F.count("*") - 1).cast("int").alias("top"),
         F.coalesce(F.max(F.when(F.col("token") == SEP, F.col("idx"))), F.lit(0)).alias("sep"),
@@ -222,16 +235,18 @@ def aligned_tokens(sequences: DataFrame, max_len: int) -> DataFrame:
     """The tokens that :func:`encode_classifier` sees, as text, padded with PAD."""
     rows = _identity(latest(sequences, max_len))
     others = [c for c in rows.columns if c not in ("code", "age")]
-    return rows.select(*others, pad_right(tail(F.col("code"), max_len), max_len, PAD).alias("code"))
+    return rows.select(*others, pad_right(F.col("code"), max_len, PAD).alias("code"))
 
 
 def attributions_by_code(sequences: DataFrame, values: DataFrame, max_len: int) -> DataFrame:
-    """``patid, pos, code, value`` from one row of attribution values per patient.
+    """The keys and ``pos, code, value`` from one row of attribution values per sequence.
 
-    ``values`` has ``patid`` and ``values``, an array with one array of hidden-axis values
-    per position; these are summed.
+    ``values`` has ``values``, an array with one array of hidden-axis values per position,
+    which are summed, and those key columns of ``sequences`` that it refers to; it is joined
+    on all columns that both have.
     """
-    tokens = aligned_tokens(sequences, max_len).select("patid", "code").join(values, "patid")
-    rows = tokens.select("patid", F.posexplode(F.arrays_zip("code", "values")).alias("pos", "_item"))
+    keys = [c for c in _keys(sequences) if c in values.columns]
+    tokens = null_safe_join(aligned_tokens(sequences, max_len).select(*keys, "code"), values.select(*keys, "values"), keys)
+    rows = tokens.select(*keys, F.posexplode(F.arrays_zip("code", "values")).alias("pos", "_item"))
     total = F.aggregate("_item.values", F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select("patid", "pos", F.col("_item.code").alias("code"), total.alias("value"))
+    return rows.select(*keys, "pos", F.col("_item.code").alias("code"), total.alias("value"))

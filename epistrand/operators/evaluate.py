@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epistrand.functions.arrays import argmax_index
 from epistrand.functions.scalars import is_positive, sigmoid
-from epistrand.operators.skew import running_before
+from epistrand.operators.skew import null_safe_join, number_rows, running_before
 from epistrand.schemas import PAD, SEP
 
 
@@ -15,14 +15,27 @@ def _keys(by):
     return [by] if isinstance(by, str) else list(by)
 
 
-def _predicted(preds):
-    return preds if "pred" in preds.columns else preds.withColumn("pred", is_positive(F.col("prob")))
+def _usable(preds):
+    """The rows that count: with label 0 or 1, and with the score and the prediction that there is a column for.
+
+    A score that is NULL or NaN says nothing, so its row counts in no metric.
+    """
+    good = F.col("label").isin(0, 1)
+    if "prob" in preds.columns:
+        good = good & F.col("prob").isNotNull() & ~F.isnan(F.col("prob").cast("double"))
+    if "pred" in preds.columns:
+        return preds.filter(good & F.col("pred").isNotNull())
+    return preds.filter(good).withColumn("pred", is_positive(F.col("prob")))
+
+
+def _scored(preds):
+    return _usable(preds) if {"prob", "pred"} & set(preds.columns) else preds.filter(F.col("label").isin(0, 1))
 
 
 def confusion(preds: DataFrame, by="horizon") -> DataFrame:
     """``tn, fp, fn, tp`` per group. ``preds`` has ``label`` and ``prob`` (or ``pred``)."""
     label, pred = F.col("label"), F.col("pred")
-    return _predicted(preds).groupBy(*_keys(by)).agg(
+    return _usable(preds).groupBy(*_keys(by)).agg(
         F.count_if((label == 0) & (pred == 0)).alias("tn"),
         F.count_if((label == 0) & (pred == 1)).alias("fp"),
         F.count_if((label == 1) & (pred == 0)).alias("fn"),
@@ -35,19 +48,22 @@ def _ratio(part, whole):
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def _from_confusion():
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    return {
+        "precision": _ratio(tp, tp + fp),
+        "recall": _ratio(tp, tp + fn),
+        "f1": _ratio(2 * tp, 2 * tp + fp + fn),
+        "specificity": F.try_divide(tn, tn + fp),
+    }
+
+
 def binary_metrics(preds: DataFrame, by="horizon") -> DataFrame:
     """``precision, recall, f1, specificity`` per group.
 
     With nothing to divide by, the first three are 0 and specificity is NULL.
     """
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    return confusion(preds, by).select(
-        *_keys(by),
-        _ratio(tp, tp + fp).alias("precision"),
-        _ratio(tp, tp + fn).alias("recall"),
-        _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        F.try_divide(tn, tn + fp).alias("specificity"),
-    )
+    return confusion(preds, by).select(*_keys(by), *[v.alias(c) for c, v in _from_confusion().items()])
 
 
 def _score_levels(scores):
@@ -66,31 +82,41 @@ def _score_levels(scores):
     )
 
 
-def roc_auc(preds: DataFrame, by="horizon") -> DataFrame:
-    """``roc_auc`` per group; tied scores count half. NULL if a group has one class only.
+def _totals(preds, keys):
+    """Per group: ``_wins`` (twice the ordered pairs of a positive above a negative), ``_pos, _neg, tp, fp``.
 
     Rows are first counted per distinct score. The number of negatives below each score
     is a running total over ranges of the score, so no task sees a whole group.
     """
-    keys = _keys(by)
-    scores = preds.groupBy(*keys, F.col("prob").cast("double").alias("prob")).agg(
-        F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg")
+    label, pred = F.col("label"), F.col("pred")
+    scores = _usable(preds).groupBy(*keys, F.col("prob").cast("double").alias("prob")).agg(
+        F.count_if(label == 1).alias("_pos"),
+        F.count_if(label == 0).alias("_neg"),
+        F.count_if((label == 1) & (pred == 1)).alias("tp"),
+        F.count_if((label == 0) & (pred == 1)).alias("fp"),
     )
     ranked = running_before(
         _score_levels(scores), keys, ["_exp", "_high", "_low"], [F.col("prob")], F.col("_neg"), "_below"
     )
-    # Twice the number of ordered pairs, in whole numbers.
     wins = F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_neg")).cast("decimal(19,0)")
-    totals = ranked.groupBy(*keys).agg(
-        F.sum(wins).cast("double").alias("_wins"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
+    return ranked.groupBy(*keys).agg(
+        F.sum(wins).cast("double").alias("_wins"), *[F.sum(c).alias(c) for c in ("_pos", "_neg", "tp", "fp")]
     )
-    pairs = F.col("_pos").cast("double") * F.col("_neg").cast("double") * 2
-    return totals.select(*keys, F.try_divide("_wins", pairs).alias("roc_auc"))
+
+
+def _auc():
+    return F.try_divide("_wins", F.col("_pos").cast("double") * F.col("_neg").cast("double") * 2)
+
+
+def roc_auc(preds: DataFrame, by="horizon") -> DataFrame:
+    """``roc_auc`` per group; tied scores count half. NULL if a group has one class only."""
+    keys = _keys(by)
+    return _totals(preds, keys).select(*keys, _auc().alias("roc_auc"))
 
 
 def class_counts(preds: DataFrame, by="horizon") -> DataFrame:
     """``n_patients, n_cases, n_controls`` per group."""
-    return preds.groupBy(*_keys(by)).agg(
+    return _scored(preds).groupBy(*_keys(by)).agg(
         F.count("*").alias("n_patients"),
         F.count_if(F.col("label") == 1).alias("n_cases"),
         F.count_if(F.col("label") == 0).alias("n_controls"),
@@ -103,12 +129,15 @@ def single_class_groups(preds: DataFrame, by="horizon") -> DataFrame:
 
 
 def metrics_by_horizon(preds: DataFrame, by="horizon") -> DataFrame:
-    """Counts, AUC, F1, precision, recall and specificity per group with both classes."""
+    """Counts, AUC, F1, precision, recall and specificity per group with both classes, in one pass."""
     keys = _keys(by)
-    both = class_counts(preds, by).filter((F.col("n_cases") > 0) & (F.col("n_controls") > 0))
-    joined = both.join(roc_auc(preds, by), keys).join(binary_metrics(preds, by), keys)
-    return joined.select(
-        *keys, "n_patients", "n_cases", "n_controls", "roc_auc", "f1", "precision", "recall", "specificity"
+    totals = _totals(preds, keys).filter((F.col("_pos") > 0) & (F.col("_neg") > 0))
+    totals = totals.withColumns({"fn": F.col("_pos") - F.col("tp"), "tn": F.col("_neg") - F.col("fp")})
+    metrics = _from_confusion()
+    return totals.select(
+        *keys, (F.col("_pos") + F.col("_neg")).alias("n_patients"), F.col("_pos").alias("n_cases"),
+        F.col("_neg").alias("n_controls"), _auc().alias("roc_auc"),
+        *[metrics[c].alias(c) for c in ("f1", "precision", "recall", "specificity")],
     )
 
 
@@ -133,47 +162,73 @@ def epoch_precision(log: DataFrame) -> DataFrame:
     return log.groupBy("epoch").agg(F.avg("precision").alias("precision"))
 
 
+FOLD = 1000  # steps of one level that a step of the next level sums up
+
+
 def smooth(df: DataFrame, key: str, order: str, value: str, w: float = 0.9) -> DataFrame:
     """Add ``smoothed``: ``s0 = x0, s = w * s + (1 - w) * x`` along ``order`` within each ``key``.
 
-    ``order`` is a whole number, unique within the key. A series is cut into chunks of
-    equally many points. Within a chunk the recurrence is a running sum with weights
-    ``w^-i``. What enters a chunk is folded from the chunks just before it, as many as
-    still make a difference in double precision.
+    ``order`` is unique within the key, with gaps or not; NULL is a key like any other. A
+    series is cut into chunks of equally many points. Within a chunk the recurrence is a
+    running sum with weights ``w^-i``. As a whole, a chunk turns the value ``s`` that enters
+    it into ``a * s + b``; so do a thousand chunks in a row, and a thousand of those.
+    What enters a chunk follows from all steps before it, at three levels. A NaN or an
+    infinity stays to the end of the series, as in the recurrence.
     """
     if not 0 < w < 1:
         raise ValueError("w must lie between 0 and 1")
-    decay = -math.log(w)
-    size = max(1, min(1000, int(230 / decay)))
-    reach = math.ceil(60 / (size * decay)) + 1
-    rows = df.withColumn("_range", F.floor(F.col(order) / 1000))
-    rows = running_before(rows, [key], ["_range"], [F.col(order)], F.lit(1), "_rank").drop("_range")
-    rows = rows.withColumns(
-        {"_chunk": F.floor(F.col("_rank") / size), "_i": F.pmod(F.col("_rank"), F.lit(size)), "_x": F.col(value).cast("double")}
+    size = max(1, min(1000, int(230 / -math.log(w))))
+    rows = number_rows(df, [key], [order], "_rank").withColumns(
+        {
+            "_chunk": F.floor(F.col("_rank") / size),
+            "_i": F.pmod(F.col("_rank"), F.lit(size)),
+            "_x": F.col(value).cast("double"),
+        }
     )
     weighted = F.col("_x") * F.pow(F.lit(w), -F.col("_i"))
-
     chunks = rows.groupBy(key, "_chunk").agg(
         F.count("*").alias("_n"), F.sum(weighted).alias("_sum"), F.min_by("_x", "_rank").alias("_first")
     )
-    own = (1 - w) * F.pow(F.lit(w), F.col("_n") - 1) * F.col("_sum")
-    line = Window.partitionBy(key).orderBy("_chunk")
-    previous = line.rowsBetween(-reach, -1)
-    entering = chunks.select(
-        key, "_chunk",
-        F.collect_list(own).over(previous).alias("_own"),
-        F.first("_first").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_start"),
-    )
-    start = F.when(F.col("_chunk") <= reach, F.col("_start")).otherwise(F.lit(0.0))
-    entering = entering.select(
-        key, "_chunk",
-        F.aggregate("_own", start, lambda s, own: s * F.lit(w**size) + own).alias("_enter"),
+    power, is_first = F.pow(F.lit(w), F.col("_n")), F.col("_chunk") == 0
+    own = (1 - w) * power / w * F.col("_sum")
+    # The first chunk is entered by the first value, so that it needs nothing before it.
+    steps = chunks.select(
+        key, F.col("_chunk").alias("at"), "_first",
+        F.when(is_first, F.lit(0.0)).otherwise(power).alias("a"),
+        F.when(is_first, power * F.col("_first") + own).otherwise(own).alias("b"),
     )
+    entering = _entering(steps.drop("_first"), key, 2)
+    first = steps.filter("at = 0").select(key, F.col("_first").alias("_enter"), F.lit(0).cast("long").alias("_chunk"))
+    entering = entering.select(key, "_enter", F.col("at").alias("_chunk")).filter("_chunk > 0").unionByName(first)
     so_far = Window.partitionBy(key, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    smoothed = F.pow(F.lit(w), F.col("_i")) * (
-        w * F.col("_enter") + (1 - w) * F.sum(weighted).over(so_far)
+    rows = null_safe_join(rows.withColumn("_so_far", F.sum(weighted).over(so_far)), entering, [key, "_chunk"])
+    smoothed = F.pow(F.lit(w), F.col("_i")) * (w * F.col("_enter") + (1 - w) * F.col("_so_far"))
+    return rows.select(*df.columns, smoothed.alias("smoothed"))
+
+
+def _step(s, step):
+    """``a * s + b``, where an infinity is not lost when ``a`` has become 0."""
+    endless = F.abs(s) == F.lit(float("inf"))
+    return F.when(endless & (step["a"] == 0), s + step["b"]).otherwise(step["a"] * s + step["b"])
+
+
+def _entering(steps, key, levels):
+    """``key, at, _enter``: the value after all steps before each one. ``steps`` has ``key, at, a, b``."""
+    before = lambda *group: F.collect_list(F.struct("a", "b")).over(
+        Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    if not levels:
+        return steps.select(key, "at", F.aggregate(before(key), F.lit(0.0), _step).alias("_enter"))
+    steps = steps.withColumn("_up", F.floor(F.col("at") / FOLD))
+    listed = steps.groupBy(key, "_up").agg(F.sort_array(F.collect_list(F.struct("at", "a", "b"))).alias("_steps"))
+    folded = listed.select(
+        key, F.col("_up").alias("at"),
+        F.aggregate("_steps", F.lit(1.0), lambda p, x: p * x["a"]).alias("a"),
+        F.aggregate("_steps", F.lit(0.0), _step).alias("b"),
     )
-    return rows.join(entering, [key, "_chunk"]).select(*df.columns, smoothed.alias("smoothed"))
+    above = _entering(folded, key, levels - 1).select(key, F.col("at").alias("_up"), F.col("_enter").alias("_start"))
+    inside = null_safe_join(steps.withColumn("_list", before(key, "_up")), above, [key, "_up"])
+    return inside.select(key, "at", F.aggregate("_list", F.col("_start"), _step).alias("_enter"))
 
 
 def attribution_summary(attributions: DataFrame, by: tuple = ()) -> DataFrame:

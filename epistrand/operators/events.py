@@ -40,11 +40,21 @@ def last_visit(events: DataFrame) -> DataFrame:
     return events.groupBy("PATIENT_ID").agg(F.max("DATE").alias("LAST_VISIT_DATE"))
 
 
+def one_row_per_patient(demographics: DataFrame) -> DataFrame:
+    """``PATIENT_ID, AGE_AT_END``; fails if a patient is listed twice, since ages would be ambiguous."""
+    twice = F.raise_error(F.concat(F.lit("several demographic rows of patient "), F.col("PATIENT_ID")))
+    counted = demographics.groupBy("PATIENT_ID").agg(
+        F.count("*").alias("_n"), F.max("AGE_AT_END").alias("AGE_AT_END")
+    )
+    age = F.when(F.col("_n") > 1, twice.cast("int")).otherwise(F.col("AGE_AT_END"))
+    return counted.select("PATIENT_ID", age.alias("AGE_AT_END"))
+
+
 def year_of_birth(events: DataFrame, demographics: DataFrame) -> DataFrame:
     """``PATIENT_ID, YOB``: year of the last visit minus the age then. Patients without demographics drop out."""
     return (
         last_visit(events)
-        .join(demographics.select("PATIENT_ID", "AGE_AT_END"), "PATIENT_ID")
+        .join(one_row_per_patient(demographics), "PATIENT_ID")
         .select("PATIENT_ID", (F.year("LAST_VISIT_DATE") - F.col("AGE_AT_END")).alias("YOB"))
     )
 

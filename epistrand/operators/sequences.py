@@ -4,23 +4,22 @@ How a sequence is put together. Equal events of one patient and day are first co
 (``n`` copies, summed map-side), so a patient or a day with a huge number of rows costs
 no more than its distinct codes. The tokens before each day are then a running total
 over a narrow table with one row per patient and day, and the tokens before each code
-a running total within the day. With every token's position known, sequences are cut
-into parts of at most ``part_tokens`` tokens, and only one part is ever collected into
-one row.
-
-Part 0 holds the latest tokens of a sequence, part 1 the ones before, and so on; with
-the default size nearly every sequence is one row with ``part = 0``. ``n_tokens`` and
-``n_visits`` are those of the whole sequence.
+a running total within the day. With every token's absolute position known, tokens are
+collected into arrays.
+
+A sequence is one row, whatever its length. A caller who asks for ``segment_tokens`` gets
+every sequence in segments of that many tokens instead: ``start`` is the position of a
+segment's first token in the sequence and ``visit`` the number of visits that end before
+it. ``n_tokens`` and ``n_visits`` are always those of the whole sequence. Operators take
+both forms, and positions mean the same in both.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistrand.functions.arrays import count_token
+from epistrand.functions.arrays import count_token, tail
 from epistrand.schemas import SEP
 
-PART_TOKENS = 1_000_000
-
 # Stands for a missing date: later than any date.
 _NO_DAY = 2**31 - 1
 
@@ -50,57 +49,73 @@ def lay_out(days: DataFrame, keys: list[str]) -> DataFrame:
     return days.select(
         "*",
         F.coalesce(F.sum(tokens).over(before), F.lit(0)).alias("start"),
+        (F.row_number().over(whole.orderBy("day")) - 1).cast("long").alias("visit"),
         F.sum(tokens).over(whole).alias("n_tokens"),
         F.count("*").over(whole).alias("n_visits"),
     )
 
 
-def assemble(counts: DataFrame, layout: DataFrame, keys: list[str], part_tokens: int = PART_TOKENS) -> DataFrame:
+def assemble(counts: DataFrame, layout: DataFrame, keys: list[str], segment_tokens: int | None = None) -> DataFrame:
     """Token arrays from counted events and the layout of their days.
 
     ``counts`` has ``keys, day, CODE, AGE, n``; ``layout`` has ``keys, day, sep_age`` and
     the columns of :func:`lay_out`. If ``AGE`` is missing from ``counts``, all events of a
-    day get ``sep_age``. Returns ``keys, part, n_tokens, n_visits, code, age``.
+    day get ``sep_age``. Returns ``keys, n_tokens, n_visits, code, age``, and before them
+    ``start, visit`` if ``segment_tokens`` is given.
+    """
+    return collect_runs(place(counts, layout, keys), keys, segment_tokens)
+
+
+def place(counts: DataFrame, layout: DataFrame, keys: list[str], carry=("n_tokens", "n_visits")) -> DataFrame:
+    """Runs of equal tokens at their absolute positions: the long form that arrays are collected from.
+
+    ``keys, at, n, visit, code, age, sep_age, closes`` and the columns of the layout in
+    ``carry``. ``closes`` marks the last run of a day, which the separator follows.
     """
     has_age = "AGE" in counts.columns
     order = [F.col("CODE").asc_nulls_last()] + ([F.col("AGE").asc_nulls_last()] if has_age else [])
     before = (
         Window.partitionBy(*keys, "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    age = F.col("AGE") if has_age else F.col("sep_age")
     # The window leaves the counts partitioned and sorted for a merge join. The size of
     # compressed files may make Spark believe that they can be broadcast instead.
     placed = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
         layout.hint("merge"), [*keys, "day"]
     )
-    runs = placed.select(
-        *keys, "CODE", age.alias("AGE"), "sep_age", "n", "n_tokens", "n_visits",
-        (F.col("start") + F.col("_before")).alias("at"),
-        # The last code of a day is followed by the separator.
+    return placed.select(
+        *keys, *carry, (F.col("start") + F.col("_before")).alias("at"), "n", "visit",
+        F.col("CODE").alias("code"), (F.col("AGE") if has_age else F.col("sep_age")).alias("age"), "sep_age",
         (F.col("_before") + F.col("n") == F.col("n_day")).alias("closes"),
     )
-    return _collect_parts(runs, keys, part_tokens, "sep_age" if has_age else "age")
-
-
-def _collect_parts(runs, keys, part_tokens, sep_age):
-    """Cut runs of equal tokens at the part borders and collect each part."""
-    size, at, n, total = F.lit(part_tokens).cast("long"), F.col("at"), F.col("n"), F.col("n_tokens")
-    last = at + n + F.col("closes").cast("long") - 1
-    part_of = lambda position: F.floor((total - 1 - position) / size)
-    pieces = runs.withColumn("part", F.explode(F.sequence(part_of(last), part_of(at))))
-    low = total - (F.col("part") + 1) * size
-    high = total - F.col("part") * size
-    first = F.greatest(at, low)
-    copies = F.greatest(F.least(at + n, high) - first, F.lit(0)).cast("int")
-    has_sep = F.col("closes") & (at + n >= low) & (at + n < high)
-    fields = [
-        first.alias("at"), F.col("CODE").alias("code"), F.col("AGE").alias("age"),
-        copies.alias("copies"), has_sep.alias("sep"),
-    ]
-    piece = F.struct(*fields, *([F.col("sep_age")] if sep_age == "sep_age" else []))
-    group = [*keys, "part", "n_tokens", "n_visits"]
+
+
+def last_tokens(runs: DataFrame, n: int) -> DataFrame:
+    """The runs of the last ``n`` tokens of each sequence, cut at its border, so that no more is ever collected."""
+    first = F.greatest(F.col("n_tokens") - n, F.lit(0))
+    gone = F.greatest(first - F.col("at"), F.lit(0))
+    cut = runs.filter(F.col("at") + F.col("n") + F.col("closes").cast("long") > first)
+    return cut.withColumns({"at": F.col("at") + F.least(gone, F.col("n")), "n": F.greatest(F.col("n") - gone, F.lit(0))})
+
+
+def collect_runs(runs: DataFrame, keys: list[str], segment_tokens: int | None = None) -> DataFrame:
+    """Collect runs of equal tokens into one row per sequence, or per segment of it."""
+    at, n, closes = F.col("at"), F.col("n"), F.col("closes").cast("long")
+    group, first, copies, has_sep = list(keys), at, n, F.col("closes")
+    if segment_tokens is not None:
+        if segment_tokens < 1:
+            raise ValueError("segment_tokens must be at least 1")
+        size = F.lit(segment_tokens).cast("long")
+        segments = F.sequence(F.floor(at / size), F.floor((at + n + closes - 1) / size))
+        runs = runs.withColumn("start", F.explode(F.transform(segments, lambda i: i * size)))
+        low, high = F.col("start"), F.col("start") + size
+        first = F.greatest(at, low)
+        copies = F.greatest(F.least(at + n, high) - first, F.lit(0))
+        has_sep = F.col("closes") & (at + n >= low) & (at + n < high)
+        group.append("start")
+    group += ["n_tokens", "n_visits"]
+    piece = F.struct(first.alias("at"), "code", "age", "sep_age", copies.cast("int").alias("copies"), has_sep.alias("sep"), "visit")
     # Rows arrive in groups, so that each array is filled in one go.
-    pieces = pieces.select(*group, piece.alias("piece")).repartition(*group).sortWithinPartitions(*group)
+    pieces = runs.select(*group, piece.alias("piece")).repartition(*group).sortWithinPartitions(*group)
     collected = pieces.groupBy(*group).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def spread(value, closing):
@@ -110,30 +125,32 @@ def _collect_parts(runs, keys, part_tokens, sep_age):
 
         return F.flatten(F.transform("pieces", one))
 
+    visit = [F.get("pieces", F.lit(0))["visit"].alias("visit")] if segment_tokens is not None else []
     return collected.select(
-        *keys, F.col("part").cast("int").alias("part"), "n_tokens", "n_visits",
+        *group[:-2], *visit, "n_tokens", "n_visits",
         spread(lambda p: p["code"], lambda p: F.lit(SEP)).alias("code"),
-        spread(lambda p: p["age"], lambda p: p[sep_age]).alias("age"),
+        spread(lambda p: p["age"], lambda p: p["sep_age"]).alias("age"),
     )
 
 
-def build_visits(events: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+def build_visits(events: DataFrame, segment_tokens: int | None = None) -> DataFrame:
     """One row per patient and day: the sorted codes of the day and their ages, closed by SEP.
 
-    ``events`` has ages (see ``add_age``). Returns ``PATIENT_ID, DATE, part, n_tokens, code, age``.
+    ``events`` has ages (see ``add_age``). Returns ``PATIENT_ID, DATE, n_tokens, code, age``,
+    and ``start`` in the visit if it is cut into segments.
     """
     counts = count_events(events, "AGE")
     days = _days(counts, ["PATIENT_ID"])
-    layout = days.withColumns(
-        {"start": F.lit(0).cast("long"), "n_tokens": F.col("n_day") + 1, "n_visits": F.lit(1)}
-    )
+    zero = F.lit(0).cast("long")
+    layout = days.withColumns({"start": zero, "visit": zero, "n_tokens": F.col("n_day") + 1, "n_visits": F.lit(1)})
     # The day is part of the key, so positions count within the visit.
     visits = assemble(
-        counts.withColumn("visit", F.col("day")), layout.withColumn("visit", F.col("day")),
-        ["PATIENT_ID", "visit"], part_tokens,
+        counts.withColumn("_day", F.col("day")), layout.withColumn("_day", F.col("day")),
+        ["PATIENT_ID", "_day"], segment_tokens,
     )
-    date = F.when(F.col("visit") != F.lit(_NO_DAY), F.date_from_unix_date("visit"))
-    return visits.select("PATIENT_ID", date.alias("DATE"), "part", "n_tokens", "code", "age")
+    date = F.when(F.col("_day") != F.lit(_NO_DAY), F.date_from_unix_date("_day"))
+    start = [] if segment_tokens is None else ["start"]
+    return visits.select("PATIENT_ID", date.alias("DATE"), *start, "n_tokens", "code", "age")
 
 
 def _days(counts, keys):
@@ -141,44 +158,52 @@ def _days(counts, keys):
     return counts.groupBy(*keys, "day").agg(F.sum("n").alias("n_day"), F.min("AGE").alias("sep_age"))
 
 
-def build_sequences(events: DataFrame, part_tokens: int = PART_TOKENS, by: tuple = ()) -> DataFrame:
-    """The visits of each patient in date order: ``patid, part, n_tokens, n_visits, code, age``.
+def build_sequences(events: DataFrame, segment_tokens: int | None = None, by: tuple = ()) -> DataFrame:
+    """The visits of each patient in date order: ``patid, n_tokens, n_visits, code, age``.
 
     ``events`` has ages (see ``add_age``). With ``by`` there is one sequence per patient
     and value of those columns.
     """
     keys = [*by, "PATIENT_ID"]
-    return sequences_from_counts(count_events(events, "AGE", *by), keys, part_tokens)
+    return sequences_from_counts(count_events(events, "AGE", *by), keys, segment_tokens)
 
 
-def sequences_from_counts(counts: DataFrame, keys: list[str], part_tokens: int = PART_TOKENS) -> DataFrame:
+def sequences_from_counts(counts: DataFrame, keys: list[str], segment_tokens: int | None = None) -> DataFrame:
     """As :func:`build_sequences`, from events that are already counted."""
     layout = lay_out(_days(counts, keys), keys)
-    return assemble(counts, layout, keys, part_tokens).withColumnRenamed("PATIENT_ID", "patid")
+    return assemble(counts, layout, keys, segment_tokens).withColumnRenamed("PATIENT_ID", "patid")
 
 
 def once_each(sequences: DataFrame) -> DataFrame:
-    """One row per sequence: its first-listed part, if it comes in parts."""
-    return sequences.filter(F.col("part") == 0) if "part" in sequences.columns else sequences
+    """One row per sequence: its first segment, if it comes in segments."""
+    return sequences.filter(F.col("start") == 0) if "start" in sequences.columns else sequences
 
 
 def latest(sequences: DataFrame, n: int) -> DataFrame:
-    """One row per sequence, holding at least its last ``n`` tokens (all, if there are fewer)."""
-    if "part" not in sequences.columns:
-        return sequences
-    if n > PART_TOKENS:
-        raise ValueError(f"at most the last {PART_TOKENS} tokens are in one row")
-    return sequences.filter(F.col("part") == 0).drop("part")
+    """One row per sequence with its last ``n`` tokens (all, if there are fewer) in ``code`` and ``age``.
+
+    Of a sequence in segments only those that hold such tokens are brought together.
+    """
+    arrays = [c for c in ("code", "age") if c in sequences.columns]
+    if "start" not in sequences.columns:
+        return sequences.withColumns({c: tail(F.col(c), n) for c in arrays})
+    gone = F.greatest(F.col("n_tokens") - n - F.col("start"), F.lit(0)).cast("int")
+    cut = sequences.filter(F.col("start") + F.size("code") > F.col("n_tokens") - n)
+    cut = cut.withColumns({c: F.slice(c, gone + 1, F.greatest(F.size(c) - gone, F.lit(0))) for c in arrays})
+    others = [c for c in sequences.columns if c not in ("start", "visit", *arrays)]
+    joined = cut.groupBy(*others).agg(F.sort_array(F.collect_list(F.struct("start", *arrays))).alias("_segments"))
+    columns = {c: F.flatten(F.col(f"_segments.{c}")) for c in arrays}
+    return joined.select(*others, *[v.alias(c) for c, v in columns.items()])
 
 
 def min_tokens(sequences: DataFrame, n: int = 2) -> DataFrame:
-    """Sequences of at least ``n`` tokens, separators included."""
+    """Sequences of at least ``n`` tokens, separators included; all segments of those in segments."""
     length = F.col("n_tokens") if "n_tokens" in sequences.columns else F.size("code")
     return sequences.filter(length >= n)
 
 
 def min_visits(sequences: DataFrame, n: int = 5) -> DataFrame:
-    """Sequences of at least ``n`` visits."""
+    """Sequences of at least ``n`` visits; all segments of those in segments."""
     visits = F.col("n_visits") if "n_visits" in sequences.columns else count_token(F.col("code"))
     return sequences.filter(visits >= n)
 
@@ -194,23 +219,21 @@ def visit_filter_report(sequences: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def _lengths(sequences):
+    whole = once_each(sequences)
+    length = F.col("n_tokens") if "n_tokens" in sequences.columns else F.size("code").cast("long")
+    return whole.withColumn("seq_len", length)
+
+
 def sequence_summary(sequences: DataFrame) -> DataFrame:
-    """``n_patients, avg_seq_len, max_seq_len``. With part columns no array is read."""
-    if "part" in sequences.columns:
-        whole = sequences.filter(F.col("part") == 0).select(F.col("n_tokens").alias("length"))
-    else:
-        whole = sequences.select(F.size("code").cast("long").alias("length"))
-    return whole.agg(
+    """``n_patients, avg_seq_len, max_seq_len``. Where there is ``n_tokens``, no array is read."""
+    return _lengths(sequences).agg(
         F.count("*").alias("n_patients"),
-        F.avg("length").alias("avg_seq_len"),
-        F.max("length").alias("max_seq_len"),
+        F.avg("seq_len").alias("avg_seq_len"),
+        F.max("seq_len").alias("max_seq_len"),
     )
 
 
 def longest_sequences(sequences: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` longest sequences: ``patid, seq_len``."""
-    if "part" in sequences.columns:
-        whole = sequences.filter(F.col("part") == 0).select("patid", F.col("n_tokens").alias("seq_len"))
-    else:
-        whole = sequences.select("patid", F.size("code").cast("long").alias("seq_len"))
-    return whole.orderBy(F.desc("seq_len"), "patid").limit(k)
+    return _lengths(sequences).select("patid", "seq_len").orderBy(F.desc("seq_len"), "patid").limit(k)

@@ -3,67 +3,76 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast only if a count shows at most this many narrow rows.
-BROADCAST_ROWS = 200_000
+from epistrand.sources.store import materialize
 
-# A key is hot if it has more than this share of the rows; so there are at most
-# 1 / HOT_SHARE hot keys, however large the table.
-HOT_SHARE = 0.001
-SALTS = 64
+# A lookup table is broadcast only if Spark's statistics say that it has at most this many bytes.
+BROADCAST_BYTES = 8_000_000
 
+# Rows of one key that may go to one task. Keys with more are spread over as many salts as
+# they have such shares; the share grows with the table, so that there are at most MAX_HOT.
+TASK_ROWS = 1_000_000
+MAX_HOT = 10_000
 
-def fits_in_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count, but no further than one row past the limit."""
-    return lookup.limit(max_rows + 1).count() <= max_rows
 
+def fits_in_broadcast(lookup: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the table is small by the statistics of its plan, which start from file sizes. Runs nothing.
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """The keys that have more than ``share`` of all rows: at most ``1 / share`` of them."""
+    A table made by joins is taken to be large; ``materialize`` it first if it is small.
+    """
+    return int(lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
+
+
+def hot_keys(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The keys with more rows than a task should get, and the salts to spread each over: ``key, _salts``."""
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    limit = counts.agg((F.sum("_n") * F.lit(share)).alias("_limit")).scalar()
-    return counts.filter(F.col("_n") > limit).select(key)
+    share = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) / F.lit(MAX_HOT), F.lit(float(task_rows)))).scalar()
+    return counts.filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
 
 
-def salted_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str, share: float = HOT_SHARE, salts: int = SALTS
-) -> DataFrame:
-    """Shuffle join in which the rows of a hot key are spread over ``salts`` tasks.
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, how: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Shuffle join in which the rows of a hot key are spread over several tasks.
 
-    The lookup rows of a hot key are repeated once per salt, so each row still meets
-    its lookup row exactly once. Only the list of hot keys is broadcast, which is bounded.
+    The lookup row of a hot key is repeated once per salt, so each row still meets it
+    exactly once. Only the list of hot keys is broadcast, of which there are at most
+    ``MAX_HOT``. Rows without a key match nothing and are not shuffled.
     """
-    hot = hot_keys(rows, key, share).withColumn("_hot", F.lit(True))
-    # Equal rows from different input partitions get different salts. Both terms come
-    # out the same when a lost task is run again.
-    spread = F.xxhash64(*[c for c in rows.columns]) + F.spark_partition_id()
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    hot = F.broadcast(hot_keys(rows, key, task_rows))
+    # Equal rows from different input partitions get different salts, the same ones when a lost task is run again.
+    spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.col("_salts"))
+    keyed = rows.filter(F.col(key).isNotNull()).join(hot, key, "left")
+    left = keyed.withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_salts")
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    joined = left.join(right, [key, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return joined
+    return joined.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", max_bytes: int = BROADCAST_BYTES,
     bound: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows to a table that is unique on ``key``.
 
-    A lookup table that is counted to be small is broadcast, so that ``rows`` are not
-    shuffled at all; a larger one goes through :func:`salted_join`. ``bound`` is a table
-    with at least as many rows that is cheaper to count, such as the one that ``lookup``
-    is made from.
+    A small lookup table is broadcast, so that ``rows`` are not shuffled at all; a larger
+    one goes through :func:`salted_join`. ``bound`` is a table with at least as many bytes
+    whose size is known, such as the stored one that ``lookup`` is made from.
     """
-    if fits_in_broadcast(lookup if bound is None else bound, max_rows):
+    if fits_in_broadcast(lookup if bound is None else bound, max_bytes):
         return rows.join(F.broadcast(lookup), key, how)
     return salted_join(rows, lookup, key, how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys match each other; the keys come out once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_before(
     df: DataFrame, group: list[str], levels: list[str], order: list[Column], value: Column, out: str
 ) -> DataFrame:
@@ -71,7 +80,8 @@ def running_before(
 
     The order is by ``levels`` first and then by ``order``, and must be total. A window
     over a whole group would run in one task; here each window covers one combination
-    of the levels, and totals per level say what came before it.
+    of the levels, and totals per level say what came before it. NULL is a value like
+    any other in groups and levels.
     """
     rows = df.withColumn("_v", value)
     totals = rows.groupBy(*group, *levels).agg(F.sum("_v").alias("_v"))
@@ -87,7 +97,7 @@ def running_before(
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         before = here.select(*at, F.coalesce(F.sum("_t").over(window), F.lit(0)).alias(f"_b{depth}"))
-        bases = before if depth == len(levels) else bases.join(before, at)
+        bases = before if depth == len(levels) else null_safe_join(bases, before, at)
     base = sum((F.col(f"_b{d}") for d in range(1, len(levels) + 1)), F.lit(0))
     bases = bases.select(*group, *levels, base.alias("_base"))
     window = (
@@ -95,7 +105,17 @@ def running_before(
     )
     inside = F.coalesce(F.sum("_v").over(window), F.lit(0))
     return (
-        rows.join(bases, group + levels)
-        .withColumn(out, F.col("_base") + inside)
-        .drop("_v", "_base")
+        null_safe_join(rows.withColumn("_inside", inside), bases, group + levels)
+        .withColumn(out, F.col("_base") + F.col("_inside"))
+        .drop("_v", "_base", "_inside")
     )
+
+
+def number_rows(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 0 in the order of columns that identify a row.
+
+    The ranges that the rows are cut into come from the data: they are sorted across all
+    tasks and stored, and each task's rows are numbered after those of the tasks before it.
+    """
+    dealt = materialize(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    return running_before(dealt, group, ["_range"], [F.col(c) for c in order], F.lit(1), out).drop("_range")

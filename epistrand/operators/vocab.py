@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from epistrand.operators.skew import running_before
+from epistrand.operators.skew import number_rows
 from epistrand.schemas import PAD, SPECIAL_TOKENS, UNK
 from epistrand.sources.store import local_table
 
@@ -15,17 +16,18 @@ def _symbols(spark, symbols):
     )
 
 
-def build_vocab(sequences: DataFrame, column: str = "code") -> DataFrame:
-    """Vocabulary of a token column: PAD, UNK, CLS, SEP, MASK are 0 to 4, then all others in alphabetical order.
+def build_vocab(rows: DataFrame, column: str = "code") -> DataFrame:
+    """Vocabulary of a column of tokens or of token arrays.
 
-    Tokens are made distinct map-side; they are numbered within their first characters.
+    PAD, UNK, CLS, SEP, MASK are 0 to 4, then come all others in alphabetical order. Tokens
+    are made distinct map-side and numbered by ranges that come from the data.
     """
-    tokens = sequences.select(F.explode(column).alias("token")).distinct()
+    is_array = isinstance(rows.schema[column].dataType, ArrayType)
+    tokens = rows.select((F.explode(column) if is_array else F.col(column)).alias("token")).distinct()
     others = tokens.filter(F.col("token").isNotNull() & ~F.col("token").isin(SPECIAL_TOKENS))
-    others = others.withColumns({"_head": F.substring("token", 1, 4), "_stem": F.substring("token", 1, 12)})
-    ranked = running_before(others, [], ["_head", "_stem"], [F.col("token")], F.lit(1), "_before")
-    numbered = ranked.select("token", (F.col("_before") + len(SPECIAL_TOKENS)).cast("int").alias("idx"))
-    return _symbols(sequences.sparkSession, SPECIAL_TOKENS).unionByName(numbered)
+    numbered = number_rows(others, [], ["token"], "_before")
+    ids = numbered.select("token", (F.col("_before") + len(SPECIAL_TOKENS)).cast("int").alias("idx"))
+    return _symbols(rows.sparkSession, SPECIAL_TOKENS).unionByName(ids)
 
 
 def invert_vocab(vocab: DataFrame) -> DataFrame:

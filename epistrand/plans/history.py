@@ -10,16 +10,11 @@ than a patient's number of days.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistrand.operators.censor import cutoffs, earliest_index, expand_horizons, reference_dates
+from epistrand.functions.scalars import years_before
+from epistrand.operators.censor import earliest_index, reference_dates
 from epistrand.operators.cohort import restrict_to
-from epistrand.operators.events import age_text
-from epistrand.operators.sequences import (
-    PART_TOKENS,
-    assemble,
-    count_events,
-    lay_out,
-    year_of_day,
-)
+from epistrand.operators.events import age_text, one_row_per_patient
+from epistrand.operators.sequences import collect_runs, count_events, lay_out, place, year_of_day
 from epistrand.schemas import HORIZON_YEARS
 
 _PATIENT = ["PATIENT_ID"]
@@ -34,23 +29,13 @@ def _aged_days(days, demographics):
     last = F.max(F.when(year_of_day(F.col("day")).isNotNull(), F.col("day"))).over(
         Window.partitionBy("PATIENT_ID")
     )
-    known = days.withColumn("_last", last).join(_one_row_each(demographics), "PATIENT_ID")
+    known = days.withColumn("_last", last).join(one_row_per_patient(demographics), "PATIENT_ID")
     birth = year_of_day(F.col("_last")) - F.col("AGE_AT_END")
     return known.withColumn("sep_age", age_text(year_of_day(F.col("day")), birth)).drop(
         "_last", "AGE_AT_END"
     )
 
 
-def _one_row_each(demographics):
-    """``PATIENT_ID, AGE_AT_END``; fails if a patient is listed twice, as ages would be ambiguous."""
-    twice = F.raise_error(F.concat(F.lit("several demographic rows of patient "), F.col("PATIENT_ID")))
-    age = F.when(F.col("_n") > 1, twice.cast("int")).otherwise(F.col("AGE_AT_END"))
-    counted = demographics.groupBy("PATIENT_ID").agg(
-        F.count("*").alias("_n"), F.max("AGE_AT_END").alias("AGE_AT_END")
-    )
-    return counted.select("PATIENT_ID", age.alias("AGE_AT_END"))
-
-
 def _censored_days(counts, dx_dates):
     days = counts.groupBy("PATIENT_ID", "day").agg(F.sum("n").alias("n_day"))
     joined = days.join(earliest_index(dx_dates), "PATIENT_ID", "left")
@@ -60,16 +45,22 @@ def _censored_days(counts, dx_dates):
 
 
 def patient_sequences(
-    events: DataFrame, dx_dates: DataFrame, demographics: DataFrame, part_tokens: int = PART_TOKENS
+    events: DataFrame, dx_dates: DataFrame, demographics: DataFrame, segment_tokens: int | None = None
 ) -> DataFrame:
-    """The same as ``censor_at_index``, ``add_age`` and ``build_sequences`` one after the other.
+    """The same as ``censor_at_index``, ``add_age`` and ``build_sequences`` one after the other."""
+    runs = patient_runs(events, dx_dates, demographics)
+    return collect_runs(runs, _PATIENT, segment_tokens).withColumnRenamed("PATIENT_ID", "patid")
+
+
+def patient_runs(events: DataFrame, dx_dates: DataFrame, demographics: DataFrame) -> DataFrame:
+    """The tokens of :func:`patient_sequences` in long form (see ``sequences.place``), keyed by ``PATIENT_ID``.
 
-    ``demographics`` must have one row per patient; otherwise the job fails.
+    With ``sequences.last_tokens`` and ``collect_runs``, training tables need no more than
+    the tokens that they use.
     """
     counts = count_events(events)
     days = _aged_days(_censored_days(counts, dx_dates), demographics)
-    layout = lay_out(days, _PATIENT)
-    return assemble(counts, layout, _PATIENT, part_tokens).withColumnRenamed("PATIENT_ID", "patid")
+    return place(counts, lay_out(days, _PATIENT), _PATIENT)
 
 
 def horizon_test_sets(
@@ -78,35 +69,43 @@ def horizon_test_sets(
     dx_dates: DataFrame,
     test: DataFrame,
     years: list | None = None,
-    part_tokens: int = PART_TOKENS,
+    segment_tokens: int | None = None,
 ) -> DataFrame:
     """Test sequences cut off N years before the reference date, for all horizons in one pass.
 
     ``events`` are censored at the index date; ``test`` has ``patid, label``. Ages refer to
     the whole history, so they do not change from horizon to horizon. Returns
-    ``years, patid, label, part, n_tokens, n_visits, code, age``.
+    ``years, patid, label, n_tokens, n_visits, code, age``.
+
+    A horizon is a prefix of the history, so a token has the same position in all of them.
+    The layout is therefore made once; each day carries the horizons that it is part of and
+    their lengths, and its counted events are repeated only when they are collected.
     """
     people = test.select(F.col("patid").alias("PATIENT_ID"), "label").filter(F.col("label").isNotNull())
     counts = count_events(restrict_to(events, test))
     days = counts.groupBy("PATIENT_ID", "day").agg(F.sum("n").alias("n_day"))
     references = reference_dates(test, dx_dates, days.withColumn("DATE", _date(F.col("day"))))
-    limits = cutoffs(references, HORIZON_YEARS if years is None else years)
+    limits = references.filter(F.col("REF_DATE").isNotNull()).join(people, "PATIENT_ID").drop("is_case")
     aged = _aged_days(days, demographics.filter(F.col("AGE_AT_END").isNotNull()))
-    open_days = expand_horizons(aged.join(limits, "PATIENT_ID"), _date(F.col("day")))
-    keys = ["years", "PATIENT_ID"]
-    layout = lay_out(open_days, keys)
-    sequences = _assemble_horizons(counts, layout, part_tokens)
-    return (
-        sequences.filter(F.col("n_tokens") >= 2)
-        .join(people, "PATIENT_ID")
-        .select(
-            "years", F.col("PATIENT_ID").alias("patid"), "label", "part", "n_tokens", "n_visits", "code", "age"
-        )
-    )
-
-
-def _assemble_horizons(counts, layout, part_tokens):
-    """One day serves several horizons: repeat its counted events for each, then assemble."""
-    horizons = layout.groupBy("PATIENT_ID", "day").agg(F.collect_set("years").alias("_years"))
-    repeated = counts.join(horizons, ["PATIENT_ID", "day"]).withColumn("years", F.explode("_years"))
-    return assemble(repeated.drop("_years"), layout, ["years", "PATIENT_ID"], part_tokens)
+    layout = lay_out(aged, _PATIENT).drop("n_tokens", "n_visits").join(limits, "PATIENT_ID")
+    layout = _with_horizons(layout, HORIZON_YEARS if years is None else years)
+    runs = place(counts, layout, _PATIENT, carry=["label", "_horizons"])
+    repeated = runs.withColumn("_h", F.explode("_horizons")).select("*", "_h.*").drop("_h", "_horizons")
+    keys = ["years", "PATIENT_ID", "label"]
+    sequences = collect_runs(repeated.filter(F.col("n_tokens") >= 2), keys, segment_tokens)
+    return sequences.withColumnRenamed("PATIENT_ID", "patid")
+
+
+def _with_horizons(layout, years):
+    """Days that some horizon holds, with ``_horizons``: ``(years, n_tokens, n_visits)`` of each that holds them."""
+    whole = Window.partitionBy("PATIENT_ID")
+    day = _date(F.col("day"))
+    horizons = []
+    for n in years:
+        inside = F.coalesce(day < years_before(F.col("REF_DATE"), n), F.lit(False))
+        tokens = F.max(F.when(inside, F.col("start") + F.col("n_day") + 1)).over(whole)
+        visits = F.max(F.when(inside, F.col("visit") + 1)).over(whole)
+        found = F.struct(F.lit(n).alias("years"), tokens.alias("n_tokens"), visits.alias("n_visits"))
+        horizons.append(F.when(inside, found))
+    held = layout.withColumn("_horizons", F.filter(F.array(*horizons), lambda h: h.isNotNull()))
+    return held.filter(F.size("_horizons") > 0).drop("REF_DATE")

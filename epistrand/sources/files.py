@@ -8,7 +8,7 @@ from epistrand.functions.scalars import bucket_of
 
 
 def _csv_columns(spark, path, schema, sep):
-    """Names of all columns of a file; only its first line is read."""
+    """Names of all columns, from the first line of the first file."""
     header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     missing = [name for name in schema.names if name not in header]
     if missing:
@@ -17,7 +17,8 @@ def _csv_columns(spark, path, schema, sep):
 
 
 def _read_csv(spark, path, fields, mode, sep):
-    reader = spark.read.schema(StructType(fields)).option("header", True).option("sep", sep)
+    # With enforceSchema off, a file whose header has other names or another order fails the job.
+    reader = spark.read.schema(StructType(fields)).option("header", True).option("sep", sep).option("enforceSchema", False)
     # A row with too few or too many values is bad, whichever columns a query uses.
     return reader.option("mode", mode).option("columnPruning", False).csv(path)
 
@@ -25,8 +26,9 @@ def _read_csv(spark, path, fields, mode, sep):
 def read_csv_lenient(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
     """CSV with a header; rows that do not fit the schema are left out.
 
-    Columns are found by name; further columns of the file are ignored. Values are read as
-    text and converted here, since the reader itself looks only at the columns in use.
+    Columns are found by name; further columns are ignored. All files must have the same
+    columns in the same order, else the job fails. Values are read as text and converted
+    here, since the reader itself looks only at the columns in use.
     """
     header = _csv_columns(spark, path, schema, sep)
     table = _read_csv(spark, path, [StructField(name, StringType()) for name in header], "DROPMALFORMED", sep)
@@ -101,10 +103,9 @@ def rebuild_partitions(df: DataFrame, path: str, by: str = "bucket", skip_presen
     otherwise the partitions in ``df`` are replaced and all others left alone.
     Directories appear at the final commit of the job, so one that is present is whole.
     """
-    spark = df.sparkSession
-    if skip_present and _exists(spark, path):
-        present = spark.read.parquet(path).select(by).distinct()
-        df = df.join(present, by, "left_anti")
+    if skip_present:
+        present = _present(df.sparkSession, path, by)
+        df = df.filter(~F.coalesce(F.col(by).cast("string"), F.lit(_NULL_PARTITION)).isin(present)) if present else df
     (
         df.hint("rebalance", by)
         .write.mode("overwrite")
@@ -114,10 +115,17 @@ def rebuild_partitions(df: DataFrame, path: str, by: str = "bucket", skip_presen
     )
 
 
-def _exists(spark, path):
-    from pyspark.errors import AnalysisException
+# The directory of the rows whose partition value is NULL.
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException:
-        return False
+
+def _present(spark, path, by):
+    """The values of ``by`` that have a directory under ``path``; listed, not read."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(where) if s.isDirectory()]
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return [unescape(n.split("=", 1)[1]) for n in names if n.startswith(f"{by}=")]

@@ -100,6 +100,6 @@ def test_plans_agree_with_the_operators_one_by_one(spark, tables):
     refs = C.reference_dates(test, index, censored)
     aged = add_age(censored, demo.filter(F.col("AGE_AT_END").isNotNull()))
     by_hand = build_sequences(C.censor_at_horizon(aged, refs, [1, 2]), by=("years",)).join(test, "patid")
-    columns = ["years", "patid", "label", "part", "n_tokens", "n_visits", "code", "age"]
+    columns = ["years", "patid", "label", "n_tokens", "n_visits", "code", "age"]
     assert rows(sets.select(columns)) == rows(by_hand.select(columns))
     assert sets.count() == 4

@@ -58,17 +58,28 @@ def test_undersample(people):
     assert rows(H.label_distribution(balanced)) == [(0, 26), (1, 26)]
     zeros = sorted((r.patid for r in people.collect() if r.label == 0), key=lambda p: key(p, 42))[:26]
     assert sorted(r.patid for r in balanced.filter("label = 0").collect()) == sorted(zeros)
-    with pytest.raises(ValueError):
-        H.undersample(people.withColumn("label", 1 - F.col("label")))
+    with pytest.raises(Exception, match="cannot draw 75 of 26 rows"):
+        H.undersample(people.withColumn("label", 1 - F.col("label"))).collect()
     assert H.undersample(people.filter("label = 0")).count() == 0
 
 
-def test_patients_in_parts_count_once(people):
-    parts = people.withColumn("part", F.explode(F.when(F.col("label") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
-    assert rows(H.label_distribution(H.undersample(parts, 42))) == [(0, 26), (1, 26)]
-    assert H.undersample(parts, 42).count() == 26 + 3 * 26
-    assert rows(H.stratified_split(parts).select("patid", "split").distinct()) == rows(H.stratified_split(people).select("patid", "split"))
-    assert H.steps_per_epoch(parts, 32) == 3
+def test_split_sizes_are_those_of_the_whole(spark):
+    """50 patients in 7 strata: 10 for the test set, not a ceiling per stratum; no label, no split."""
+    rows_ = [(f"p{i}", i % 7) for i in range(50)] + [("none", None)]
+    split = H.stratified_split(spark.createDataFrame(rows_, "patid string, label int"), 0.2, 42)
+    sizes = {r.label: r.n for r in split.filter("split = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # The first stratum has 8 patients, the others 7: shares of 1.6 and 1.4.
+    assert sizes == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert split.count() == 50
+
+
+def test_patients_in_segments_count_once(people):
+    starts = F.when(F.col("label") == 1, F.array(F.lit(0), F.lit(7), F.lit(14))).otherwise(F.array(F.lit(0)))
+    segments = people.withColumn("start", F.explode(starts))
+    assert rows(H.label_distribution(H.undersample(segments, 42))) == [(0, 26), (1, 26)]
+    assert H.undersample(segments, 42).count() == 26 + 3 * 26
+    assert rows(H.stratified_split(segments).select("patid", "split").distinct()) == rows(H.stratified_split(people).select("patid", "split"))
+    assert H.steps_per_epoch(segments, 32) == 3
 
 
 def test_undersampling_does_not_shuffle_the_sequences(people):

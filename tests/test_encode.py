@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -41,41 +40,6 @@ def vocab(spark):
 IDS = {t: i for i, t in enumerate(SPECIAL + ["a", "b", "c", "zz"])}
 
 
-def uniform(*parts):
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
-
-
-def cut(code, age, n):
-    code, age = code[-(n - 1):], age[-(n - 1):]
-    if code[0] == "SEP":
-        return ["CLS"] + code[1:], age
-    return ["CLS"] + code, age[:1] + age
-
-
-def fill(values, n, symbol):
-    return (values + [symbol] * n)[:n]
-
-
-def example(patid, code, age, n, seed=None):
-    code, age = cut(code, age, n)
-    ages = [int(a) + 2 if a.isdigit() and int(a) < 1320 else 1 for a in age]
-    ids = [IDS.get(c, 1) for c in code]
-    masked, label = list(ids), [-1] * len(ids)
-    for i in range(len(ids)) if seed is not None else ():
-        u = uniform(patid, i, seed) / 2**32
-        if u < 0.15:
-            label[i] = ids[i]
-            if u / 0.15 < 0.8:
-                masked[i] = IDS["MASK"]
-            elif u / 0.15 < 0.9:
-                masked[i] = uniform(patid, i, seed, "id") % len(IDS)
-    visit = [sum(c == "SEP" for c in fill(code, n, "PAD")[:i]) for i in range(n)]
-    return (
-        patid, fill(ages, n, 0), fill(masked, n, 0), visit, [v % 2 for v in visit],
-        fill([1] * len(code), n, 0), fill(label, n, -1),
-    )
-
-
 def by_id(df):
     return {r.patid: tuple(r) for r in df.collect()}
 
@@ -96,39 +60,100 @@ def test_age_vocab(spark):
         V.age_vocab(spark, 110, 2)
 
 
-@pytest.mark.parametrize("n", [3, 8, 64])
-def test_mlm_examples(spark, seqs, vocab, n):
-    got = by_id(E.encode_mlm(seqs, vocab, V.age_vocab(spark, 110), n, seed=7))
-    assert got == {p: example(p, c, a, n, 7) for p, c, a, _ in SEQS}
+# What becomes of two sequences by hand. Ids: CLS 2, SEP 3, a 5, b 6, c 7; an age is its number plus 2.
+HAND = [
+    ("p", 1, ["a", "SEP", "b", "c", "SEP"], ["50", "50", "51", "51", "51"]),
+    ("odd", 1, ["new", "SEP"], ["-1", "x"]),
+]
 
 
-def test_next_visit_examples(spark, seqs, vocab):
-    labelled = seqs.withColumn("label", F.slice("code", 1, 3))
+@pytest.fixture(scope="module")
+def hand(spark):
+    return spark.createDataFrame(HAND, "patid string, years int, code array<string>, age array<string>")
+
+
+UNMASKED = {
+    # Three tokens and CLS in front.
+    4: {
+        "p": ([53, 53, 53, 53], [2, 6, 7, 3], [0, 0, 0, 0], [0, 0, 0, 0], [1, 1, 1, 1]),
+        "odd": ([1, 1, 1, 0], [2, 1, 3, 0], [0, 0, 0, 1], [0, 0, 0, 1], [1, 1, 1, 0]),
+    },
+    # The separator in front gives way to CLS.
+    5: {
+        "p": ([52, 53, 53, 53, 0], [2, 6, 7, 3, 0], [0, 0, 0, 0, 1], [0, 0, 0, 0, 1], [1, 1, 1, 1, 0]),
+        "odd": ([1, 1, 1, 0, 0], [2, 1, 3, 0, 0], [0, 0, 0, 1, 1], [0, 0, 0, 1, 1], [1, 1, 1, 0, 0]),
+    },
+    8: {
+        "p": (
+            [52, 52, 52, 53, 53, 53, 0, 0], [2, 5, 3, 6, 7, 3, 0, 0], [0, 0, 0, 1, 1, 1, 2, 2],
+            [0, 0, 0, 1, 1, 1, 0, 0], [1, 1, 1, 1, 1, 1, 0, 0],
+        ),
+        "odd": (
+            [1, 1, 1, 0, 0, 0, 0, 0], [2, 1, 3, 0, 0, 0, 0, 0], [0, 0, 0, 1, 1, 1, 1, 1],
+            [0, 0, 0, 1, 1, 1, 1, 1], [1, 1, 1, 0, 0, 0, 0, 0],
+        ),
+    },
+}
+
+
+@pytest.mark.parametrize("n", [4, 5, 8])
+def test_mlm_examples(spark, hand, vocab, n):
+    """All arrays but the masked ids are known; a masked id has its true id as label."""
+    for r in E.encode_mlm(hand, vocab, V.age_vocab(spark, 110), n, seed=7).collect():
+        age, code, position, segment, mask = UNMASKED[n][r.patid]
+        assert (r.years, r.age, r.position, r.segment, r["mask"]) == (1, age, position, segment, mask)
+        assert len(r.code) == len(r.label) == n
+        for true, given, label, real in zip(code, r.code, r.label, mask):
+            assert label in ((-1, true) if real else (-1,))
+            assert given == true or label == true
+
+
+def test_next_visit_examples(spark, hand, vocab):
+    labelled = hand.withColumn("label", F.slice("code", 1, 3))
     labels = V.build_vocab(spark.createDataFrame([(["c", "new"],)], "code array<string>"))
-    got = by_id(E.encode_next_visit(labelled, vocab, labels, V.age_vocab(spark, 110), 8))
-    label_ids = {t: i for i, t in enumerate(SPECIAL + ["c", "new"])}
-    for p, c, a, _ in SEQS:
-        assert got[p][:6] == example(p, c, a, 8)[:6]
-        assert got[p][6] == fill([label_ids.get(t, 1) for t in c[:3]], 8, -1)
-    assert len(got) == len(SEQS)
-
-
-@pytest.mark.parametrize("with_age", [True, False])
-def test_classifier_examples(seqs, vocab, with_age):
-    n = 6
-    df = E.encode_classifier(seqs if with_age else seqs.drop("age"), vocab, n)
-    assert df.columns == ["patid", "label", "input_ids", "age_ids", "seg_ids", "attention_mask"]
-    got = by_id(df)
-    for p, code, age, label in SEQS:
-        code, age = code[-n:], age[-n:]
-        ids = [min(IDS.get(c, 0), len(IDS) - 1) for c in code]
-        ages = [min(int(a), 1321) if with_age and a.isdigit() else 0 for a in age]
-        seg, now = [], 0
-        for i in ids:
-            seg.append(now)
-            now = 1 - now if i == IDS["SEP"] else now
-        assert got[p] == (p, label, fill(ids, n, 0), fill(ages, n, 0), fill(seg, n, 0), fill([1] * len(ids), n, 0))
-    assert len(got) == len(SEQS)
+    got = {r.patid: r for r in E.encode_next_visit(labelled, vocab, labels, V.age_vocab(spark, 110), 8).collect()}
+    for p, want in UNMASKED[8].items():
+        assert (got[p].age, got[p].code, got[p].position, got[p].segment, got[p]["mask"]) == want
+    # Of the label vocabulary: SEP 3, c 5, new 6; a and b are unknown.
+    assert got["p"].label == [1, 3, 1, -1, -1, -1, -1, -1] and got["odd"].label == [6, 3, -1, -1, -1, -1, -1, -1]
+
+
+def test_classifier_examples(hand, vocab):
+    df = E.encode_classifier(hand, vocab, 4)
+    assert df.columns == ["patid", "years", "input_ids", "age_ids", "seg_ids", "attention_mask"]
+    assert by_id(df) == {
+        "p": ("p", 1, [3, 6, 7, 3], [50, 51, 51, 51], [0, 1, 1, 1], [1, 1, 1, 1]),
+        "odd": ("odd", 1, [0, 3, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0], [1, 1, 0, 0]),
+    }
+    got = by_id(E.encode_classifier(hand.drop("age"), vocab, 8))
+    assert got["p"] == ("p", 1, [5, 3, 6, 7, 3, 0, 0, 0], [0] * 8, [0, 0, 1, 1, 1, 0, 0, 0], [1, 1, 1, 1, 1, 0, 0, 0])
+
+
+def test_several_sequences_of_one_patient(spark, hand, vocab):
+    """Keys tell them apart; equal keys fail."""
+    ages = V.age_vocab(spark, 110)
+    twice = hand.unionByName(hand.withColumns({"years": F.lit(5), "code": F.slice("code", 1, 2), "age": F.slice("age", 1, 2)}))
+    got = {(r.patid, r.years): r.code for r in E.encode_mlm(twice, vocab, ages, 6, seed=1).collect()}
+    assert len(got) == 4 and all(len(c) == 6 for c in got.values())
+    values = twice.select("patid", "years", F.array(F.array(F.col("years") * 1.0), F.array(F.lit(2.0), F.lit(0.5))).alias("values"))
+    found = E.attributions_by_code(twice.filter("patid = 'p'"), values, 2)
+    assert rows(found) == [("p", 1, 0, "c", 1.0), ("p", 1, 1, "SEP", 2.5), ("p", 5, 0, "a", 5.0), ("p", 5, 1, "SEP", 2.5)]
+    for clash in (E.encode_mlm(twice.drop("years"), vocab, ages, 6), E.tokens_to_ids(twice.select("patid", "code"), vocab)):
+        with pytest.raises(Exception, match="several rows with the same patid"):
+            clash.collect()
+
+
+def test_segments_change_no_example(spark, seqs, vocab):
+    whole = seqs.withColumns({"n_tokens": F.size("code").cast("long"), "n_visits": F.lit(1)})
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("code") - 1, F.lit(0)), F.lit(3))).alias("start")
+    cut = whole.select("*", starts).withColumns({c: F.slice(c, F.col("start") + 1, 3) for c in ("code", "age")})
+    ages = V.age_vocab(spark, 110)
+    assert rows(E.encode_mlm(cut, vocab, ages, 8)) == rows(E.encode_mlm(whole, vocab, ages, 8))
+    assert rows(E.encode_classifier(cut, vocab, 5)) == rows(E.encode_classifier(whole, vocab, 5))
+    masked = {}
+    for r in sorted(E.mlm_mask(cut.select("patid", "start", "code"), vocab).collect(), key=lambda r: r.start):
+        masked[r.patid] = masked.get(r.patid, []) + r.code
+    assert masked == {r.patid: r.code for r in E.mlm_mask(whole.select("patid", "code"), vocab).collect()}
 
 
 def test_masking_rates(spark, vocab):
@@ -150,7 +175,7 @@ def test_lookups(seqs, vocab):
     got = by_id(E.tokens_to_ids(seqs.select("patid", "code"), vocab, mask_token="a"))
     assert got == {p: (p, [1 if t == "a" else IDS.get(t, 1) for t in c]) for p, c, _, _ in SEQS}
     got = by_id(E.pad_to_ids(seqs.select("patid", "code"), vocab, 5, unknown=False))
-    assert got == {p: (p, [IDS.get(t) for t in fill(c, 5, "PAD")]) for p, c, _, _ in SEQS}
+    assert got == {p: (p, [IDS.get(t) for t in (c + ["PAD"] * 5)[:5]]) for p, c, _, _ in SEQS}
 
 
 def test_large_vocabularies_are_joined_by_shuffle(spark, seqs, vocab, monkeypatch):
@@ -158,13 +183,13 @@ def test_large_vocabularies_are_joined_by_shuffle(spark, seqs, vocab, monkeypatc
     expected = by_id(E.encode_mlm(seqs, vocab, ages, 8))
     from epistrand.operators import skew
 
-    monkeypatch.setattr(skew, "fits_in_broadcast", lambda lookup, max_rows: False)
+    monkeypatch.setattr(skew, "fits_in_broadcast", lambda lookup, max_bytes: False)
     assert by_id(E.encode_mlm(seqs, vocab, ages, 8)) == expected
 
 
 def test_aligned_tokens_and_attributions(spark, seqs):
     got = by_id(E.aligned_tokens(seqs.select("patid", "code"), 5))
-    assert got == {p: (p, fill(c[-5:], 5, "PAD")) for p, c, _, _ in SEQS}
+    assert got == {p: (p, (c[-5:] + ["PAD"] * 5)[:5]) for p, c, _, _ in SEQS}
     one = spark.createDataFrame([("p", ["a", "SEP"])], "patid string, code array<string>")
     values = spark.createDataFrame([("p", [[1.0, 2.0], [0.5, -1.0], [0.0, 0.25]])], "patid string, values array<array<double>>")
     assert rows(E.attributions_by_code(one, values, 3)) == [("p", 0, "a", 3.0), ("p", 1, "SEP", -0.5), ("p", 2, "PAD", 0.25)]

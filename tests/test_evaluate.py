@@ -120,3 +120,29 @@ def test_scorer_is_loaded_once_per_task(spark):
     got = {r.patid: r for r in K.score(df, scorer, ["patid", "label"]).collect()}
     assert got["5"].pred == 0 and got["6"].pred == 1 and got["6"].label == 0
     assert got["7"].prob == pytest.approx(1 / (1 + math.exp(-2)))
+
+
+def test_rows_without_score_or_label_count_nowhere(spark):
+    data = [(None, 1, 0.9), (None, 0, 0.2), (None, 1, float("nan")), (None, None, 0.7), ("x", 1, None), ("x", 0, 0.4), ("x", 1, 0.3)]
+    preds = spark.createDataFrame(data, "horizon string, label int, prob double")
+    got = {r.horizon: tuple(r)[1:] for r in K.metrics_by_horizon(preds).collect()}
+    assert got == {None: (2, 1, 1, 1.0, 1.0, 1.0, 1.0, 1.0), "x": (2, 1, 1, 0.0, 0.0, 0.0, 0.0, 1.0)}
+    assert rows(K.class_counts(preds)) == [(None, 2, 1, 1), ("x", 2, 1, 1)]
+
+
+@pytest.mark.parametrize("fold", [2, 1000])
+def test_smoothing_forgets_nothing(spark, monkeypatch, fold):
+    """Gaps in the order, a NULL key, a NaN, an infinity and a huge first value."""
+    monkeypatch.setattr(K, "FOLD", fold)
+    nan, inf = float("nan"), float("inf")
+    series = {None: [1.0, 2.0, 4.0], "nan": [1.0, nan] + [1.0] * 2500, "inf": [inf] + [1.0] * 9000, "big": [1e150] + [1.0] * 3200}
+    data = [(k, i * 86_400 + (i > 2) * 10**12, v) for k, values in series.items() for i, v in enumerate(values)]
+    got = {}
+    for r in K.smooth(spark.createDataFrame(data, "k string, o long, v double"), "k", "o", "v").collect():
+        got.setdefault(r.k, []).append((r.o, r.smoothed))
+    for k, values in series.items():
+        s, want = values[0], []
+        for i, x in enumerate(values):
+            s = 0.9 * s + (1 - 0.9) * x if i else x
+            want.append(s)
+        assert [v for _, v in sorted(got[k])] == pytest.approx(want, rel=1e-9, nan_ok=True)

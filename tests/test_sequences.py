@@ -26,7 +26,7 @@ def by_hand(data):
 
 def put_together(seqs):
     out = {}
-    for r in sorted(seqs.collect(), key=lambda r: -r.part):
+    for r in sorted(seqs.collect(), key=lambda r: getattr(r, "start", 0)):
         codes, ages = out.setdefault(r.patid, ([], []))
         codes += r.code
         ages += r.age
@@ -54,25 +54,51 @@ def events(spark, data):
     return spark.createDataFrame(data, "PATIENT_ID string, DATE date, CODE string, AGE string").repartition(5)
 
 
+def test_sequences_are_one_row_each(events, data):
+    seqs = Q.build_sequences(events)
+    assert seqs.columns == ["patid", "n_tokens", "n_visits", "code", "age"]
+    assert put_together(seqs) == by_hand(data)
+    assert seqs.count() == len(by_hand(data))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 10**6])
-def test_sequences_of_any_part_size(events, data, size):
+def test_segments_of_any_size(events, data, size):
     seqs = Q.build_sequences(events, size).cache()
     assert put_together(seqs) == by_hand(data)
     expected = by_hand(data)
     for r in seqs.collect():
-        total = len(expected[r.patid][0])
-        assert r.n_tokens == total and r.n_visits == expected[r.patid][0].count("SEP")
-        # Every part but the oldest one is full.
-        assert len(r.code) == len(r.age) == min(size, total - r.part * size)
-
-
-def test_visits(events, data):
-    visits = Q.build_visits(events).collect()
-    got = {(r.PATIENT_ID, r.DATE): (r.code, r.age) for r in visits}
-    assert all(r.part == 0 and r.n_tokens == len(r.code) for r in visits)
+        codes = expected[r.patid][0]
+        assert r.n_tokens == len(codes) and r.n_visits == codes.count("SEP")
+        assert r.start % size == 0 and r.visit == codes[: r.start].count("SEP")
+        # Every segment but the last one is full.
+        assert len(r.code) == len(r.age) == min(size, len(codes) - r.start)
+
+
+@pytest.mark.parametrize("size", [None, 1, 4, 7, 1000])
+@pytest.mark.parametrize("n", [1, 3, 11, 600])
+def test_latest_tokens_do_not_depend_on_segments(events, data, size, n):
+    got = {r.patid: (r.code, r.age) for r in Q.latest(Q.build_sequences(events, size), n).collect()}
+    assert got == {p: (c[-n:], a[-n:]) for p, (c, a) in by_hand(data).items()}
+
+
+@pytest.mark.parametrize("n", [1, 3, 11, 600])
+def test_last_tokens_of_runs(events, data, n):
+    counts = Q.count_events(events, "AGE")
+    layout = Q.lay_out(Q._days(counts, ["PATIENT_ID"]), ["PATIENT_ID"])
+    cut = Q.last_tokens(Q.place(counts, layout, ["PATIENT_ID"]), n)
+    got = {r.PATIENT_ID: (r.code, r.age) for r in Q.collect_runs(cut, ["PATIENT_ID"]).collect()}
+    assert got == {p: (c[-n:], a[-n:]) for p, (c, a) in by_hand(data).items()}
+
+
+@pytest.mark.parametrize("size", [None, 2, 5])
+def test_visits(events, data, size):
+    got = {}
+    for r in sorted(Q.build_visits(events, size).collect(), key=lambda r: getattr(r, "start", 0)):
+        codes, ages = got.setdefault((r.PATIENT_ID, r.DATE), ([], []))
+        codes += r.code
+        ages += r.age
     for (patient, day), visit in got.items():
-        expected = by_hand([r for r in data if r[0] == patient and r[1] == day])[patient]
-        assert visit == expected
+        assert visit == by_hand([r for r in data if r[0] == patient and r[1] == day])[patient]
     assert len(got) == len({(r[0], r[1]) for r in data})
 
 
@@ -93,7 +119,7 @@ def test_result_does_not_depend_on_partitioning(spark, events):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_filters_and_summaries_with_and_without_parts(events):
+def test_filters_and_summaries_with_and_without_segments(events):
     whole, parts = Q.build_sequences(events), Q.build_sequences(events, 7)
     plain = whole.select("patid", "code", "age")
     for n in (2, 6, 20):

@@ -15,31 +15,56 @@ def test_salted_join_gives_the_same_rows(spark):
     )
     names = spark.range(1500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("y"))
     lookup = names.union(spark.createDataFrame([("hot", -1), ("other", -2)], "key string, y long"))
-    assert [r.key for r in skew.hot_keys(big, "key").collect()] == ["hot"]
+    assert [tuple(r) for r in skew.hot_keys(big, "key", 100).collect()] == [("hot", 30)]
     for how in ("inner", "left"):
-        salted = skew.salted_join(big, lookup, "key", how)
+        salted = skew.salted_join(big, lookup, "key", how, task_rows=100)
         plain = big.join(lookup, "key", how).select(salted.columns)
         assert salted.exceptAll(plain).count() == plain.exceptAll(salted).count() == 0
         small = skew.lookup_join(big, lookup, "key", how).select(salted.columns)
-        large = skew.lookup_join(big, lookup, "key", how, max_rows=10).select(salted.columns)
+        large = skew.lookup_join(big, lookup, "key", how, max_bytes=10).select(salted.columns)
         assert small.exceptAll(plain).count() == large.exceptAll(small).count() == 0
 
 
-def test_hot_rows_are_spread_over_tasks(spark):
+def test_hot_and_null_rows_are_spread_over_tasks(spark):
+    """A third of the rows has one key, and half of the others none."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        big = spark.range(0, 6000, 1, 4).select(F.lit("hot").alias("key"), (F.col("id") % 1000).alias("x"))
+        key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id").cast("string")))
+        big = spark.range(0, 24_000, 1, 4).select(key.alias("key"), (F.col("id") % 1000).alias("x"))
         lookup = spark.createDataFrame([("hot", 1)], "key string, y long").hint("merge")
-        joined = skew.salted_join(big, lookup, "key", "inner")
+        joined = skew.salted_join(big, lookup, "key", "left", task_rows=100)
         sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-        assert sum(sizes) == 6000 and len(sizes) == 8 and max(sizes) < 2500
+        assert sum(sizes) == 24_000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        assert joined.filter("y = 1").count() == 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_fits_in_broadcast(spark):
-    assert skew.fits_in_broadcast(spark.range(10), 10)
-    assert not skew.fits_in_broadcast(spark.range(11), 10)
+def test_fits_in_broadcast(spark, tmp_path):
+    """By file sizes, without running a job."""
+    spark.range(10_000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    assert skew.fits_in_broadcast(table, 1_000_000) and skew.fits_in_broadcast(table.groupBy("id").count(), 1_000_000)
+    assert not skew.fits_in_broadcast(table, 1000)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_null_safe_join(spark):
+    left = spark.createDataFrame([(None, 1, "a"), (None, None, "b"), (2, 1, "c")], "k int, l int, x string")
+    right = spark.createDataFrame([(None, 1, 7), (None, None, 8), (2, None, 9)], "k int, l int, y int")
+    assert rows(skew.null_safe_join(left, right, ["k", "l"]).select("x", "y")) == [("a", 7), ("b", 8)]
+
+
+def test_rows_are_numbered_by_ranges_of_the_data(spark):
+    """Keys that share long prefixes, and NULL groups."""
+    tokens = [(None if i % 3 == 0 else "g", f"DX:ICD10CM:LONGPREFIX{i:05d}") for i in range(900)]
+    df = spark.createDataFrame(tokens, "g string, token string").repartition(5)
+    got = {(r.g, r.token): r.n for r in skew.number_rows(df, ["g"], ["token"], "n").collect()}
+    for g in (None, "g"):
+        assert [got[g, t] for t in sorted(t for x, t in tokens if x == g)] == list(range(sum(x == g for x, _ in tokens)))
+    assert skew.number_rows(df.limit(0), [], ["token"], "n").count() == 0
 
 
 def test_running_before_equals_a_window(spark):
@@ -54,3 +79,9 @@ def test_running_before_equals_a_window(spark):
     expected = df.withColumn("t", F.coalesce(F.sum("v").over(whole), F.lit(0)))
     got = skew.running_before(df, [], ["a"], [F.col("o")], F.col("v"), "t").select(expected.columns)
     assert rows(got) == rows(expected)
+
+
+def test_running_before_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, None, 1, 5), (None, 2, 2, 6), ("g", None, 3, 7), ("g", None, 4, 8)], "g string, a int, o int, v int")
+    got = skew.running_before(df, ["g"], ["a"], [F.col("o")], F.col("v"), "t").select("o", "t")
+    assert rows(got) == [(1, 0), (2, 5), (3, 0), (4, 7)]

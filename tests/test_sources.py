@@ -111,3 +111,30 @@ def test_named_and_materialized_relations(spark):
     assert spark.sql("SELECT count(*) FROM three_rows").first()[0] == 3
     kept = sources.materialize(df)
     assert kept.count() == 3 and spark.sparkContext.getCheckpointDir() is not None
+
+
+@pytest.mark.parametrize("read", [sources.read_csv_strict, sources.read_csv_lenient])
+def test_files_with_columns_in_another_order_fail(spark, tmp_path, read):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("PATIENT_ID,AGE_AT_END\n1,60\n")
+    (tmp_path / "in" / "b.csv").write_text("AGE_AT_END,PATIENT_ID\n70,2\n")
+    with pytest.raises(Exception, match="header"):
+        read(spark, str(tmp_path / "in"), schemas.DEMOGRAPHICS).collect()
+
+
+def test_rebuild_lists_partitions_of_any_value(spark, tmp_path):
+    path = str(tmp_path / "out")
+    data = [(1, "a b/c=d"), (2, None), (3, "x%y")]
+    old = spark.createDataFrame([(n, k, "old") for n, k in data], "n int, k string, run string")
+    sources.rebuild_partitions(old, path, "k")
+    new = spark.createDataFrame([(n, k, "new") for n, k in [*data, (4, "more")]], "n int, k string, run string")
+    sources.rebuild_partitions(new, path, "k")
+    assert rows(spark.read.parquet(path).select("n", "run")) == [(1, "old"), (2, "old"), (3, "old"), (4, "new")]
+
+
+def test_materialized_tables_need_a_folder_and_can_be_removed(spark):
+    table = sources.materialize(spark.range(5))
+    assert table.count() == 5
+    sources.release(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0])

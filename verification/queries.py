@@ -3,6 +3,9 @@
 Arrays are emitted as text, so that they can be compared with SQL results.
 """
 
+import functools
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from epistrand.functions import arrays as A
 from epistrand.operators import audit, censor, cohort, encode, evaluate, events, normalize, sequences, vocab
 from epistrand.plans import horizon_test_sets, patient_sequences
 from epistrand.sources import materialize
+from verification import io
 from verification.views import THRESHOLDS, Views
 
 # Codes that the leakage reports look for.
@@ -19,6 +23,7 @@ CANONICAL = tuple(THRESHOLDS)
 TOKENS = 64  # length of the masked-token and next-visit examples
 CLASSIFIER_TOKENS = 300
 MAX_AGE = 110
+SEGMENT = 7  # tokens per segment, in the queries that cut sequences
 
 
 class Inputs:
@@ -43,10 +48,12 @@ class Inputs:
     dx = property(lambda self: self.views.deid_visit_dx)
     labs = property(lambda self: self.views.deid_lab_out)
     vitals = property(lambda self: self.views.deid_vital)
-    demo = property(lambda self: self.views.deid_dem)
-    index = property(lambda self: self.views.earliest_dx_deid)
-    crosswalk = property(lambda self: self.views.dpi_lab_map)
+    # The smaller tables are stored, as inputs are, so that their sizes are known.
+    demo = property(lambda self: self._once("demo", lambda: self.views.deid_dem))
+    index = property(lambda self: self._once("index", lambda: self.views.earliest_dx_deid))
+    crosswalk = property(lambda self: self._once("crosswalk", lambda: self.views.dpi_lab_map))
     preds = property(lambda self: self.views.predictions)
+    gappy_preds = property(lambda self: self.views.gappy_predictions)
 
     @property
     def measurements(self):
@@ -57,7 +64,7 @@ class Inputs:
     @property
     def named(self):
         return normalize.normalize_names(
-            normalize.with_value(self.measurements), normalize.synonym_map(self.crosswalk, CANONICAL)
+            normalize.with_value(self.measurements), normalize.synonym_map(self.crosswalk, CANONICAL), bound=self.crosswalk
         )
 
     @property
@@ -81,6 +88,10 @@ class Inputs:
     def seqs(self):
         return self._once("seqs", lambda: patient_sequences(self.events, self.index, self.demo))
 
+    @property
+    def segments(self):
+        return self._once("segments", lambda: patient_sequences(self.events, self.index, self.demo, SEGMENT))
+
     @property
     def cohort(self):
         return self._once("cohort", lambda: cohort.labelled_cohort(self.seqs, self.dx))
@@ -116,7 +127,7 @@ class Inputs:
     @property
     def next_visits(self):
         """Sequences with a label list: their last three tokens."""
-        return sequences.latest(self.seqs, TOKENS).withColumn("label", A.tail(F.col("code"), 3))
+        return self.seqs.withColumn("label", A.tail(F.col("code"), 3))
 
     @property
     def label_vocab(self):
@@ -136,7 +147,7 @@ def text(column, separator="|"):
 
 
 def _sequence_text(seqs, *keys):
-    return seqs.select(*keys, "part", "n_tokens", text("code"), text("age"))
+    return seqs.select(*keys, "n_tokens", text("code"), text("age"))
 
 
 def _numbers(df, keys, columns):
@@ -148,8 +159,9 @@ def _rounded(df, keys, columns, digits=9):
 
 
 def _busiest(rows):
+    """The patient with most rows, as a scalar subquery."""
     counts = rows.groupBy("PATIENT_ID").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "PATIENT_ID").first()["PATIENT_ID"]
+    return counts.orderBy(F.desc("n"), "PATIENT_ID").limit(1).select("PATIENT_ID").scalar()
 
 
 def _bin_values(i):
@@ -166,7 +178,7 @@ def _masked_scores(i):
 
 def _score(i):
     def scorer():
-        return lambda batch: batch["attention_mask"].map(sum) / 100.0 - 0.75
+        return lambda batch: np.stack(batch["attention_mask"]).sum(axis=1) / 100.0 - 0.75
 
     return evaluate.score(_classifier(i), scorer, ["patid", "label"])
 
@@ -177,20 +189,44 @@ def _classifier(i):
 
 
 def _mlm_mask(i):
-    rows = encode.mlm_mask(i.seqs.select("patid", "part", "code"), i.vocab, SEED)
-    return _numbers(rows, ["patid", "part"], ["code", "label"])
+    rows = encode.mlm_mask(i.seqs.select("patid", "code"), i.vocab, SEED)
+    return _numbers(rows, ["patid"], ["code", "label"])
+
+
+def _mlm_mask_segments(i):
+    rows = encode.mlm_mask(i.segments.select("patid", "start", "code"), i.vocab, SEED)
+    return _numbers(rows, ["patid", "start"], ["code", "label"])
 
 
 def _index_arrays(i):
     return i.seqs.select(
         "patid",
-        "part",
         A.position_index(F.col("code")).alias("position"),
         A.segment_index(F.col("code")).alias("segment"),
         A.attention_mask(F.col("code"), CLASSIFIER_TOKENS).alias("mask"),
     )
 
 
+def _index_arrays_segments(i):
+    return i.segments.select(
+        "patid", "start",
+        A.position_index(F.col("code"), before=F.col("visit")).alias("position"),
+        A.segment_index(F.col("code"), before=F.col("visit")).alias("segment"),
+    )
+
+
+def _attributions_by_horizon(i):
+    """Two hidden-axis values per position, told apart by horizon; each horizon has its own."""
+    places = F.sequence(F.lit(1), F.lit(ATTRIBUTED))
+    values = F.transform(places, lambda p: F.array(p * F.col("years") * F.lit(0.25), F.lit(-0.5)))
+    sets = i.horizons
+    found = encode.attributions_by_code(sets, sets.select("years", "patid", values.alias("values")), ATTRIBUTED)
+    return found.select("years", "patid", "pos", "code", "value")
+
+
+ATTRIBUTED = 12
+
+
 EXAMPLE = ["age", "code", "position", "segment", "mask", "label"]
 
 QUERIES = {
@@ -202,6 +238,7 @@ QUERIES = {
     "keep_known_tests": lambda i: normalize.keep_known_tests(i.named, THRESHOLDS),
     "recode_label": lambda i: cohort.recode_label(i.dx),
     "min_tokens": lambda i: sequences.min_tokens(i.seqs, 40).select("patid", "n_tokens"),
+    "min_tokens_segments": lambda i: sequences.once_each(sequences.min_tokens(i.segments, 40)).select("patid", "n_tokens"),
     "min_visits": lambda i: sequences.min_visits(i.seqs).select("patid", "n_visits"),
     "visit_filter_report": lambda i: sequences.visit_filter_report(i.seqs),
     "patient_events": lambda i: events.patient_events(i.events, _busiest(i.events)),
@@ -232,6 +269,9 @@ QUERIES = {
     "reference_disagreements": lambda i: audit.reference_disagreements(i.references, i.test),
     # Visits and sequences
     "patient_sequences": lambda i: _sequence_text(patient_sequences(i.raw_events, i.index, i.demo), "patid"),
+    "patient_sequences_segments": lambda i: i.segments.select(
+        "patid", "start", "visit", "n_tokens", "n_visits", text("code"), text("age")
+    ),
     "build_visits": lambda i: _sequence_text(sequences.build_visits(i.aged), "PATIENT_ID", "DATE"),
     "build_sequences": lambda i: _sequence_text(sequences.build_sequences(i.aged), "patid"),
     "sequence_summary": lambda i: _rounded(
@@ -241,6 +281,7 @@ QUERIES = {
     # Cohorts
     "distinct_labels": lambda i: cohort.distinct_labels(i.dx),
     "labelled_cohort": lambda i: cohort.labelled_cohort(i.seqs, i.dx),
+    "cohort_conflicts": lambda i: cohort.conflicting_labels(i.dx).select("PATIENT_ID", text("labels", ",")),
     "labelled_cohort_keep": lambda i: cohort.labelled_cohort(i.seqs, i.dx, conflicts="keep"),
     "conflicting_labels": lambda i: cohort.conflicting_labels(
         # Whole groups of customers per nation as patients, so that labels do conflict.
@@ -262,18 +303,25 @@ QUERIES = {
     "build_vocab": lambda i: vocab.build_vocab(i.seqs),
     "invert_vocab": lambda i: vocab.invert_vocab(i.vocab),
     "truncate_with_cls": lambda i: encode.truncate_with_cls(i.seqs, TOKENS).select("patid", text("code"), text("age")),
-    "index_arrays": lambda i: _numbers(_index_arrays(i), ["patid", "part"], ["position", "segment", "mask"]),
+    "index_arrays": lambda i: _numbers(_index_arrays(i), ["patid"], ["position", "segment", "mask"]),
+    "index_arrays_segments": lambda i: _numbers(_index_arrays_segments(i), ["patid", "start"], ["position", "segment"]),
     "tokens_to_ids": lambda i: _numbers(
-        encode.tokens_to_ids(i.seqs.select("patid", "part", "code"), i.vocab, mask_token="SEP"),
-        ["patid", "part"], ["code"],
+        encode.tokens_to_ids(i.seqs.select("patid", "code"), i.vocab, mask_token="SEP"), ["patid"], ["code"]
     ),
     "pad_to_ids": lambda i: _numbers(
-        encode.pad_to_ids(i.seqs.select("patid", "part", "age"), i.ages, TOKENS, "age"), ["patid", "part"], ["age"]
+        encode.pad_to_ids(i.seqs.select("patid", "age"), i.ages, TOKENS, "age"), ["patid"], ["age"]
     ),
     "mlm_mask": _mlm_mask,
+    "mlm_mask_segments": _mlm_mask_segments,
     "encode_mlm": lambda i: _numbers(
         encode.encode_mlm(sequences.min_visits(i.seqs), i.vocab, i.ages, TOKENS, SEED), ["patid"], EXAMPLE
     ),
+    "encode_mlm_segments": lambda i: _numbers(
+        encode.encode_mlm(sequences.min_visits(i.segments), i.vocab, i.ages, TOKENS, SEED), ["patid"], EXAMPLE
+    ),
+    "encode_mlm_horizons": lambda i: _numbers(
+        encode.encode_mlm(i.horizons, i.vocab, i.ages, TOKENS, SEED), ["years", "patid"], EXAMPLE
+    ),
     "encode_next_visit": lambda i: _numbers(
         encode.encode_next_visit(i.next_visits, i.vocab, i.label_vocab, i.ages, TOKENS), ["patid"], EXAMPLE
     ),
@@ -288,6 +336,12 @@ QUERIES = {
     ),
     "roc_auc": lambda i: _rounded(evaluate.roc_auc(i.preds), ["horizon"], ["roc_auc"]),
     # Groups of four orders, many of which have one class only.
+    "roc_auc_gaps": lambda i: _rounded(evaluate.roc_auc(i.gappy_preds), ["horizon"], ["roc_auc"]),
+    "metrics_gaps": lambda i: _rounded(
+        evaluate.metrics_by_horizon(i.gappy_preds),
+        ["horizon", "n_patients", "n_cases", "n_controls"],
+        ["roc_auc", "f1", "precision", "recall", "specificity"],
+    ),
     "single_class_groups": lambda i: evaluate.single_class_groups(
         i.preds.withColumn("horizon", F.floor(F.col("patid").cast("bigint") / 4))
     ),
@@ -300,12 +354,16 @@ QUERIES = {
     "smooth": lambda i: evaluate.smooth(i.views.training_log, "run_id", "cnt", "loss").select(
         "run_id", "cnt", F.col("smoothed").cast("float").cast("double").alias("smoothed")
     ),
+    "smooth_gaps": lambda i: evaluate.smooth(i.views.gappy_log, "run_id", "cnt", "loss").select(
+        "run_id", "cnt", F.when(~F.isnan("smoothed"), F.col("smoothed").cast("float").cast("double")).alias("smoothed")
+    ),
     "masked_precision": lambda i: _rounded(evaluate.masked_precision(_masked_scores(i)), [], ["precision"]),
     "global_steps": lambda i: evaluate.global_steps(i.step_log, 1000).select("epoch", "cnt", "global_step", "loss"),
     "epoch_precision": lambda i: _rounded(evaluate.epoch_precision(i.step_log), ["epoch"], ["precision"]),
     "attribution_summary": lambda i: _rounded(
         evaluate.attribution_summary(i.views.attributions), ["code", "n_occurrences"], ["mean_shap", "mean_abs_shap"]
     ),
+    "attributions_by_horizon": _attributions_by_horizon,
     "top_attributions": lambda i: _rounded(
         evaluate.top_attributions(evaluate.attribution_summary(i.views.attributions)),
         ["code", "n_occurrences"], ["mean_shap", "mean_abs_shap"],
@@ -325,6 +383,8 @@ QUERIES = {
     "leakage_examples": lambda i: audit.leakage_examples(i.censored, i.index, FLAGGED),
     "patients_with_events": lambda i: audit.patients_with_events(i.test_events),
     "sort_events": lambda i: events.sort_events(i.censored),
+    # Sources and sinks: written to the checkpoint folder and read again
+    **{name: functools.partial(lambda make, i: make(i.views), make) for name, make in io.QUERIES.items()},
 }
 
 
