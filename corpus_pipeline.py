@@ -14,12 +14,18 @@ from epistrand.llm import linededup, minhash, mixing, packing, toxicity
 from epistrand.sources.store import checkpoint_folder
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in ``row``, so that no name clashes and texts pass once."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("_null"), *others).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. Their labels are in the table ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.select("doc_id", "text", F.struct("*").alias("doc"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return model.score(rows).filter("predicted = 0").select("doc.*")
+    kept = model.score(_apart(docs).drop("doc_id"), keep_text=True).filter("predicted = 0")
+    return kept.select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +34,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text that loses no line stays as it is, also a NULL or empty one. A document that
     loses all its lines has nothing new to say and goes; n_chars follows the text.
     """
-    held = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    rewritten = linededup.dedup_lines(held).filter("n_dropped < n_lines")
-    less = F.col("n_dropped") > 0
+    left = linededup.dedup_lines(_apart(docs)).filter("n_dropped < n_lines")
     row = F.col("doc.row")
-    changed = {"text": F.when(less, F.col("kept")).otherwise(row["text"])}
-    if "n_chars" in docs.columns:
+    columns = {c: row[c] for c in docs.columns if c != "text"}
+    columns["text"] = F.when(~row["_null"], F.col("kept"))
+    if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(less, F.length("kept").cast(kind)).otherwise(row["n_chars"])
-    return rewritten.select(*[changed.get(c, row[c]).alias(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(kind)).otherwise(row["n_chars"])
+    return left.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

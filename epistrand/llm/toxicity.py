@@ -124,7 +124,7 @@ def _table(ratios: DataFrame, other: float) -> np.ndarray:
     return table
 
 
-def _ratio(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+def _ratio(batches: Iterator[pa.RecordBatch], table, kept) -> Iterator[pa.RecordBatch]:
     table = table.value
     for batch in batches:
         for first, texts in chunks(as_bytes(batch["text"])):
@@ -133,7 +133,6 @@ def _ratio(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]
             sums = np.concatenate(([0.0], np.cumsum(ratio)))
             mean = (sums[words.begin[1:]] - sums[words.begin[:-1]]) / (words.counts + PADDING)
             rows = batch.slice(first, len(texts))
-            kept = [c for c in rows.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[rows[c] for c in kept], pa.array(mean)], [*kept, "mean_ratio"])
 
 
@@ -144,18 +143,19 @@ class ToxicityModel:
         self.table = spark.sparkContext.broadcast(table)
         self.slope, self.offset = slope, offset
 
-    def mean_ratio(self, docs: DataFrame) -> DataFrame:
-        """The columns of ``docs`` but text, and ``mean_ratio``: the log ratio per word of the whole text."""
-        schema = StructType([f for f in docs.schema if f.name != "text"]).add("mean_ratio", "double")
-        return docs.mapInArrow(functools.partial(_ratio, table=self.table), schema)
+    def mean_ratio(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """The columns of ``docs``, text only if wanted, and ``mean_ratio``: the log ratio per word of the whole text."""
+        schema = StructType([f for f in docs.schema if keep_text or f.name != "text"])
+        run = functools.partial(_ratio, table=self.table, kept=schema.names[:])
+        return docs.mapInArrow(run, StructType(schema.fields[:]).add("mean_ratio", "double"))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """One row per row of ``docs``: its columns but text, and score and predicted.
+    def score(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
+        """One row per row of ``docs``: its columns, text only if wanted, and score and predicted.
 
         NULL and empty texts have ratio 0.
         """
         score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.slope) * F.col("mean_ratio") + F.lit(self.offset))))
-        scored = self.mean_ratio(docs).withColumn("score", score).drop("mean_ratio")
+        scored = self.mean_ratio(docs, keep_text).withColumn("score", score).drop("mean_ratio")
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
