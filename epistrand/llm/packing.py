@@ -131,7 +131,6 @@ def _exact(left: np.ndarray, gap: int) -> list[int]:
             return [first, rest]
         if rest > first:
             break
-    have = left > 0
     for first in (int(x) for x in np.flatnonzero(left[:gap])[::-1]):
         rest = gap - first
         if first * 3 < gap:
