@@ -1,9 +1,10 @@
-"""Embedding near-deduplication with an index of pivot permutations.
+"""Embedding near-deduplication: all pairs of vectors but those that angles rule out.
 
-Each vector is described by the reference vectors nearest to it, in order. Vectors that are
-near each other have most of them in common. An inverted list per pivot holds the vectors
-that name it; two vectors of a list are candidates if they share enough pivots, and are
-verified by their cosine.
+Reference vectors, no two of which lie within the link radius, are the centres of cells; a
+vector is in the cell of the centre nearest to it. Cells are laid out in blocks. By the
+triangle inequality on angles, vectors of two cells can be linked only if the angle between
+the centres is at most that of a link and the radii of both cells. All pairs of blocks that
+hold two such cells are compared in full, so no link is missed.
 """
 
 import functools
@@ -17,99 +18,132 @@ from pyspark.sql import functions as F
 
 from epistrand.llm.components import components
 from epistrand.llm.vectors import dimension, matrix, stored_vectors, unit
-from epistrand.sources import materialize
+from epistrand.sources import local_table, materialize
 
 LEAST = 0.9
-NEAREST = 12  # pivots that describe a vector
-SHARED = 3  # pivots that candidates have in common
 MAX_PIVOTS = 16_384
-BLOCK_ROWS = 2048
-WORDS = 4  # of 64 bits: pivots named, modulo 256
+BLOCK_ROWS = 8192
+TILE = 1 << 20  # cosines held at a time
+MARGIN = 1e-6  # radians: far above the rounding of an angle
 
 
-def _permute(batches: Iterator[pa.RecordBatch], pivots, dim: int, nearest: int) -> Iterator[pa.RecordBatch]:
-    """Each vector with the numbers of its nearest pivots, nearest first."""
+def _angle(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def _place(batches: Iterator[pa.RecordBatch], pivots, dim: int) -> Iterator[pa.RecordBatch]:
+    """Each vector with the number of its nearest pivot and the angle to it."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x = unit(matrix(batch["vec"], dim))
-        order = []
+        cells, angles = [], []
         for part in range(0, len(x), 1000):
-            order.append(np.argsort(-(x[part : part + 1000] @ pivots.value.T), axis=1, kind="stable")[:, :nearest])
-        named = np.concatenate(order).astype("<i4")
-        rows = [row.tobytes() for row in named]
+            cosines = x[part : part + 1000] @ pivots.value.T
+            cells.append(cosines.argmax(axis=1))
+            angles.append(_angle(cosines.max(axis=1)))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(named.tolist(), pa.list_(pa.int32())), pa.array(rows, pa.binary())],
-            [*batch.schema.names, "pivots", "named"],
+            [*batch.columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(angles))],
+            [*batch.schema.names, "cell", "angle"],
         )
 
 
-def _bits(named: np.ndarray) -> np.ndarray:
-    """Which pivots each row names, modulo the number of bits: never fewer in common than there are."""
-    bits = np.zeros((len(named), WORDS), np.uint64)
-    for column in named.T:
-        at = column % (64 * WORDS)
-        bits[np.arange(len(named)), at // 64] |= np.uint64(1) << (at % 64).astype(np.uint64)
-    return bits
+def spread(pivots: np.ndarray, least: float) -> np.ndarray:
+    """The pivots without those within the link radius of an earlier one, near ones next to each other."""
+    free = np.ones(len(pivots), bool)
+    for i in range(len(pivots)):
+        if free[i]:
+            free[i + 1 :] &= pivots[i + 1 :] @ pivots[i] < least
+    kept = pivots[free]
+    order, todo = [], [np.arange(len(kept))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= 2:
+            order += at.tolist()
+            continue
+        one = at[(kept[at] @ kept[at[0]]).argmin()]
+        two = at[(kept[at] @ kept[one]).argmin()]
+        at = at[np.argsort(kept[at] @ (kept[one] - kept[two]), kind="stable")]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return kept[order]
+
+
+def lay_out(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first block of each cell, how many blocks it has to itself (or 1), and the number of blocks."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block = filled = 0
+    for cell, size in enumerate(sizes.tolist()):
+        if filled and filled + size > BLOCK_ROWS:
+            block, filled = block + 1, 0
+        first[cell] = block
+        filled += size
+        if size > BLOCK_ROWS:
+            parts[cell] = -(-size // BLOCK_ROWS)
+            block, filled = block + int(parts[cell]), 0
+    return first, parts, block + (filled > 0)
+
+
+def _partners(batches: Iterator[pa.RecordBatch], layout, radius: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of blocks to compare, once for each block in them: block, low, high."""
+    pivots, radii, first, parts = layout.value
+    for batch in batches:
+        for low in batch["id"].to_pylist():
+            near = np.zeros(len(pivots), bool)
+            for cell in np.flatnonzero((first <= low) & (low < first + parts)):
+                near |= _angle(pivots @ pivots[cell]) <= radii + radii[cell] + radius + MARGIN
+            others = sorted({b for c in np.flatnonzero(near) for b in range(first[c], first[c] + parts[c]) if b >= low})
+            rows = [(low, b) for b in others] + [(b, b) for b in others if b > low]
+            block, high = (pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([block, pa.array([low] * len(rows), pa.int64()), high], ["block", "low", "high"])
 
 
 LINKS = "a long, b long, n long"
 
 
-def _links(rows: pd.DataFrame, dim: int, least: float, shared: int) -> pd.DataFrame:
-    """Links between two blocks of a pivot's list.
+def _links(rows: pd.DataFrame, dim: int, least: float) -> pd.DataFrame:
+    """Links between two blocks, or within one.
 
-    A pair counts only in the list of the smallest pivot that both name. Rows without ``b``
-    say how many vectors ``a`` is linked with; the others join all that are linked, at most
-    one per vector.
+    Rows without ``b`` say how many vectors ``a`` is linked with; the others join all that
+    are linked, at most one per vector.
     """
-    pivot, low, high = (int(rows[c].iloc[0]) for c in ("pivot", "low", "high"))
+    low, high = (int(rows[c].iloc[0]) for c in ("low", "high"))
     # Equal vectors in the order of their ids, so that links lead to the smallest.
     rows = rows.sort_values("rep")
     block = rows["block"].to_numpy()
     x = unit(matrix(rows["vec"], dim))
-    named = np.frombuffer(b"".join(rows["named"]), "<i4").reshape(len(rows), -1)
-    bits, weight, ids = _bits(named), rows["n"].to_numpy(), rows["rep"].to_numpy()
+    weight, ids = rows["n"].to_numpy(), rows["rep"].to_numpy()
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    count = np.zeros(len(rows), np.int64)
+    there = np.ascontiguousarray(x[right].T)
+    count = np.zeros(len(rows))  # whole numbers far below 2 ** 53
     label = np.arange(len(rows))
-    named = np.sort(named, axis=1)
-    for part in range(0, len(left), 256):
-        at = left[part : part + 256]
-        common = np.zeros((len(at), len(right)), np.int32)
-        for w in range(WORDS):
-            common += np.bitwise_count(bits[at, w][:, None] & bits[right, w][None, :])
-        near = (common >= shared) & (x[at] @ x[right].T >= least)
+    step = max(1, TILE // max(1, len(right)))
+    for part in range(0, len(left), step):
+        at = left[part : part + step]
+        near = x[at] @ there >= least
         if low == high:
             near &= at[:, None] < right[None, :]
-        i, j = np.nonzero(near)
-        i, j = at[i], right[j]
-        if not len(i):
+        if not near.any():
             continue
-        first = np.full(len(i), -1)
-        for c in range(named.shape[1] - 1, -1, -1):
-            both = (named[j] == named[i, c][:, None]).any(1)
-            first[both] = named[i[both], c]
-        keep = first == pivot
-        i, j = i[keep], j[keep]
-        np.add.at(count, i, weight[j])
-        np.add.at(count, j, weight[i])
-        while True:
-            lowest = np.minimum(label[i], label[j])
-            if (lowest == label[i]).all() and (lowest == label[j]).all():
-                break
-            np.minimum.at(label, label[i], lowest)
-            np.minimum.at(label, label[j], lowest)
-            np.minimum.at(label, i, lowest)
-            np.minimum.at(label, j, lowest)
-            label = label[label]
+        linked = near.astype(np.float64)
+        count[at] += linked @ weight[right]
+        count[right] += weight[at] @ linked
+        i, j = np.nonzero(near & (label[at][:, None] != label[right][None, :]))
+        i, j = at[i], right[j]
+        while len(i):
+            # Labels are roots here: the larger root goes under the smallest that it meets.
+            one, two = label[i], label[j]
+            np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+            while (label != label[label]).any():
+                label = label[label]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
     linked = np.flatnonzero(count)
     joined = np.flatnonzero(label != np.arange(len(rows)))
     return pd.DataFrame(
         {
             "a": np.concatenate((ids[linked], ids[joined])),
             "b": pd.array([None] * len(linked) + ids[label[joined]].tolist(), dtype="Int64"),
-            "n": np.concatenate((count[linked], np.zeros(len(joined), np.int64))),
+            "n": np.concatenate((count[linked].astype(np.int64), np.zeros(len(joined), np.int64))),
         }
     )
 
@@ -120,7 +154,7 @@ def pivot_sample(vectors: DataFrame, n: int, dim: int) -> np.ndarray:
     return unit(matrix(rows["vec"], dim))
 
 
-def near_duplicates(embeddings: DataFrame, least: float = LEAST, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = LEAST) -> DataFrame:
     """Links by cosine: vec_id, n_links, component_id, kept; one row per row of ``embeddings``.
 
     n_links is the number of other vectors with a cosine of at least ``least``, component_id
@@ -128,34 +162,35 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, nearest: int =
     that cannot be compared (see :func:`vectors.stored_vectors`) have no links. ids should be
     unique; a row with a NULL vec_id has no links and is kept.
 
-    Equal vectors go through the index as one with their number. The pivots are a sample of
-    the vectors, 4 for each root of their number and at most ``MAX_PIVOTS``; every vector is
-    indexed. Two vectors with a cosine of 0.9 have some 6 of 12 pivots in common, so that
-    nearly none with fewer than 3 is missed. A pivot's list is compared in blocks.
+    Equal vectors go through the search as one with their number. The pivots are a sample of
+    the vectors, 4 for each root of their number and at most ``MAX_PIVOTS``, thinned. What
+    they rule out is work, never a link: vectors in random directions are compared pair by
+    pair, each block with each other.
     """
     vectors = materialize(stored_vectors(embeddings))
     dim = dimension(vectors)
     classes = materialize(vectors.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     distinct = classes.count()
-    nearest = min(nearest, max(distinct, 1))
+    spark = vectors.sparkSession
     sample = pivot_sample(classes, max(32, min(MAX_PIVOTS, int(4 * distinct**0.5))), dim)
-    pivots = vectors.sparkSession.sparkContext.broadcast(sample)
-    run = functools.partial(_permute, pivots=pivots, dim=dim, nearest=min(nearest, max(len(sample), 1)))
-    described = classes.mapInArrow(run, "vec binary, rep long, n long, pivots array<int>, named binary")
-    described = materialize(described)
-    listed = described.select("rep", "n", "vec", "named", F.explode("pivots").alias("pivot"))
-    blocks = F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("_blocks")
-    sizes = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(blocks)
-    own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
+    centres = spread(sample, least)
+    run = functools.partial(_place, pivots=spark.sparkContext.broadcast(centres), dim=dim)
+    placed = materialize(classes.mapInArrow(run, "vec binary, rep long, n long, cell int, angle double"))
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     # One row per pivot, of which there are at most MAX_PIVOTS.
-    dealt = listed.join(F.broadcast(sizes), "pivot").withColumn("block", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select(
-        "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "vec", "named"
+    for cell, size, radius in placed.groupBy("cell").agg(F.count("*"), F.max("angle")).collect():
+        sizes[cell], radii[cell] = size, radius
+    first, parts, blocks = lay_out(sizes)
+    layout = spark.sparkContext.broadcast((centres, radii, first, parts))
+    run = functools.partial(_partners, layout=layout, radius=float(_angle(np.float64(least))))
+    pairs = materialize(spark.range(blocks).mapInArrow(run, "block long, low long, high long"))
+    cells = local_table(
+        spark, cell=pa.array(range(len(centres)), pa.int32()), first=pa.array(first, pa.int64()), parts=pa.array(parts, pa.int64())
     )
-    few = min(shared, nearest, max(len(sample), 1))
-    run = functools.partial(_links, dim=dim, least=least, shared=few)
-    found = materialize(dealt.groupBy("pivot", "low", "high").applyInPandas(lambda rows: run(rows), LINKS))
+    block = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
+    blocked = placed.join(F.broadcast(cells), "cell").select(block, "rep", "n", "vec")
+    run = functools.partial(_links, dim=dim, least=least)
+    found = materialize(blocked.join(pairs, "block").groupBy("low", "high").applyInPandas(lambda rows: run(rows), LINKS))
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_links"))
     members = vectors.join(classes, "vec").select("vec_id", "rep", "n")
     joined = components(found.filter("b is not null").select("a", "b"))

@@ -2,6 +2,7 @@
 
 import corpus as C
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from epistrand.llm import embeddingdedup, neighbours
@@ -94,6 +95,45 @@ def test_embedding_near_duplicates(spark, monkeypatch, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_embedding_near_duplicates_in_a_dense_group(spark):
+    """A third of all vectors are near copies, among random ones; every link counts."""
+    rng = np.random.default_rng(8)
+    n, dim = 30_000, 64
+    x = rng.standard_normal((n, dim))
+    x[: n // 3] = x[0] + 0.274 * np.linalg.norm(x[0]) / dim**0.5 * rng.standard_normal((n // 3, dim))
+    x[-600:] = x[-1200:-600] + 0.47 * rng.standard_normal((600, dim))  # pairs about the threshold
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links, edges = np.zeros(n, int), []
+    for part in range(0, n, 1000):
+        near = u[part : part + 1000] @ u.T >= 0.9
+        near[np.arange(1000), part + np.arange(1000)] = False
+        links[part : part + 1000] = near.sum(1)
+        edges += [(part + int(i), int(near[i].argmax())) for i in np.flatnonzero(near.any(1))]
+    # The group hangs together through its best connected member; what else is linked is a pair.
+    hub = int(links.argmax())
+    group = u @ u[hub] >= 0.9
+    pairs = [(a, b) for a, b in edges if not group[a]] + [(hub, int(a)) for a in np.flatnonzero(group)]
+    root = C.roots(range(n), pairs)
+    table = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))})
+    got = sorted(map(tuple, embeddingdedup.near_duplicates(spark.createDataFrame(table)).collect()))
+    assert links[: n // 3].min() > 0 and 0 < (links[-600:] > 0).sum() < 600
+    assert [g[1] for g in got] == links.tolist()
+    assert [g[2] for g in got] == [root[i] for i in range(n)]
+
+
+def test_cells_rule_out_far_blocks():
+    """Tight cells that stand apart are not compared, cells that may touch are."""
+    angles = np.array([0.0, 0.6, 2.0])
+    pivots = np.column_stack((np.cos(angles), np.sin(angles)))
+    layout = (pivots, np.full(3, 0.1), np.array([0, 1, 3]), np.array([1, 2, 1]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64())], ["id"])
+    value = type("Value", (), {"value": layout})
+    rows = [tuple(r.values()) for b in embeddingdedup._partners([batch], value, 0.45) for r in b.to_pylist()]
+    assert {r[1:] for r in rows} == {(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2), (3, 3)}
+    assert sorted(rows) == sorted({(b, low, high) for _, low, high in rows for b in (low, high)})
+
+
 def test_embedding_near_duplicates_odd_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embeddingdedup.near_duplicates(none).count() == 0
