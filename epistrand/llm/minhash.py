@@ -1,6 +1,7 @@
 """MinHash near-deduplication with an LSH forest."""
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,6 @@ TREES, DEPTH = 16, 8
 NEIGHBOURS = 8
 SHARED = 2  # values at the start of an order that candidates must share
 BLOCK_SHINGLES = 2_000_000
-ROUNDS = 4
 MULTIPLIERS = [int(x) | 1 for x in mix(np.arange(1, TREES * DEPTH + 1, dtype=U64) * U64(BASES[1]))]
 
 
@@ -153,18 +153,21 @@ def candidates(signed: DataFrame, least: float = 0.5, hold: int = 200_000) -> Da
 
 
 class _Block:
-    """Documents of one block, to be linked by their full sets."""
+    """Documents to be linked by their full sets: all with all, or those of side 1 with those of side 2."""
 
     def __init__(self):
-        self.ids, self.texts, self.bits, self.key = [], [], [], None
+        self.ids, self.texts, self.bits, self.sides, self.key = [], [], [], [], None
 
     def links(self, percent: int, least: float) -> list[tuple[int, int]]:
-        """Pairs that join all documents that are linked within the block.
+        """Pairs that join all documents that are linked within the block or across its sides.
 
         A pair is compared exactly if its documents are not joined yet and its signature
         does not rule it out.
         """
         n = len(self.ids)
+        side = np.array(self.sides)
+        if (side == side[0]).all() and side[0]:
+            return []
         owners, parts = [], []
         for first, texts in chunks(self.texts):
             owner, hashes = shingle_sets(texts)
@@ -179,7 +182,8 @@ class _Block:
         for i in range(1, n):
             guess = similarity(bits[:i], bits[i])
             fits = 100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])
-            todo = np.flatnonzero((guess >= least) & fits & (sizes[:i] > 0) & (label[:i] != label[i]))
+            met = (side[:i] == 0) | (side[:i] != side[i])
+            todo = np.flatnonzero((guess >= least) & fits & met & (sizes[:i] > 0) & (label[:i] != label[i]))
             if not len(todo):
                 continue
             todo = todo[np.argsort(-guess[todo], kind="stable")]
@@ -207,12 +211,13 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, least: float) -> I
     block = _Block()
     for batch in batches:
         keys = zip(batch["cluster"].to_pylist(), batch["block"].to_pylist())
-        rows = zip(keys, batch["doc_id"].to_pylist(), as_bytes(batch["text"]), batch["bits"].to_pylist())
-        for key, doc, text, bits in rows:
+        rows = zip(keys, batch["side"].to_pylist(), batch["doc_id"].to_pylist(), as_bytes(batch["text"]), batch["bits"].to_pylist())
+        for key, side, doc, text, bits in rows:
             if key != block.key:
                 yield from out(block)
                 block = _Block()
                 block.key = key
+            block.sides.append(side)
             block.ids.append(doc)
             block.texts.append(text)
             block.bits.append(bits)
@@ -223,26 +228,46 @@ def confirmed(docs: DataFrame, signed: DataFrame, links: DataFrame, percent: int
     """Links with ``100 * intersection >= percent * union`` of the full shingle sets, enough to join all that are linked.
 
     The candidates' components are the clusters whose texts are brought together. A cluster
-    with more than ``BLOCK_SHINGLES`` shingles in all is dealt at random into blocks of
-    about that size, four times over.
+    with more than ``BLOCK_SHINGLES`` shingles in all is cut into bands by the size of the
+    sets, so that sets that can be linked are in the same band or in neighbouring ones, and
+    the bands into blocks. All pairs of blocks of such bands are compared; a pair of blocks
+    has about ``BLOCK_SHINGLES`` shingles.
     """
     clusters = components(links).withColumnRenamed("component", "cluster")
     narrow = signed.select("doc_id", "n_shingles", "bits")
-    members = clusters.join(narrow, clusters["node"] == narrow["doc_id"]).select("doc_id", "cluster", "n_shingles", "bits")
-    sizes = members.groupBy("cluster").agg(F.sum("n_shingles").alias("_all"))
-    blocks = F.ceil(F.col("_all") / F.lit(BLOCK_SHINGLES)).cast("int")
-    turn = lambda r: F.when(
-        F.col("_blocks") == 1, F.lit(0)
-    ).otherwise(r * F.col("_blocks") + F.pmod(F.xxhash64("doc_id", r), F.col("_blocks"))).cast("int")
-    rounds = F.sequence(F.lit(0), F.when(F.col("_blocks") == 1, F.lit(0)).otherwise(F.lit(ROUNDS - 1)))
-    dealt = (
-        members.join(sizes.withColumn("_blocks", blocks).drop("_all"), "cluster")
-        .select("doc_id", "cluster", "bits", F.explode(F.transform(rounds, turn)).alias("block"))
+    width = max(math.log(100 / percent), 0.01) * 1.0001  # more than the logarithms of linked sizes can differ by
+    band = F.floor(F.log("n_shingles") / F.lit(width)).cast("int").alias("band")
+    members = clusters.join(narrow, clusters["node"] == narrow["doc_id"]).select("doc_id", "cluster", "n_shingles", "bits", band)
+    sizes = members.groupBy("cluster", "band").agg(F.sum("n_shingles").alias("_sum"), F.count("*").alias("_n"))
+    parts = F.least(F.ceil(F.col("_sum") * 2 / F.lit(BLOCK_SHINGLES)), F.col("_n")).cast("int")
+    shapes = sizes.groupBy("cluster").agg(
+        F.sum("_sum").alias("_all"), F.map_from_entries(F.collect_list(F.struct("band", parts.alias("parts")))).alias("_parts")
     )
+    placed = members.join(shapes, "cluster").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")[F.col("band")]).cast("int"))
+
+    def pair(low_band, low, high_band, high, side):
+        names = ("low_band", "low", "high_band", "high")
+        key = F.struct(*[c.cast("int").alias(n) for n, c in zip(names, (low_band, low, high_band, high))])
+        return F.struct(key.alias("block"), side.cast("int").alias("side"))
+
+    own, part, zero = F.col("band"), F.col("_part"), F.lit(0)
+    numbers = lambda b: F.when(F.col("_parts")[b].isNull(), F.array().cast("array<int>")).otherwise(
+        F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("_parts")[b], F.lit(1)), F.lit(1)) - 1)
+    )
+    side = lambda p: F.when(p == part, 0).when(part < p, 1).otherwise(2)
+    pairs = F.concat(
+        F.transform(numbers(own), lambda p: pair(own, F.least(part, p), own, F.greatest(part, p), side(p))),
+        F.transform(numbers(own + 1), lambda p: pair(own, part, own + 1, p, F.lit(1))),
+        F.transform(numbers(own - 1), lambda p: pair(own - 1, p, own, part, F.lit(2))),
+    )
+    whole = F.array(pair(zero, zero, zero, zero, zero))
+    dealt = placed.select(
+        "doc_id", "cluster", "bits", F.explode(F.when(F.col("_all") <= BLOCK_SHINGLES, whole).otherwise(pairs)).alias("_pair")
+    ).select("doc_id", "cluster", "bits", "_pair.block", "_pair.side")
     together = dealt.join(docs.select("doc_id", "text"), "doc_id").repartition("cluster", "block")
     run = functools.partial(_confirm, percent=percent, least=least)
-    ordered = together.sortWithinPartitions("cluster", "block", "doc_id").select("cluster", "block", "doc_id", "text", "bits")
-    return ordered.mapInArrow(run, "a long, b long")
+    ordered = together.sortWithinPartitions("cluster", "block", "doc_id")
+    return ordered.select("cluster", "block", "side", "doc_id", "text", "bits").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

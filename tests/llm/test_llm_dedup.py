@@ -175,6 +175,27 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_near_duplicates_of_large_clusters(spark, monkeypatch):
+    """Variants that match only their original, and long near copies, each cluster being many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)
+    rng = np.random.default_rng(4)
+    original = [f"s{i}" for i in range(400)]
+    texts = [(50, original)]
+    for k in range(30):
+        variant = list(original)
+        for at in rng.choice(400, 9, replace=False):
+            variant[at] = f"v{k}x{at}"
+        texts.append((k, variant))
+    texts.append((60, original + [f"tail{i}" for i in range(120)]))  # linked across bands of sizes
+    long = [f"l{i}" for i in range(20_000)]
+    texts += [(70, long), (71, long[:-900] + [f"m{i}" for i in range(900)]), (72, long[:16_000])]
+    texts = [(d, " ".join(w)) for d, w in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == plain_near(texts)
+    assert sum(r[1] == 0 for r in got.values()) > 25 and [got[d][1] for d in (70, 71, 72)] == [70] * 3
+
+
 def test_near_duplicates_odd_rows(spark):
     text = "one two three four five six seven"
     rows = [(None, text), (4, text), (4, text), (2, text.upper()), (7, None), (8, ""), (9, "Hi you"), (10, "hi  YOU")]
