@@ -10,8 +10,9 @@ An index is a folder of Parquet tables, each with one part per change (``v=0``,
 
 A change looks only those keys up in ``keys`` that the filter of their shard may hold, so
 new lines, which are most of them, cost no look-up. A filter can err by holding a key that
-is not there (the look-up then finds nothing), never by missing one. A document's deletion
-lowers the counts, takes keys without references out of the filters, and passes a line on to
+is not there (the look-up then finds nothing), never by missing one: every key
+with references has put a fingerprint of its own in, also one that the filter seemed to hold.
+A document's deletion lowers the counts, takes keys without references out of the filters, and passes a line on to
 the next smallest document that holds it.
 """
 
@@ -68,7 +69,7 @@ class CuckooFilter:
         return found
 
     def insert(self, hashes: np.ndarray) -> None:
-        """Add hashes, each of which is not in it yet."""
+        """Add hashes of keys that are not in it yet. Equal fingerprints are held as often as they are added."""
         rest = hashes
         if self.tables:
             rest = self._insert(self.tables[-1], rest)
@@ -111,10 +112,15 @@ class CuckooFilter:
         return False
 
     def delete(self, hashes: np.ndarray) -> None:
-        """Take out hashes that are in it."""
+        """Take out hashes that are in it.
+
+        The fingerprint taken may be another key's. In the largest table that has one, that
+        key shares both buckets, so it does in the smaller table that holds this key's own.
+        """
+        tables = sorted(self.tables, key=len, reverse=True)
         for value in hashes:
             one = np.array([value], U64)
-            for table in self.tables:
+            for table in tables:
                 marks, a, b = self._places(table, one)
                 hit = next(((r, s) for r in (a[0], b[0]) for s in range(SLOTS) if table[r, s] == marks[0]), None)
                 if hit:
@@ -178,19 +184,22 @@ def _held(filters: pd.DataFrame) -> CuckooFilter:
     return CuckooFilter.load(filters["filter"].iloc[filters["v"].argmax()] if len(filters) else None)
 
 
-PROBED = "shard int, key binary, n long, first long, known boolean, filter binary"
+PROBED = "shard int, key binary, n long, first long, known boolean"
 
 
 def _probe(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """Which keys of a shard its filter may hold already, and the filter with all of them."""
+    """Which keys of a shard its filter may hold already."""
     if not len(batch):
-        return pd.DataFrame({"shard": [], "key": [], "n": [], "first": [], "known": [], "filter": []})
-    held, hashes = _held(filters), _hashes(batch["key"])
-    known = held.contains(hashes)
-    held.insert(np.unique(hashes[~known]))
-    out = batch[["shard", "key", "n", "first"]].assign(known=known, filter=None)
-    end = {"shard": [batch["shard"].iloc[0]], "key": [None], "n": [0], "first": [0], "known": [False], "filter": [held.dump()]}
-    return pd.concat([out, pd.DataFrame(end)], ignore_index=True)
+        return pd.DataFrame({"shard": [], "key": [], "n": [], "first": [], "known": []})
+    return batch[["shard", "key", "n", "first"]].assign(known=_held(filters).contains(_hashes(batch["key"])))
+
+
+def _remember(new: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    if not len(new):
+        return pd.DataFrame({"shard": [], "filter": []})
+    held = _held(filters)
+    held.insert(np.sort(_hashes(new["key"])))
+    return pd.DataFrame({"shard": [new["shard"].iloc[0]], "filter": [held.dump()]})
 
 
 def _forget(gone: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -274,21 +283,26 @@ class LineIndex:
         held = self.spark.read.parquet(self._path("postings")).distinct()
         batch = held.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
         batch = batch.select(self._shard(), "key", "n", "first")
-        probed = batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, PROBED)
-        self._write(probed, "probed")
-        probed = self.spark.read.parquet(self._path("probed"))
-        self._write(probed.filter(F.col("filter").isNotNull()).select("shard", "filter"), "filters")
-        fresh = probed.filter(F.col("key").isNotNull() & ~F.col("known")).select("key", "n", "first")
         if self.version:
-            known = probed.filter("known").select("key", "n", "first")
+            probed = batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, PROBED)
+            self._write(probed, "probed")
+            probed = self.spark.read.parquet(self._path("probed"))
             before = self.keys().filter("n > 0").select("key", F.col("n").alias("_n"), F.col("first").alias("_first"))
-            both = known.join(before, "key", "left").select(
+            both = probed.filter("known").join(before, "key", "left").select(
+                "shard",
                 "key",
                 (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
                 F.least("first", "_first").alias("first"),
+                F.col("_n").isNull().alias("new"),
             )
-            fresh = fresh.unionByName(both)
-        self._write(fresh, "keys")
+            batch = probed.filter("not known").drop("known").withColumn("new", F.lit(True)).unionByName(both)
+        else:
+            batch = batch.withColumn("new", F.lit(True))
+        self._write(batch, "counted")
+        counted = self.spark.read.parquet(self._path("counted"))
+        new = counted.filter("new").select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        self._write(new.applyInPandas(_remember, "shard int, filter binary"), "filters")
+        self._write(counted.select("key", "n", "first"), "keys")
         self._commit()
 
     def delete(self, doc_ids: DataFrame) -> None:

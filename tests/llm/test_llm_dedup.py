@@ -128,6 +128,47 @@ def test_line_index_is_reversible(spark, tmp_path):
     assert {bytes(k): v for k, v in exact.items()} == {k: (len(v), min(v)) for k, v in live.items()}
 
 
+def test_line_index_with_equal_fingerprints(spark, tmp_path):
+    """Two lines that the filter cannot tell apart: insert, insert, delete, insert."""
+    table, seen, pair = np.zeros((16, linededup.SLOTS), np.uint16), {}, None
+    lines = [f"a line with the number {i}" for i in range(20_000)]
+    hashes = linededup._hashes([linededup.line_key(x.encode()) for x in lines])
+    for line, *place in zip(lines, *linededup.CuckooFilter._places(table, hashes)):
+        place = (int(place[0]), *sorted(map(int, place[1:])))
+        pair = pair or (place in seen and (seen[place], line)) or None
+        seen[place] = line
+    one, two = pair
+    docs = [(1, one), (2, two), (3, two + "\nsome other line"), (4, two), (5, one)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = linededup.LineIndex(spark, str(tmp_path / "index"), shards=1)
+    index.insert(frame.filter("doc_id = 1"))
+    index.insert(frame.filter("doc_id in (2, 3)"))
+    index.delete(frame.filter("doc_id = 1").select("doc_id"))
+    index.insert(frame.filter("doc_id in (4, 5)"))
+    got = {r.doc.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in index.rewrite(frame.filter("doc_id > 1")).collect()}
+    assert got == plain_lines(docs[1:])
+    live = {bytes(r.key): (r.n, r["first"]) for r in index.keys().filter("n > 0").collect()}
+    key = lambda x: linededup.line_key(x.encode())
+    assert live == {key(two): (3, 2), key("some other line"): (1, 3), key(one): (1, 5)}
+
+
+def test_cuckoo_filter_never_misses_with_equal_fingerprints():
+    """Few fingerprints and buckets, tables of several sizes."""
+    rng = np.random.default_rng(6)
+    every = np.unique((rng.integers(1, 200, 4000).astype(np.uint64) << np.uint64(48)) | rng.integers(0, 1 << 12, 4000).astype(np.uint64))
+    filter_, live = linededup.CuckooFilter(), np.zeros(0, np.uint64)
+    for size in (20, 200, 900, 60, 700):
+        new = rng.choice(np.setdiff1d(every, live), size, replace=False)
+        filter_.insert(new)
+        live = np.concatenate((live, new))
+        assert filter_.contains(live).all()
+        gone = rng.choice(live, len(live) // 3, replace=False)
+        filter_.delete(gone)
+        live = np.setdiff1d(live, gone)
+        assert filter_.contains(live).all()
+    assert len({len(t) for t in filter_.tables}) > 1
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     held, other = (np.unique(rng.integers(0, MAX, 20_000, np.uint64, True)) for _ in range(2))
