@@ -14,11 +14,12 @@ logistic curve turns into the score.
 
 import functools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,7 +29,8 @@ from epistrand.sources import materialize
 
 DISCOUNT = 1.0
 MIXED = 0.05
-PLACES = 4194301  # of the table that scoring broadcasts: a prime; 16 MB as 32-bit numbers
+UNIT = 1 << 30  # ratios are whole multiples of 1 / UNIT, so their sums depend on no order
+MOST_WORDS = 4_000_000  # with a ratio, that scoring broadcasts: 64 MB; more are joined by shuffle
 PADDING = 16  # words of ratio 0 that every text is taken to have besides its own
 THRESHOLD = 0.3
 BINS = 4000
@@ -108,46 +110,93 @@ def log_ratios(counts: DataFrame, t: Column, o: Column) -> tuple[DataFrame, floa
     return known.select("word", mixed.alias("ratio"), (F.col("t") + F.col("o")).alias("n")), other
 
 
-def _table(ratios: DataFrame, other: float) -> np.ndarray:
-    """Ratios by place; where words share one, their mean by count.
+def _means(words: Words, known: np.ndarray, ratios: np.ndarray, other: int) -> np.ndarray:
+    """The mean ratio of each text, from the sorted words that have one of their own and their ratios."""
+    found, at = np.unique(words.hashes, return_inverse=True)
+    value = np.full(len(found), other, np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[place] == found
+        value[hit] = ratios[place[hit]]
+    sums = np.concatenate(([0], np.cumsum(value[at])))
+    return (sums[words.begin[1:]] - sums[words.begin[:-1]]) / UNIT / (words.counts + PADDING)
 
-    At most ``PLACES`` rows come to the driver, however large the corpus is.
-    """
-    # As an unsigned number modulo PLACES.
-    place = F.pmod(F.pmod("word", F.lit(PLACES)) + F.when(F.col("word") < 0, F.lit((1 << 64) % PLACES)).otherwise(0), F.lit(PLACES))
-    summed = ratios.groupBy(place.cast("int").alias("place")).agg(
-        (F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")
-    )
-    rows = summed.toArrow()
-    table = np.full(PLACES, other, np.float32)
-    table[rows["place"].to_numpy()] = rows["ratio"].to_numpy()
-    return table
-
-
-def _ratio(batches: Iterator[pa.RecordBatch], table, kept) -> Iterator[pa.RecordBatch]:
-    table = table.value
+
+def _sorted(words, ratios) -> tuple[np.ndarray, np.ndarray]:
+    words = words.to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(words)
+    return words[order], ratios.to_numpy()[order].astype(np.int64)
+
+
+def _with_means(rows, texts: list, kept: list[str], known: np.ndarray, ratios: np.ndarray, other: int) -> pa.RecordBatch:
+    means = _means(Words(texts, LETTERS), known, ratios, other)
+    return pa.RecordBatch.from_arrays([*[rows[c] for c in kept], pa.array(means)], [*kept, "mean_ratio"])
+
+
+def _ratio(batches: Iterator[pa.RecordBatch], table, other: int, kept) -> Iterator[pa.RecordBatch]:
+    known, ratios = table.value
+    for batch in batches:
+        for first, texts in chunks(as_bytes(batch["text"])):
+            yield _with_means(batch.slice(first, len(texts)), texts, kept, known, ratios, other)
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in chunks, each as one value, with the distinct words of their texts."""
     for batch in batches:
         for first, texts in chunks(as_bytes(batch["text"])):
-            words = Words(texts, LETTERS)
-            ratio = table[(words.hashes % U64(PLACES)).astype(np.int64)].astype(np.float64)
-            sums = np.concatenate(([0.0], np.cumsum(ratio)))
-            mean = (sums[words.begin[1:]] - sums[words.begin[:-1]]) / (words.counts + PADDING)
             rows = batch.slice(first, len(texts))
-            yield pa.RecordBatch.from_arrays([*[rows[c] for c in kept], pa.array(mean)], [*kept, "mean_ratio"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            words = np.unique(Words(texts, LETTERS).hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([str(uuid.uuid4())]),
+                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                    pa.array([words], pa.list_(pa.int64())),
+                ],
+                ["chunk", "rows", "words"],
+            )
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch], other: int, kept) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data, known in zip(batch["rows"], batch["known"]):
+            pairs = known.values if known.is_valid else pa.array([], batch["known"].type.value_type)
+            table = _sorted(pairs.field("word"), pairs.field("ratio"))
+            for rows in pa.ipc.open_stream(data.as_buffer()):
+                yield _with_means(rows, as_bytes(rows["text"]), kept, *table, other)
 
 
 class ToxicityModel:
-    """Word ratios, and the logistic curve from a text's mean ratio to its score."""
+    """Word ratios, and the logistic curve from a text's mean ratio to its score.
+
+    ``ratios`` has one row per word that has a ratio of its own (see :func:`log_ratios`); all
+    other words have the ratio ``other``. Up to ``MOST_WORDS`` are broadcast. Beyond, the
+    distinct words of each chunk of texts are joined to them. Scores are the same either way.
+    """
 
-    def __init__(self, spark: SparkSession, table: np.ndarray, slope: float = 1.0, offset: float = 0.0):
-        self.table = spark.sparkContext.broadcast(table)
+    def __init__(self, ratios: DataFrame, other: float = 0.0, slope: float = 1.0, offset: float = 0.0):
+        self.ratios = materialize(ratios.select("word", F.round(F.col("ratio") * UNIT).cast("long").alias("ratio")))
+        self.other = round(other * UNIT)
         self.slope, self.offset = slope, offset
+        self.table = None
+        if self.ratios.count() <= MOST_WORDS:
+            rows = self.ratios.toArrow()
+            self.table = ratios.sparkSession.sparkContext.broadcast(_sorted(rows["word"], rows["ratio"]))
 
     def mean_ratio(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
         """The columns of ``docs``, text only if wanted, and ``mean_ratio``: the log ratio per word of the whole text."""
         schema = StructType([f for f in docs.schema if keep_text or f.name != "text"])
-        run = functools.partial(_ratio, table=self.table, kept=schema.names[:])
-        return docs.mapInArrow(run, StructType(schema.fields[:]).add("mean_ratio", "double"))
+        kept = schema.names[:]
+        schema = StructType(schema.fields[:]).add("mean_ratio", "double")
+        if self.table:
+            return docs.mapInArrow(functools.partial(_ratio, table=self.table, other=self.other, kept=kept), schema)
+        stored = materialize(docs.mapInArrow(_bundle, "chunk string, rows binary, words array<long>"))
+        asked = stored.select("chunk", F.explode("words").alias("word"))
+        told = asked.join(self.ratios, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "ratio")).alias("known"))
+        answered = stored.select("chunk", "rows").join(told, "chunk", "left").select("rows", "known")
+        return answered.mapInArrow(functools.partial(_unbundle, other=self.other, kept=kept), schema)
 
     def score(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
         """One row per row of ``docs``: its columns, text only if wanted, and score and predicted.
@@ -184,25 +233,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     driver as counts in at most ``BINS`` bins. Without labels of both kinds every score is
     the share of toxic labels, or 0.5 if there are none.
     """
-    spark = docs.sparkSession
     usable = labels.filter(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id")))
     known = materialize(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     shares = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not 0 < shares["t"] < shares["n"]:
         share = (shares["t"] + 0.5) / (shares["n"] + 1)
-        return ToxicityModel(spark, np.zeros(PLACES, np.float32), 0.0, math.log(share / (1 - share)))
+        none = docs.sparkSession.createDataFrame([], "word long, ratio double")
+        return ToxicityModel(none, 0.0, 0.0, math.log(share / (1 - share)))
     labelled = join_per_key(docs.select("doc_id", "text"), known, "doc_id")
     labelled = labelled.withColumn("part", (_fold(F.col("doc_id")) == 3).cast("int"))
     counts = materialize(count_words(labelled))
-    trial = ToxicityModel(spark, _table(*log_ratios(counts, F.col("t0"), F.col("o0"))))
+    trial = ToxicityModel(*log_ratios(counts, F.col("t0"), F.col("o0")))
     scored = trial.mean_ratio(labelled.filter("part = 1").select("toxic", "text"))
     width = 4.0 / BINS
     place = F.round(F.greatest(F.least(F.col("mean_ratio"), F.lit(2.0)), F.lit(-2.0)) / F.lit(width)) * F.lit(width)
     bins = scored.groupBy(place.alias("x")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
     x, t, n = np.array([tuple(r) for r in bins] or [(0.0, 0, 0)], float).T
     slope, offset = _logistic(x, t + 1e-6, n - t + 1e-6)
-    table = _table(*log_ratios(counts, F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")))
-    return ToxicityModel(spark, table, slope, offset)
+    return ToxicityModel(*log_ratios(counts, F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")), slope, offset)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 import zlib
 
 import corpus as C
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from epistrand.llm import languages, queries, toxicity, urls
+from epistrand.llm.words import LETTERS, Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,6 +47,33 @@ def test_word_counts_and_ratios(spark):
     assert other == pytest.approx(want[2])
 
 
+def test_words_keep_their_own_ratios(spark):
+    """Words whose hashes agree modulo 4194301 have nothing to do with each other."""
+    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_576)]
+    places, pair = {}, None
+    for name, place in zip(names, (Words([" ".join(names).encode()], LETTERS).hashes % np.uint64(4194301)).tolist()):
+        pair = pair or (place in places and (places[place], name)) or None
+        places[place] = name
+    bad, good = pair
+    docs = spark.createDataFrame([(i, f"{bad if i % 2 else good} " * 5) for i in range(80)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    rows = spark.createDataFrame([(1, f"{bad} " * 9), (2, f"{good} " * 9)], "doc_id long, text string")
+    assert [r.predicted for r in model.score(rows).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_toxicity_scores_do_not_depend_on_the_join(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (None, ""), (-5, "qzx")], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = []
+    for most in (toxicity.MOST_WORDS, 0):
+        monkeypatch.setattr(toxicity, "MOST_WORDS", most)
+        model = toxicity.fit(docs, labels)
+        assert (model.table is None) == (most == 0)
+        found.append(sorted(map(tuple, model.score(docs, keep_text=True).collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
+
+
 def test_toxicity_odd_rows(spark):
     docs = C.documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
