@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from epistrand.operators import audit
 
 

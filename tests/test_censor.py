@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from epistrand.operators import censor as C
 from epistrand.operators.events import add_age
 from epistrand.operators.sequences import build_sequences

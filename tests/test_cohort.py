@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from epistrand.operators import cohort as H
 
 

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from epistrand.operators import normalize as N
 from epistrand.schemas import BIN_EDGES
 

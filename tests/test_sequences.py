@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from epistrand.operators import sequences as Q
 
 START = datetime.date(2020, 1, 1)
