@@ -150,10 +150,11 @@ FROM (SELECT label, count(*) AS n, 0.2::DOUBLE * count(*) AS share, floor(0.2::D
 SELECT t.patid AS PATIENT_ID, CAST(f.PATIENT_ID IS NOT NULL AS INT) AS is_case,
   CASE WHEN f.PATIENT_ID IS NOT NULL THEN f.Index_Date ELSE v.LAST_VISIT_DATE END AS REF_DATE
 FROM test_ids t LEFT JOIN index_dates f ON f.PATIENT_ID = t.patid LEFT JOIN last_visit v ON v.PATIENT_ID = t.patid""",
-    "horizon_years": "SELECT * FROM (VALUES " + ", ".join(f"({y})" for y in HORIZON_YEARS) + ") AS y(years)",
-    "horizon_events": """
-SELECT y.years, e.PATIENT_ID, e.DATE, e.CODE FROM test_events e JOIN refs r ON r.PATIENT_ID = e.PATIENT_ID
-JOIN horizon_years y ON e.DATE < CAST(r.REF_DATE - to_years(CAST(y.years AS INT)) AS DATE)""",
+    # One unnest instead of a join with the years: DuckDB sometimes fails on that join (dictionary caching).
+    "horizon_events": f"""
+SELECT years, PATIENT_ID, DATE, CODE FROM (
+  SELECT unnest({HORIZON_YEARS}) AS years, e.PATIENT_ID, e.DATE, e.CODE, r.REF_DATE FROM test_events e JOIN refs r ON r.PATIENT_ID = e.PATIENT_ID)
+WHERE DATE < CAST(REF_DATE - to_years(CAST(years AS INT)) AS DATE)""",
     "horizon_aged": """
 SELECT h.*, CAST(greatest(year(h.DATE) - b.YOB, 0) AS VARCHAR) AS AGE FROM horizon_events h JOIN births b ON b.PATIENT_ID = h.PATIENT_ID""",
     "horizon_seqs": _sequences("horizon_aged", "years, PATIENT_ID"),
