@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, substrings, toxicity, urls
+from epistrand.llm import bpe, embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.col("ids")
+    return encoded.select(
+        "doc.doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(bpe.little_endian(ids), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +92,7 @@ QUERIES = {
         op8_source_mixing,
         op9_minhash_near_dedup,
         op10_line_dedup,
+        op13_byte_bpe,
     )
 }
 
