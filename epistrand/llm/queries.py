@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import bpe, embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, substrings, toxicity, urls
+from epistrand.llm import bpe, embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, periodic, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In every tenth document by checksum, the words from some place on repeat the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words)
+        first = F.pmod(g, n).cast("int")
+        period = (F.floor((n - first) / (F.lit(3) + F.pmod(g, F.lit(8)))) + 1).cast("int")
+        place = F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.when(i < first, i).otherwise(first + F.pmod(i - first, period))
+        )
+        changed = F.array_join(F.transform(place, lambda i: F.get(words, i)), " ")
+        return F.when(n > 0, changed).otherwise(F.col("text"))
+
+    planted = bpe.bind(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), repeat)
+    return docs.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # Runs come by start and period, so the first of equal exponents stays.
+    best = F.aggregate(
+        "runs",
+        none,
+        lambda m, r: F.when(m.isNull() | (r["length"] * m["period"] > m["length"] * r["period"]), r).otherwise(m),
+    )
+    found = found.select("doc.doc_id", "n_words", "runs", "collapsed", best.alias("best"), listed.alias("listed"))
+    thousandths = F.lit(1000) * F.col("best.length")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        ((thousandths - F.pmod(thousandths, F.col("best.period"))) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.col("ids")
@@ -92,6 +138,7 @@ QUERIES = {
         op8_source_mixing,
         op9_minhash_near_dedup,
         op10_line_dedup,
+        op12_periodic_runs,
         op13_byte_bpe,
     )
 }
