@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistrand.llm import bpe, embeddingdedup, languages, linededup, minhash, mixing, neighbours, packing, periodic, substrings, toxicity, urls
+from epistrand.llm import bpe, embeddingdedup, hardnegatives, languages, linededup, minhash, mixing, neighbours, packing, periodic, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardnegatives.mine(vectors, F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """In every tenth document by checksum, the words from some place on repeat the first of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -138,6 +144,7 @@ QUERIES = {
         op8_source_mixing,
         op9_minhash_near_dedup,
         op10_line_dedup,
+        op11_hard_negatives,
         op12_periodic_runs,
         op13_byte_bpe,
     )
