@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 # So many of the commonest words go through the driver, at most COMMON_BYTES bytes each.
-COMMON = 131_072
+COMMON = 262_144
 COMMON_BYTES = 64
 # Words of more bytes are cut first where no token can lie, and equal pairs are joined at once.
 LONG = 24
@@ -72,7 +72,12 @@ class Vocabulary:
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex().upper()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+        self.pieces = self._array(pieces)
+        self.little_endian = self._array([i.to_bytes(4, "little").hex() for i in range(len(pieces))])
+
+    @staticmethod
+    def _array(values: list[str]) -> Column:
+        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<string>")
 
     @staticmethod
     @functools.cache
@@ -164,30 +169,55 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
-class _Fold:
-    """The fold over the pieces of one word, with the literals bound to lambda variables."""
+def _present(values: Column) -> Column:
+    return F.filter(values, lambda x: x.isNotNull())
 
-    def __init__(self, vocabulary: Vocabulary, ranks: Column, pairs: Column, single: Column):
-        self.v, self.bound_ranks, self.bound_pairs, self.bound_single = vocabulary, ranks, pairs, single
 
-    def rank(self, left: Column, right: Column) -> Column:
-        return F.coalesce(self.v.ranks.get(self.bound_ranks, F.concat(left, right)), F.lit(_NO_RANK))
+class _Fold:
+    """The fold over one word's bytes, with the literals bound to lambda variables.
 
-    def state(self, pieces: Column) -> Column:
-        """Pieces and the rank of each with the one after it."""
-        following = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        before = F.slice(pieces, F.lit(1), F.size(following))
-        return F.struct(pieces.alias("p"), F.zip_with(before, following, self.rank).alias("r"))
+    Pieces are kept as the places where they begin, and the end of the word.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, ranks: Column, pairs: Column, single: Column):
+        self.v, self.ranks, self.pairs, self.single = vocabulary, ranks, pairs, single
 
     def tokens(self, word: Column) -> Column:
         """The ids of a word."""
-        pieces = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0))
-        short = bind(pieces, lambda p: self.fold(p, self.join_first))
-        long = bind(pieces, lambda p: F.flatten(F.transform(self.cut(p), lambda s: self.fold(s, self.join_all))))
-        found = F.when(F.octet_length(word) <= LONG, short).otherwise(long)
-        return F.transform(found, lambda p: self.v.ranks.get(self.bound_ranks, p))
+        return bind(F.encode(word, "UTF-8"), self._tokens)
+
+    def _tokens(self, data):
+        self.data, n = data, F.octet_length(data)
+
+        def whole():
+            return self.fold(F.sequence(F.lit(0), n), self.join_first)
+
+        def parts():
+            inner = F.filter(F.sequence(F.lit(1), n - 1), lambda i: self.v.pairs.get(self.pairs, self.piece(i - 1, i + 1)).isNull())
+            begin, end = F.concat(F.array(F.lit(0)), inner), F.concat(inner, F.array(n))
+            # Each part but for its end, where the next one begins.
+            folded = F.zip_with(begin, end, lambda a, z: self.fold(F.sequence(a, z), self.join_all))
+            return F.concat(F.flatten(F.transform(folded, lambda b: F.slice(b, F.lit(1), F.size(b) - 1))), F.array(n))
+
+        def ids(begin):
+            places = F.sequence(F.lit(0), F.size(begin) - 2)
+            return F.transform(places, lambda i: self.rank(F.get(begin, i), F.get(begin, i + 1)))
+
+        return bind(F.when(n <= LONG, whole()).otherwise(parts()), ids)
 
-    def fold(self, pieces: Column, join) -> Column:
+    def piece(self, a: Column, z: Column) -> Column:
+        """The bytes from a to z, as they are written in the literals."""
+        return F.hex(F.substring(self.data, a + 1, z - a))
+
+    def rank(self, a: Column, z: Column) -> Column:
+        return F.coalesce(self.v.ranks.get(self.ranks, self.piece(a, z)), F.lit(_NO_RANK))
+
+    def state(self, begin: Column) -> Column:
+        """Places, and the rank of each piece with the one after it."""
+        pairs = F.slice(begin, F.lit(1), F.greatest(F.size(begin) - 2, F.lit(0)))
+        return F.struct(begin.alias("b"), F.transform(pairs, lambda a, i: self.rank(a, F.get(begin, i + 2))).alias("r"))
+
+    def fold(self, begin: Column, join) -> Column:
         """Join until no two neighbours are a token; the steps that are left over change nothing."""
 
         def step(s, _):
@@ -196,56 +226,35 @@ class _Fold:
             done = F.lit(_NO_RANK << _PLACE)
             return bind(F.coalesce(first, done), lambda x: F.when(x >= done, s).otherwise(join(s, x)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), self.state(pieces), step, lambda s: s["p"])
+        return bind(begin, lambda b: F.aggregate(b, self.state(b), step, lambda s: s["b"]))
 
     def join_first(self, s: Column, first: Column) -> Column:
         """Join the first pair of the lowest rank; only its two neighbours get other ranks."""
-        p, r, n, none = s["p"], s["r"], F.size(s["p"]), F.array().cast("array<int>")
-        k = _place(first) + 1
+        b, k = s["b"], _place(first)
 
-        def put(m):
-            left = F.when(k > 1, F.array(self.rank(F.get(p, k - 2), m))).otherwise(none)
-            right = F.when(k + 1 < n, F.array(self.rank(m, F.get(p, k + 1)))).otherwise(none)
-            pieces = F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, F.greatest(n - k - 1, F.lit(0))))
-            before, after = F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), F.slice(r, k + 2, F.greatest(n - k - 2, F.lit(0)))
-            return F.struct(pieces.alias("p"), F.concat(before, left, right, after).alias("r"))
+        def rank(x, i):
+            after = F.when(i == k + 1, self.rank(F.get(b, k), F.get(b, i + 2))).otherwise(F.when(i != k, x))
+            return F.when(i == k - 1, self.rank(F.get(b, i), F.get(b, i + 3))).otherwise(after)
 
-        return bind(F.concat(F.get(p, k - 1), F.get(p, k)), put)
+        return F.struct(F.filter(b, lambda x, i: i != k + 1).alias("b"), _present(F.transform(s["r"], rank)).alias("r"))
 
     def join_all(self, s: Column, first: Column) -> Column:
         """Join all pairs of the lowest rank, of overlapping ones every other from the left."""
-        r, low = s["r"], F.shiftright(first, _PLACE).cast("int")
+        b, r, low = s["b"], s["r"], F.shiftright(first, _PLACE).cast("int")
 
         def edge(side):  # pairs at either end of a run of such pairs
-            mark = F.transform(r, lambda x, i: F.when((x == low) & ~F.coalesce(F.get(r, i + side) == low, F.lit(False)), i))
-            return F.filter(mark, lambda i: i.isNotNull())
+            return _present(F.transform(r, lambda x, i: F.when((x == low) & ~F.coalesce(F.get(r, i + side) == low, F.lit(False)), i)))
 
         runs = F.zip_with(edge(-1), edge(1), lambda a, z: F.sequence(a, z, F.lit(2)))
-        alone = self.v.single.get(self.bound_single, low.cast("string")).isNotNull()
+        alone = self.v.single.get(self.single, low.cast("string")).isNotNull()
         at = F.when(alone, F.array(_place(first))).otherwise(F.flatten(runs))
-        return bind(at, lambda at: self.state(self.joined(s["p"], at)))
-
-    @staticmethod
-    def joined(p: Column, at: Column) -> Column:
-        """Pieces with those at the given places joined to the one after them."""
-        begin = F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 2))
-        end = F.concat(at, F.array(F.size(p)))
-
-        def part(a, z):
-            pair = F.when(z < F.size(p), F.array(F.concat(F.get(p, z), F.get(p, z + 1))))
-            return F.concat(F.slice(p, a + 1, z - a), F.coalesce(pair, F.array().cast("array<string>")))
 
-        return F.flatten(F.zip_with(begin, end, part))
+        def joined(at):
+            from_ = F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 2))
+            to = F.concat(F.transform(at, lambda i: i + 1), F.array(F.size(b)))
+            return F.flatten(F.zip_with(from_, to, lambda a, z: F.slice(b, a + 1, z - a)))
 
-    def cut(self, p: Column) -> Column:
-        """The bytes of a word in parts that no token crosses."""
-
-        def apart(i):
-            return self.v.pairs.get(self.bound_pairs, F.concat(F.get(p, i - 1), F.get(p, i))).isNull()
-
-        inner = F.filter(F.sequence(F.lit(1), F.size(p) - 1), apart)
-        begin, end = F.concat(F.array(F.lit(0)), inner), F.concat(inner, F.array(F.size(p)))
-        return F.zip_with(begin, end, lambda a, z: F.slice(p, a + 1, z - a))
+        return bind(bind(at, joined), self.state)
 
 
 def common_words(texts: DataFrame, pattern: Pattern, most: int = COMMON) -> DataFrame:
@@ -294,18 +303,10 @@ def _encoder(v: Vocabulary, known: dict | None = None):
     return run
 
 
-def little_endian(ids: Column) -> Column:
+def little_endian(ids: Column, vocabulary: Vocabulary | None = None) -> Column:
     """Ids as unsigned 32-bit numbers, the lowest byte first: one binary value."""
-    each = F.transform(ids, lambda i: F.lpad(F.hex(_reversed(i.cast("long"))), 8, "0"))
-    return F.unhex(F.array_join(each, ""))
-
-
-def _reversed(i):
-    def byte(shift):
-        return F.shiftright(i, shift).bitwiseAND(F.lit(255))
-
-    low, mid, high, top = (byte(s) for s in (0, 8, 16, 24))
-    return F.shiftleft(low, 24) + F.shiftleft(mid, 16) + F.shiftleft(high, 8) + top
+    v = vocabulary or Vocabulary.load()
+    return bind(v.little_endian, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(held, i)), "")))
 
 
 def decode(ids: Column, vocabulary: Vocabulary | None = None) -> Column:
