@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from epistrand.schemas import CLS, PAD, SEP
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tail(values: Column, n: int) -> Column:
     """The last ``n`` elements, or all of them if there are fewer."""
     if n < 1:

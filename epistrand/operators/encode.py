@@ -1,9 +1,14 @@
 """Fixed-length training tables from token sequences.
 
-Only the latest ``max_len`` tokens of a sequence matter. They are cut off first, exploded,
-looked up in the vocabulary by a join, and collected again; a group never has more than
-``max_len`` tokens. All columns of a sequence that are not arrays come along as its keys
-(``patid``, a horizon, ...) and together must identify it; equal keys fail the job.
+Only the latest ``max_len`` tokens of a sequence matter; they are cut off first. While the
+vocabulary is small enough to be broadcast, it is one value of the plan and tokens are looked
+up inside the arrays, so that encoding shuffles nothing. Beyond ``max_bytes`` the tokens are
+exploded, looked up by a join and collected again; a group then never has more than
+``max_len`` tokens, and all columns of a sequence that are not arrays, its keys (``patid``, a
+horizon, ...), must identify it: there, equal keys fail the job.
+
+The encoders whose names end in ``_tails`` start from runs of tokens (``sequences.place``)
+and cut them before anything is collected, so no array is ever longer than an example.
 """
 
 from pyspark.sql import DataFrame
@@ -18,8 +23,9 @@ from epistrand.functions.arrays import (
     with_cls,
 )
 from epistrand.functions.scalars import age_number, hashed_integer, hashed_uniform
-from epistrand.operators.sequences import latest
-from epistrand.operators.skew import lookup_join, null_safe_join
+from epistrand.operators.lookup import look_up_all
+from epistrand.operators.sequences import collect_tails, latest
+from epistrand.operators.skew import BROADCAST_BYTES, fits_in_broadcast, lookup_join, null_safe_join
 from epistrand.schemas import MASK, PAD, SEP, SPECIAL_TOKENS, UNK
 
 
@@ -59,38 +65,43 @@ def _collect(rows, others, fields):
     return checked.select(*others, *[F.col(f"_items.{f}").alias(f) for f in fields])
 
 
-def _look_up(rows, vocab, column, out):
+def _look_up(rows, vocab, column, out, max_bytes):
     """Left join of a token column to its ids; unknown tokens give NULL."""
     ids = vocab.select(F.col("token").alias(column), F.col("idx").alias(out))
-    return lookup_join(rows, ids, column, "left")
+    return lookup_join(rows, ids, column, "left", max_bytes)
 
 
 def tokens_to_ids(
     df: DataFrame, vocab: DataFrame, column: str = "code", out: str | None = None,
-    mask_token: str | None = None, unknown: bool = True,
+    mask_token: str | None = None, unknown: bool = True, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Replace an array of tokens by the array of their ids (written to ``out`` if given).
 
     A token that is not in the vocabulary becomes UNK, or NULL if ``unknown`` is false.
-    Tokens equal to ``mask_token`` become UNK. The other columns must identify a row.
+    Tokens equal to ``mask_token`` become UNK.
     """
-    source = df if out in (None, column) else df.withColumn(out, F.col(column))
     target = out or column
+
+    def settle(token, idx):
+        idx = F.coalesce(idx, _special_id(UNK)) if unknown else idx
+        return idx if mask_token is None else F.when(token == F.lit(mask_token), _special_id(UNK)).otherwise(idx)
+
+    if fits_in_broadcast(vocab, max_bytes):
+        return look_up_all(df, column, vocab, target, settle)
+    source = df if target == column else df.withColumn(target, F.col(column))
     rows, others = _explode(source, [target])
-    rows = _look_up(rows, vocab, target, "_id")
-    idx = F.coalesce("_id", _special_id(UNK)) if unknown else F.col("_id")
-    if mask_token is not None:
-        idx = F.when(F.col(target) == F.lit(mask_token), _special_id(UNK)).otherwise(idx)
-    encoded = _collect(rows.withColumn(target, idx), others, [target])
+    rows = _look_up(rows, vocab, target, "_id", max_bytes)
+    encoded = _collect(rows.withColumn(target, settle(F.col(target), F.col("_id"))), others, [target])
     return encoded.select(*source.columns)
 
 
 def pad_to_ids(
-    df: DataFrame, vocab: DataFrame, max_len: int, column: str = "code", symbol: str = PAD, unknown: bool = True
+    df: DataFrame, vocab: DataFrame, max_len: int, column: str = "code", symbol: str = PAD, unknown: bool = True,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Pad a token column to ``max_len`` and look up the ids of tokens and padding."""
     padded = df.withColumn(column, pad_right(F.col(column), max_len, symbol))
-    return tokens_to_ids(padded, vocab, column, unknown=unknown)
+    return tokens_to_ids(padded, vocab, column, unknown=unknown, max_bytes=max_bytes)
 
 
 def mask_columns(code_id, patid, pos, seed, vocab_size):
@@ -112,37 +123,55 @@ def mask_columns(code_id, patid, pos, seed, vocab_size):
     return masked, F.when(u < 0.15, code_id).otherwise(F.lit(-1))
 
 
-def mlm_mask(df: DataFrame, vocab: DataFrame, seed: int = 42) -> DataFrame:
+def mlm_mask(df: DataFrame, vocab: DataFrame, seed: int = 42, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Random masking of a token column: ``code`` becomes masked ids, ``label`` the ids to predict.
 
-    ``df`` has ``patid`` and ``code``; the columns other than ``code`` must identify a row.
-    What is masked depends on the patient, the position in the whole sequence (``start``
-    of a segment and the place in it) and the seed alone.
+    ``df`` has ``patid`` and ``code``. What is masked depends on the patient, the position in
+    the whole sequence (``start`` of a segment and the place in it) and the seed alone.
     """
-    rows, others = _explode(df.drop("label"), ["code"])
-    at = F.col("pos") + F.col("start") if "start" in df.columns else F.col("pos")
-    rows = _masked(_look_up(rows, vocab, "code", "code_id"), vocab, seed, at)
-    return _collect(rows, others, ["masked_id", "label"]).withColumnRenamed("masked_id", "code")
+    rows = tokens_to_ids(df.drop("label"), vocab, max_bytes=max_bytes)
+    first = F.col("start") if "start" in df.columns else F.lit(0)
+    others = [c for c in rows.columns if c != "code"]
+    masked = _masked(rows, "code", vocab, seed, first)
+    return masked.select(*others, F.col("masked_id").alias("code"), "label")
 
 
-def _masked(rows, vocab, seed, at=None):
-    known = rows.withColumn("code_id", F.coalesce("code_id", _special_id(UNK)))
+def _masked(rows, ids, vocab, seed, first):
+    """Add ``masked_id`` and ``label`` for an array of ids whose first one stands at ``first`` in the sequence."""
     size = vocab.agg(F.count("*").alias("_size")).scalar()
-    masked, label = mask_columns(F.col("code_id"), F.col("patid"), F.col("pos") if at is None else at, seed, size)
-    return known.withColumns({"masked_id": masked, "label": label})
 
+    def token(code_id, i):
+        masked, label = mask_columns(code_id, F.col("patid"), i + first, seed, F.col("_size"))
+        return F.struct(masked.alias("masked_id"), label.alias("label"))
+
+    items = rows.withColumn("_size", size).withColumn("_items", F.transform(ids, token))
+    return items.withColumns({c: F.col(f"_items.{c}") for c in ("masked_id", "label")}).drop("_items", "_size")
 
-def _look_up_both(rows, vocab, ages):
-    """Ids of codes and ages; unknown ones become UNK."""
-    rows = _look_up(_look_up(rows, vocab, "code", "code_id"), ages, "age", "age_id")
+
+def _known(rows, vocab, ages, max_bytes):
+    """Arrays ``code_id, age_id, is_sep`` in place of ``code, age``; unknown tokens become UNK."""
+    others = [c for c in rows.columns if c not in ("code", "age")]
+    if fits_in_broadcast(vocab, max_bytes):
+        unknown_age = ages.filter(F.col("token") == UNK).select("idx").scalar().alias("_unknown")
+        found = look_up_all(rows, "code", vocab, "code_id", lambda t, i: F.coalesce(i, _special_id(UNK)))
+        found = look_up_all(found, "age", ages, "age_id").select("*", unknown_age)
+        age_ids = F.transform("age_id", lambda i: F.coalesce(i, F.col("_unknown")))
+        return found.select(*others, "code_id", age_ids.alias("age_id"), F.transform("code", _is_sep).alias("is_sep"))
+    long, others = _explode(rows, ["code", "age"])
+    long = _look_up(_look_up(long, vocab, "code", "code_id", max_bytes), ages, "age", "age_id", max_bytes)
     unknown_age = ages.filter(F.col("token") == UNK).select("idx").scalar()
-    return rows.withColumns(
+    long = long.withColumns(
         {
             "code_id": F.coalesce("code_id", _special_id(UNK)),
             "age_id": F.coalesce("age_id", unknown_age),
-            "is_sep": F.coalesce(F.col("code") == F.lit(SEP), F.lit(False)),
+            "is_sep": _is_sep(F.col("code")),
         }
     )
+    return _collect(long, others, ["code_id", "age_id", "is_sep"])
+
+
+def _is_sep(code):
+    return F.coalesce(code == F.lit(SEP), F.lit(False))
 
 
 def _fixed_length(rows, max_len, ages, code, others):
@@ -172,21 +201,30 @@ def _keys(sequences, *arrays):
 
 
 def encode_mlm(
-    sequences: DataFrame, vocab: DataFrame, ages: DataFrame, max_len: int = 300, seed: int = 42
+    sequences: DataFrame, vocab: DataFrame, ages: DataFrame, max_len: int = 300, seed: int = 42,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Masked-token examples: the keys of the sequence and ``age, code, position, segment, mask, label``.
 
     A column ``label`` of the sequences is not among the keys.
     """
-    cut = truncate_with_cls(sequences, max_len).select(*_keys(sequences, "label"), "code", "age")
-    rows, others = _explode(cut, ["code", "age"])
-    rows = _masked(_look_up_both(rows, vocab, ages), vocab, seed)
-    rows = _collect(rows, others, ["age_id", "code_id", "masked_id", "label", "is_sep"])
-    return _fixed_length(rows, max_len, ages, "masked_id", others)
+    keys = _keys(sequences, "label")
+    cut = truncate_with_cls(sequences, max_len).select(*keys, "code", "age")
+    rows = _masked(_known(cut, vocab, ages, max_bytes), "code_id", vocab, seed, F.lit(0))
+    return _fixed_length(rows, max_len, ages, "masked_id", keys)
+
+
+def encode_mlm_tails(
+    runs: DataFrame, keys: list[str], vocab: DataFrame, ages: DataFrame, max_len: int = 300, seed: int = 42,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """:func:`encode_mlm` from runs of tokens."""
+    return encode_mlm(collect_tails(runs, keys, max_len - 1), vocab, ages, max_len, seed, max_bytes)
 
 
 def encode_next_visit(
-    sequences: DataFrame, vocab: DataFrame, label_vocab: DataFrame, ages: DataFrame, max_len: int
+    sequences: DataFrame, vocab: DataFrame, label_vocab: DataFrame, ages: DataFrame, max_len: int,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Next-visit examples: as :func:`encode_mlm` without masking.
 
@@ -195,15 +233,19 @@ def encode_next_visit(
     """
     keys = _keys(sequences, "label")
     cut = truncate_with_cls(sequences, max_len).select(*keys, "code", "age", "label")
-    rows, others = _explode(cut.select(*keys, "code", "age"), ["code", "age"])
-    rows = _collect(_look_up_both(rows, vocab, ages), others, ["age_id", "code_id", "is_sep"])
-    inputs = _fixed_length(rows, max_len, ages, "code_id", others)
-    labels = tokens_to_ids(cut.select(*keys, "label"), label_vocab, "label")
-    padded = labels.select(*keys, pad_right(F.col("label"), max_len, -1).alias("label"))
-    return null_safe_join(inputs, padded, keys)
-
-
-def encode_classifier(sequences: DataFrame, vocab: DataFrame, max_len: int = 300) -> DataFrame:
+    padded = pad_right(F.col("label"), max_len, -1)
+    if fits_in_broadcast(label_vocab, max_bytes) and fits_in_broadcast(vocab, max_bytes):
+        rows = tokens_to_ids(cut, label_vocab, "label", max_bytes=max_bytes).withColumn("label", padded)
+        return _fixed_length(_known(rows, vocab, ages, max_bytes), max_len, ages, "code_id", keys)
+    rows = _known(cut.select(*keys, "code", "age"), vocab, ages, max_bytes)
+    inputs = _fixed_length(rows, max_len, ages, "code_id", keys)
+    labels = tokens_to_ids(cut.select(*keys, "label"), label_vocab, "label", max_bytes=max_bytes)
+    return null_safe_join(inputs, labels.select(*keys, padded.alias("label")), keys)
+
+
+def encode_classifier(
+    sequences: DataFrame, vocab: DataFrame, max_len: int = 300, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Classifier examples: ``input_ids, age_ids, seg_ids, attention_mask`` and the other columns.
 
     The last ``max_len`` tokens, no CLS. Unknown tokens are 0, ages are plain numbers up to
@@ -212,25 +254,38 @@ def encode_classifier(sequences: DataFrame, vocab: DataFrame, max_len: int = 300
     rows = _identity(latest(sequences, max_len))
     if "age" not in rows.columns:
         rows = rows.withColumn("age", F.array_repeat(F.lit("0"), F.size("code")))
-    long, others = _explode(rows, ["code", "age"])
     limits = vocab.agg(
         (F.count("*") - 1).cast("int").alias("top"),
         F.coalesce(F.max(F.when(F.col("token") == SEP, F.col("idx"))), F.lit(0)).alias("sep"),
     )
     top, sep = limits.select("top").scalar(), limits.select("sep").scalar()
-    long = _look_up(long, vocab, "code", "_id")
-    long = long.withColumn("input_ids", F.least(F.coalesce("_id", F.lit(0)), top))
-    long = long.withColumns({"age_ids": age_number(F.col("age")), "is_sep": F.col("input_ids") == sep})
-    encoded = _collect(long, others, ["input_ids", "age_ids", "is_sep"])
+    others = [c for c in rows.columns if c not in ("code", "age")]
+    if fits_in_broadcast(vocab, max_bytes):
+        found = look_up_all(rows, "code", vocab, "_id").withColumn("age_ids", F.transform("age", lambda a: age_number(a)))
+    else:
+        long, others = _explode(rows, ["code", "age"])
+        long = _look_up(long, vocab, "code", "_id", max_bytes).withColumn("age_ids", age_number(F.col("age")))
+        found = _collect(long, others, ["_id", "age_ids"])
+    found = found.select("*", top.alias("_top"), sep.alias("_sep"))
+    known = F.transform("_id", lambda i: F.least(F.coalesce(i, F.lit(0)), F.col("_top")))
+    encoded = found.withColumn("input_ids", known)
+    marks = F.transform("input_ids", lambda i: i == F.col("_sep"))
     return encoded.select(
         *others,
         pad_right(F.col("input_ids"), max_len, 0).alias("input_ids"),
         pad_right(F.col("age_ids"), max_len, 0).alias("age_ids"),
-        pad_right(parity(visit_index(F.col("is_sep"))), max_len, 0).alias("seg_ids"),
+        pad_right(parity(visit_index(marks)), max_len, 0).alias("seg_ids"),
         attention_mask(F.col("input_ids"), max_len).alias("attention_mask"),
     )
 
 
+def encode_classifier_tails(
+    runs: DataFrame, keys: list[str], vocab: DataFrame, max_len: int = 300, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """:func:`encode_classifier` from runs of tokens."""
+    return encode_classifier(collect_tails(runs, keys, max_len), vocab, max_len, max_bytes)
+
+
 def aligned_tokens(sequences: DataFrame, max_len: int) -> DataFrame:
     """The tokens that :func:`encode_classifier` sees, as text, padded with PAD."""
     rows = _identity(latest(sequences, max_len))

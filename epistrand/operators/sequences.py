@@ -97,6 +97,12 @@ def last_tokens(runs: DataFrame, n: int) -> DataFrame:
     return cut.withColumns({"at": F.col("at") + F.least(gone, F.col("n")), "n": F.greatest(F.col("n") - gone, F.lit(0))})
 
 
+def collect_tails(runs: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """One row per sequence with its last ``n`` tokens; ``n_tokens, n_visits`` are those of the whole sequence."""
+    tails = collect_runs(last_tokens(runs, n), keys)
+    return tails.withColumnRenamed("PATIENT_ID", "patid") if "PATIENT_ID" in keys else tails
+
+
 def collect_runs(runs: DataFrame, keys: list[str], segment_tokens: int | None = None) -> DataFrame:
     """Collect runs of equal tokens into one row per sequence, or per segment of it."""
     at, n, closes = F.col("at"), F.col("n"), F.col("closes").cast("long")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from epistrand.operators import encode as E
+from epistrand.operators import sequences as S
 from epistrand.operators import vocab as V
 
 SPECIAL = ["PAD", "UNK", "CLS", "SEP", "MASK"]
@@ -130,7 +131,7 @@ def test_classifier_examples(hand, vocab):
 
 
 def test_several_sequences_of_one_patient(spark, hand, vocab):
-    """Keys tell them apart; equal keys fail."""
+    """Keys tell them apart; where tokens are joined, equal keys fail."""
     ages = V.age_vocab(spark, 110)
     twice = hand.unionByName(hand.withColumns({"years": F.lit(5), "code": F.slice("code", 1, 2), "age": F.slice("age", 1, 2)}))
     got = {(r.patid, r.years): r.code for r in E.encode_mlm(twice, vocab, ages, 6, seed=1).collect()}
@@ -138,7 +139,9 @@ def test_several_sequences_of_one_patient(spark, hand, vocab):
     values = twice.select("patid", "years", F.array(F.array(F.col("years") * 1.0), F.array(F.lit(2.0), F.lit(0.5))).alias("values"))
     found = E.attributions_by_code(twice.filter("patid = 'p'"), values, 2)
     assert rows(found) == [("p", 1, 0, "c", 1.0), ("p", 1, 1, "SEP", 2.5), ("p", 5, 0, "a", 5.0), ("p", 5, 1, "SEP", 2.5)]
-    for clash in (E.encode_mlm(twice.drop("years"), vocab, ages, 6), E.tokens_to_ids(twice.select("patid", "code"), vocab)):
+    same = twice.drop("years")
+    assert len(E.encode_mlm(same, vocab, ages, 6).collect()) == 4
+    for clash in (E.encode_mlm(same, vocab, ages, 6, max_bytes=-1), E.tokens_to_ids(same.drop("age"), vocab, max_bytes=-1)):
         with pytest.raises(Exception, match="several rows with the same patid"):
             clash.collect()
 
@@ -178,13 +181,60 @@ def test_lookups(seqs, vocab):
     assert got == {p: (p, [IDS.get(t) for t in (c + ["PAD"] * 5)[:5]]) for p, c, _, _ in SEQS}
 
 
-def test_large_vocabularies_are_joined_by_shuffle(spark, seqs, vocab, monkeypatch):
+def test_large_vocabularies_are_joined_by_shuffle(spark, seqs, vocab):
+    """Equal results whether tokens are looked up inside the arrays or by a join."""
     ages = V.age_vocab(spark, 110)
-    expected = by_id(E.encode_mlm(seqs, vocab, ages, 8))
-    from epistrand.operators import skew
-
-    monkeypatch.setattr(skew, "fits_in_broadcast", lambda lookup, max_bytes: False)
-    assert by_id(E.encode_mlm(seqs, vocab, ages, 8)) == expected
+    labels = V.build_vocab(spark.createDataFrame([(["a", "b"],)], "code array<string>"))
+    plain, tagged = seqs.select("patid", "code"), seqs.withColumn("label", F.slice("code", 1, 2))
+    for encode in (
+        lambda **m: E.encode_mlm(seqs, vocab, ages, 8, **m),
+        lambda **m: E.encode_next_visit(tagged, vocab, labels, ages, 8, **m),
+        lambda **m: E.encode_classifier(seqs, vocab, 8, **m),
+        lambda **m: E.mlm_mask(plain, vocab, **m),
+        lambda **m: E.tokens_to_ids(plain, vocab, out="ids", mask_token="b", unknown=False, **m),
+        lambda **m: E.pad_to_ids(plain, vocab, 5, **m),
+    ):
+        inside, joined = encode(), encode(max_bytes=-1)
+        assert inside.columns == joined.columns
+        assert by_id(inside) == by_id(joined)
+        assert "Exchange" in outside_subqueries(joined)
+        assert "Exchange" not in outside_subqueries(inside)
+
+
+def outside_subqueries(df):
+    """The physical plan without the plans of its scalar subqueries."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    todo, names = [plan], []
+    while todo:
+        node = todo.pop()
+        names.append(node.nodeName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return "Exchange" if any("Join" in n or "Aggregate" in n or "Exchange" in n for n in names) else " ".join(names)
+
+
+def test_empty_vocabulary_and_odd_tokens(spark):
+    none = V.build_vocab(spark.createDataFrame([], "code array<string>")).filter("false")
+    odd = spark.createDataFrame([("p", ["a", None, ""]), ("q", []), ("r", None)], "patid string, code array<string>")
+    assert by_id(E.tokens_to_ids(odd, none)) == {"p": ("p", [1, 1, 1]), "q": ("q", []), "r": ("r", None)}
+    ids = spark.createDataFrame([("", 7), (None, 8)], "token string, idx int")
+    assert by_id(E.tokens_to_ids(odd, ids, unknown=False))["p"] == ("p", [None, None, 7])
+
+
+def test_tails_encode_as_whole_sequences(spark, vocab):
+    """Runs are cut before they are collected; examples stay the same, and no array is longer than one."""
+    days = [(f"p{i}", d, f"{'abc'[(i * d) % 3]}", str(40 + d), n) for i in range(6) for d in range(1 + 3 * i) for n in [1 + (i + d) % 4]]
+    counts = spark.createDataFrame(days, "PATIENT_ID string, day int, CODE string, AGE string, n long")
+    per_day = counts.groupBy("PATIENT_ID", "day").agg(F.sum("n").alias("n_day"), F.min("AGE").alias("sep_age"))
+    runs = S.place(counts, S.lay_out(per_day, ["PATIENT_ID"]), ["PATIENT_ID"])
+    whole = S.collect_runs(runs, ["PATIENT_ID"]).withColumnRenamed("PATIENT_ID", "patid")
+    ages = V.age_vocab(spark, 110)
+    for n in (1, 2, 5, 12, 200):
+        tails = S.collect_tails(runs, ["PATIENT_ID"], n)
+        assert all(len(r.code) == len(r.age) == min(n, r.n_tokens) for r in tails.collect())
+        assert rows(E.encode_classifier_tails(runs, ["PATIENT_ID"], vocab, n)) == rows(E.encode_classifier(whole, vocab, n))
+        if n > 1:
+            assert rows(E.encode_mlm_tails(runs, ["PATIENT_ID"], vocab, ages, n)) == rows(E.encode_mlm(whole, vocab, ages, n))
 
 
 def test_aligned_tokens_and_attributions(spark, seqs):
