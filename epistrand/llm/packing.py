@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents into sequences, by exact complements of lengths."""
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from epistrand.sources import local_table, materialize
 MAX_TOKENS = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
+# White space of so many characters in a row; some 600,000 are too many for tiktoken.
+LONG_RUN = 60_000
 
 
 @functools.cache
@@ -36,6 +39,22 @@ def encoder(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.cache
+def slow_encoder(name: str):
+    """The same vocabulary in its own library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def token_ids(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
+    """The ids of a text. ``tiktoken`` fails on very long runs of white space; such texts go to ``tokenizers``."""
+    if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+        return np.array(slow_encoder(tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoder(tokenizer).encode_to_numpy(text, allowed_special="all")
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of n tokens; only the first may be shorter than ``size`` if there are several."""
     if n <= size:
@@ -47,13 +66,12 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], size, end, tokenizer, with_ids) -> Iterator[pa.RecordBatch]:
     import zlib
 
-    encode = encoder(tokenizer)
     for batch in batches:
         rows: list[tuple] = []
         held = 0
         docs = zip(batch["doc_id"].to_pylist(), batch["text"])
         for doc, text in docs:
-            ids = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end)).astype("<u4")
+            ids = np.append(token_ids(text.as_py() or "", tokenizer), np.uint32(end)).astype("<u4")
             for piece, (start, length) in enumerate(cut(len(ids), size)):
                 part = ids[start : start + length]
                 rows.append((doc, piece, start, length, zlib.crc32(part.tobytes()), part.view("<i4") if with_ids else None))
