@@ -6,9 +6,9 @@ neighbours are a token; ranks come from a literal map in the plan. Decoding look
 in a literal array and joins the pieces.
 
 The commonest distinct words of the whole table, at most ``COMMON`` of them, are folded once
-and their tokens put into the plan as a second literal; the fold encodes all other words where
-they stand. So texts are never shuffled, only distinct words with their counts.
-Nothing here runs in Python but the making of the literals.
+and looked up in a scalar of the plan; the fold encodes all other words where they stand. So
+texts are never shuffled, only distinct words with their counts. Nothing here runs in Python
+but the making of the literals.
 """
 
 import base64
@@ -20,10 +20,16 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epistrand.functions.arrays import bind
+from epistrand.operators.lookup import find, lookup_value
+from epistrand.sources import materialize
+
 RANKS = "byte_bpe_50k.tiktoken"
-# So many of the commonest words go through the driver, at most COMMON_BYTES bytes each.
+# So many of the commonest words are sent to all tasks, at most COMMON_BYTES bytes each.
 COMMON = 262_144
 COMMON_BYTES = 64
+# Tasks that fold the common words.
+TASKS = 24
 # Words of more bytes are cut first where no token can lie, and equal pairs are joined at once.
 LONG = 24
 _NO_RANK = 2**31 - 1
@@ -35,11 +41,6 @@ def _place(first: Column) -> Column:
     return first.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
 
 
-def bind(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class Lookup:
     """A map that is part of the plan: an array of buckets by checksum, each a map of a few keys.
 
@@ -273,34 +274,29 @@ def encode(
     """
     v = vocabulary or Vocabulary.load()
     cut = Pattern(docs.sparkSession, pattern)
-    once = common_words(docs.select("text"), cut, common) if common else None
-    known = {}
-    if once is not None:
-        encoded = once.repartition(F.col("word")).select("word", _encoder(v)(F.array("word"))[0].alias("ids"))
-        known = {r.word: r.ids for r in encoded.collect()}
-    run = _encoder(v, known)
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    return docs.select(F.struct(*others).alias("doc"), F.flatten(run(cut.words(F.col("text")))).alias("ids"))
+    doc = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc")
+    if not common:
+        return docs.select(doc, F.flatten(_encode_all(v, cut.words(F.col("text")))).alias("ids"))
+    # In several tasks, and stored, so that a text's plan holds only their result.
+    once = materialize(common_words(docs.select("text"), cut, common))
+    once = once.repartition(TASKS, "word").select("word", _encode_all(v, F.array("word"))[0].alias("ids"))
+    rows = docs.select(doc, "text", lookup_value(materialize(once), "word", "ids").alias("_held"))
+    encoded = bind(F.col("_held"), lambda held: _encode_all(v, cut.words(F.col("text")), held))
+    return rows.select("doc", F.flatten(encoded).alias("ids"))
 
 
-def _encoder(v: Vocabulary, known: dict | None = None):
-    """An expression from an array of words to one array of ids each; every literal stands in it once."""
-    table = Lookup(known, "array<int>") if known else None
+def _encode_all(v: Vocabulary, found: Column, held: Column | None = None) -> Column:
+    """An array of ids for each word of an array; every literal stands in the expression once."""
 
-    def all_words(found, ranks, pairs, single, held):
+    def all_words(ranks, pairs, single):
         fold = _Fold(v, ranks, pairs, single)
-        if table is None:
+        if held is None:
             return F.transform(found, fold.tokens)
-        return F.transform(found, lambda w: F.coalesce(table.get(held, w), fold.tokens(w)))
-
-    def run(found):
-        held = table.literal if table else F.lit(None)
-        return bind(
-            v.ranks.literal,
-            lambda a: bind(v.pairs.literal, lambda b: bind(v.single.literal, lambda c: bind(held, lambda d: all_words(found, a, b, c, d)))),
-        )
+        return F.transform(found, lambda w: F.coalesce(find(held, w), fold.tokens(w)))
 
-    return run
+    return bind(
+        v.ranks.literal, lambda a: bind(v.pairs.literal, lambda b: bind(v.single.literal, lambda c: all_words(a, b, c)))
+    )
 
 
 def little_endian(ids: Column, vocabulary: Vocabulary | None = None) -> Column:

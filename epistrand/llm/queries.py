@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epistrand.functions.arrays import bind
 from epistrand.llm import bpe, embeddingdedup, hardnegatives, languages, linededup, minhash, mixing, neighbours, packing, periodic, substrings, toxicity, urls
 
 
@@ -89,7 +90,7 @@ def _with_planted_runs(docs: DataFrame) -> DataFrame:
         changed = F.array_join(F.transform(place, lambda i: F.get(words, i)), " ")
         return F.when(n > 0, changed).otherwise(F.col("text"))
 
-    planted = bpe.bind(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), repeat)
+    planted = bind(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), repeat)
     return docs.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")))
 
 
