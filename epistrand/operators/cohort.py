@@ -2,16 +2,18 @@
 
 Every choice depends on a seeded hash of the patient id alone, so it is the same on any
 partitioning. Splitting and balancing rank the ids in a narrow table, distributed over
-hash ranges, and turn the rank into one cut key per label; the wide sequence table is
-then only filtered, never shuffled.
+hash ranges, and turn the rank into one cut key per label. Joining labels or splits to the
+wide sequence table leaves its rows where they are if the narrow side is small enough to be
+broadcast, or if the sequences are stored by patient (``plans.store_sequences``).
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epistrand.functions.scalars import seeded_key
+from epistrand.operators.bloom import prefilter
 from epistrand.operators.sequences import min_tokens, once_each
-from epistrand.operators.skew import lookup_join, null_safe_join, running_before
+from epistrand.operators.skew import BROADCAST_BYTES, fits_in_broadcast, lookup_join, null_safe_join, running_before
 from epistrand.schemas import LABEL_OF_GROUP
 from epistrand.sources.store import materialize
 
@@ -34,7 +36,12 @@ def recode_label(df: DataFrame, mapping: dict = LABEL_OF_GROUP, column: str = "A
 
 def attach_labels(sequences: DataFrame, labels: DataFrame) -> DataFrame:
     """Sequences joined to the label rows (``PATIENT_ID`` and more) of their patient."""
-    return sequences.join(labels.withColumnRenamed("PATIENT_ID", "patid"), "patid")
+    return _join_narrow(sequences, labels.withColumnRenamed("PATIENT_ID", "patid"))
+
+
+def _join_narrow(sequences, narrow):
+    """Join on the patient; a narrow side that is known to be small is broadcast."""
+    return sequences.join(F.broadcast(narrow) if fits_in_broadcast(narrow) else narrow, "patid")
 
 
 def patient_labels(dx: DataFrame, mapping: dict = LABEL_OF_GROUP) -> DataFrame:
@@ -74,10 +81,18 @@ def labelled_cohort(
     return attach_labels(enough.select("patid"), labels).select("patid", "label")
 
 
-def restrict_to(df: DataFrame, ids: DataFrame, key: str = "PATIENT_ID") -> DataFrame:
-    """Keep the rows whose patient is in ``ids`` (column ``patid``)."""
+def restrict_to(
+    df: DataFrame, ids: DataFrame, key: str = "PATIENT_ID", max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Keep the rows whose patient is in ``ids`` (column ``patid``).
+
+    Ids that cannot be broadcast go through a Bloom filter first, so that rows of other
+    patients are left out before anything is shuffled.
+    """
     wanted = ids.select(F.col("patid").alias(key)).distinct().withColumn("_wanted", F.lit(True))
-    return lookup_join(df, wanted, key, "inner", bound=ids).select(*df.columns)
+    if not fits_in_broadcast(ids, max_bytes):
+        df = prefilter(df, key, ids, "patid")
+    return lookup_join(df, wanted, key, "inner", max_bytes, bound=ids).select(*df.columns)
 
 
 def _ranked_keys(ids, seed):
@@ -127,7 +142,7 @@ def write_splits(sequences: DataFrame, split: DataFrame, path: str, mode: str =
 
 def split_sequences(sequences: DataFrame, split: DataFrame) -> DataFrame:
     """Sequences with ``label`` and ``split`` of their patient."""
-    return sequences.join(split.select("patid", "label", "split"), "patid")
+    return _join_narrow(sequences, split.select("patid", "label", "split"))
 
 
 def undersample(df: DataFrame, seed: int = 42) -> DataFrame:

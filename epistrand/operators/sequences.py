@@ -103,8 +103,14 @@ def collect_tails(runs: DataFrame, keys: list[str], n: int) -> DataFrame:
     return tails.withColumnRenamed("PATIENT_ID", "patid") if "PATIENT_ID" in keys else tails
 
 
-def collect_runs(runs: DataFrame, keys: list[str], segment_tokens: int | None = None) -> DataFrame:
-    """Collect runs of equal tokens into one row per sequence, or per segment of it."""
+def collect_runs(
+    runs: DataFrame, keys: list[str], segment_tokens: int | None = None, deal: tuple[int, str] | None = None
+) -> DataFrame:
+    """Collect runs of equal tokens into one row per sequence, or per segment of it.
+
+    With ``deal``, a number and one of the keys, the result is hash partitioned by that key
+    into so many partitions, as a table stored by key needs it.
+    """
     at, n, closes = F.col("at"), F.col("n"), F.col("closes").cast("long")
     group, first, copies, has_sep = list(keys), at, n, F.col("closes")
     if segment_tokens is not None:
@@ -121,7 +127,7 @@ def collect_runs(runs: DataFrame, keys: list[str], segment_tokens: int | None =
     group += ["n_tokens", "n_visits"]
     piece = F.struct(first.alias("at"), "code", "age", "sep_age", copies.cast("int").alias("copies"), has_sep.alias("sep"), "visit")
     # Rows arrive in groups, so that each array is filled in one go.
-    pieces = runs.select(*group, piece.alias("piece")).repartition(*group).sortWithinPartitions(*group)
+    pieces = runs.select(*group, piece.alias("piece")).repartition(*(deal or group)).sortWithinPartitions(*group)
     collected = pieces.groupBy(*group).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def spread(value, closing):

@@ -16,6 +16,7 @@ from epistrand.operators.cohort import restrict_to
 from epistrand.operators.events import age_text, one_row_per_patient
 from epistrand.operators.sequences import collect_runs, count_events, lay_out, place, year_of_day
 from epistrand.schemas import HORIZON_YEARS
+from epistrand.sources.keyed import BUCKETS, store_by_key
 
 _PATIENT = ["PATIENT_ID"]
 
@@ -63,6 +64,15 @@ def patient_runs(events: DataFrame, dx_dates: DataFrame, demographics: DataFrame
     return place(counts, lay_out(days, _PATIENT), _PATIENT)
 
 
+def store_sequences(runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Collect the runs of each patient and store the sequences by ``patid`` (see ``sources.store_by_key``).
+
+    The shuffle that brings a sequence together is also the one that deals it to its bucket.
+    """
+    sequences = collect_runs(runs, _PATIENT, deal=(buckets, "PATIENT_ID")).withColumnRenamed("PATIENT_ID", "patid")
+    return store_by_key(sequences, "patid", buckets, dealt=True)
+
+
 def horizon_test_sets(
     events: DataFrame,
     demographics: DataFrame,

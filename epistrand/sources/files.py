@@ -42,6 +42,43 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: StructType, sep: st
     return table.filter(good).select(*columns)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """CSV with a header as two tables: rows that fit the schema, and those that do not.
+
+    The first is what :func:`read_csv_lenient` gives. The second has ``file``, ``record`` (the
+    line, or the values of a line whose number of values is right) and ``reasons``: ``number of
+    values``, or ``<column>: not <type>`` for each value that does not fit.
+    """
+    header = _csv_columns(spark, path, schema, sep)
+    fields = StructType([StructField(name, StringType()) for name in [*header, _BAD_LINE]])
+    reader = spark.read.schema(fields).option("header", True).option("sep", sep).option("enforceSchema", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD_LINE).option("columnPruning", False)
+    table = reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    values = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
+    misfits = [
+        F.when(F.col(f"`{f.name}`").isNotNull() & values[f.name].isNull(), F.lit(f"{f.name}: not {f.dataType.simpleString()}"))
+        for f in schema.fields
+        if f.dataType != StringType()
+    ]
+    several = F.filter(F.array(*misfits).cast("array<string>"), lambda m: m.isNotNull())
+    reasons = F.when(F.col(_BAD_LINE).isNotNull(), F.array(F.lit("number of values"))).otherwise(several)
+    judged = table.withColumn("_reasons", reasons)
+    good = judged.filter(F.size("_reasons") == 0).select(*[values[f.name].alias(f.name) for f in schema.fields])
+    line = F.to_csv(F.struct(*[F.col(f"`{name}`") for name in header]), {"sep": sep})
+    rejects = judged.filter(F.size("_reasons") > 0).select(
+        F.col("_file").alias("file"), F.coalesce(F.col(_BAD_LINE), line).alias("record"), F.col("_reasons").alias("reasons")
+    )
+    return good, rejects
+
+
+_BAD_LINE = "_bad_line"
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """``file, reason, n``: how often each reason kept a row of a file out."""
+    return rejects.select("file", F.explode("reasons").alias("reason")).groupBy("file", "reason").agg(F.count("*").alias("n"))
+
+
 def read_csv_strict(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
     """CSV with a header; a row that does not fit the schema fails the job."""
     declared = {f.name: f for f in schema.fields}
@@ -120,12 +157,18 @@ _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _present(spark, path, by):
-    """The values of ``by`` that have a directory under ``path``; listed, not read."""
+    """The values of ``by`` that have a directory under ``path``."""
+    return [_NULL_PARTITION if v is None else v for v in partition_folders(spark, path, by)]
+
+
+def partition_folders(spark: SparkSession, path: str, by: str) -> dict[str | None, str]:
+    """The values of ``by`` as text, with the name of the directory of each under ``path``; listed, not read."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(where):
-        return []
+        return {}
     names = [s.getPath().getName() for s in system.listStatus(where) if s.isDirectory()]
     unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    return [unescape(n.split("=", 1)[1]) for n in names if n.startswith(f"{by}=")]
+    values = {n: unescape(n.split("=", 1)[1]) for n in names if n.startswith(f"{by}=")}
+    return {None if v == _NULL_PARTITION else v: n for n, v in values.items()}

@@ -1,6 +1,9 @@
 """Intermediate tables that several later steps read."""
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +24,33 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{_TABLE}-{uuid.uuid4()}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (held := _HELD.get()) is not None:
+        held.append(table)
+    return table
 
 
 _TABLE = "materialized"
+# The tables of the innermost scope, if there is one.
+_HELD: contextvars.ContextVar[list | None] = contextvars.ContextVar("held", default=None)
+
+
+@contextlib.contextmanager
+def scoped_tables() -> Iterator[list[DataFrame]]:
+    """Release all tables that are materialized inside, also when the work inside fails.
+
+    Results that still depend on them must be written before the scope ends. Scopes may be
+    nested; a table belongs to the innermost one. Yields the list of tables; one that is taken
+    off the list stays.
+    """
+    held: list[DataFrame] = []
+    token = _HELD.set(held)
+    try:
+        yield held
+    finally:
+        _HELD.reset(token)
+        for table in held:
+            release(table)
 
 
 def release(df: DataFrame) -> None:

@@ -1,11 +1,15 @@
 """Queries that write a given table with the sinks of the library and read it again."""
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from epistrand import sources
+from epistrand.operators import cohort
+from epistrand.operators.skew import number_rows
+from epistrand.sources import manifest
 from epistrand.functions.scalars import bucket_of
 from epistrand.sources.store import checkpoint_folder
 
@@ -87,11 +91,105 @@ def log(views):
     return sources.read_log(views.spark, path).select("epoch", "cnt", "global_step", "loss")
 
 
+def csv_rejects(views):
+    """The rows that csv_lenient leaves out, and others whose key is no number, with the reasons."""
+    path, spark = _folder(views.spark), views.spark
+    balance = F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    key = F.when(F.col("c_custkey") % 5 == 0, F.lit("none")).otherwise(F.col("c_custkey").cast("string"))
+    sources.write_csv(views.table("customer").select("c_name", balance.alias("balance"), key.alias("key")), path)
+    good, rejects = sources.read_csv_checked(spark, path, _schema(key=LongType(), balance=DoubleType()))
+    rejects = rejects.filter(F.col("file").contains(path.rsplit("/", 1)[1]))
+    bad = rejects.select("record", F.array_join("reasons", "; ").alias("reasons"))
+    return bad.unionByName(good.select(F.col("key").cast("string").alias("record"), F.lit("").alias("reasons")))
+
+
+def changed_partitions(views):
+    """Of eight partitions one changes, one goes, and a third run finds nothing to do."""
+    path = _folder(views.spark)
+    bucket = (F.col("o_orderkey") % BUCKETS).cast("int")
+    rows = views.table("orders").select("o_orderkey", F.col("o_custkey").alias("o_custkey"), bucket.alias("bucket"))
+    content = ["o_orderkey", "o_custkey"]
+    manifest.rebuild_changed(rows.withColumn("run", F.lit(1)), path, content=content)
+    changed = F.when(F.col("bucket") == 3, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    rows = rows.filter("bucket <> 5").withColumn("o_custkey", changed)
+    for run in (2, 3):
+        manifest.rebuild_changed(rows.withColumn("run", F.lit(run)), path, content=content)
+    return sources.read_events(views.spark, path).select("o_orderkey", "o_custkey", "bucket", "run")
+
+
+def _foreign_files(batches, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+    from pyspark import TaskContext
+
+    system, where = FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    system.create_dir(where)
+    name = f"{where}/part-{TaskContext.get().partitionId()}.parquet"
+    held = list(batches)
+    if held:
+        pq.write_table(pa.Table.from_batches(held), name, filesystem=system)
+    yield pa.RecordBatch.from_pydict({"file": [name]})
+
+
+def binary_as_string(views):
+    """Text stored as Parquet binary without an annotation."""
+    path, spark = _folder(views.spark), views.spark
+    rows = views.table("customer").select("c_custkey", F.col("c_name").cast("binary").alias("name"))
+    # Spark's own files name its types; these come from another writer, one file per task.
+    rows.mapInArrow(functools.partial(_foreign_files, folder=path), "file string").count()
+    before = spark.conf.get(BINARY)
+    try:
+        sources.use_binary_as_string(spark)
+        return sources.materialize(sources.read_events(spark, path))
+    finally:
+        spark.conf.set(BINARY, before)
+
+
+BINARY = "spark.sql.parquet.binaryAsString"
+
+
+def scoped_tables(views):
+    """Ranks of customers by way of intermediate tables, and how many of those are left."""
+    path, spark = _folder(views.spark), views.spark
+    with sources.scoped_tables() as held:
+        ranked = number_rows(views.table("customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], "place")
+        sources.write_parquet(ranked, path)
+        folders = [t.inputFiles()[0].rsplit("/", 1)[0] for t in held]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    left = sum(p.getFileSystem(conf).exists(p) for p in paths)
+    return sources.read_events(spark, path).withColumns({"n_made": F.lit(len(folders)), "n_left": F.lit(left)})
+
+
+def written_splits(seqs, split):
+    path = _folder(seqs.sparkSession)
+    cohort.write_splits(seqs, split, path)
+    return sources.read_events(seqs.sparkSession, path)
+
+
 QUERIES = {
-    f"source_{f.__name__}": f for f in (csv_lenient, csv_strict, csv_strings, tsv, parquet_glob, bucketed, rebuilt_partitions, log)
+    f"source_{f.__name__}": f for f in (
+        csv_lenient, csv_strict, csv_strings, csv_rejects, tsv, parquet_glob, bucketed, rebuilt_partitions,
+        changed_partitions, binary_as_string, scoped_tables, log,
+    )
 }
 
 SQL = {
+    "source_csv_rejects": """
+SELECT concat(c_name, ',', CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END, ',',
+    CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE CAST(c_custkey AS VARCHAR) END) AS record,
+  concat_ws('; ', CASE WHEN c_custkey % 5 = 0 THEN 'key: not bigint' END, CASE WHEN c_custkey % 7 = 0 THEN 'balance: not double' END) AS reasons
+FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), '' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0""",
+    "source_changed_partitions": f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % {BUCKETS} = 3 THEN -o_custkey ELSE o_custkey END AS o_custkey,
+  CAST(o_orderkey % {BUCKETS} AS INT) AS bucket, CAST(CASE WHEN o_orderkey % {BUCKETS} = 3 THEN 2 ELSE 1 END AS INT) AS run
+FROM orders WHERE o_orderkey % {BUCKETS} <> 5""",
+    "source_binary_as_string": "SELECT c_custkey, c_name AS name FROM customer",
+    "source_scoped_tables": """
+SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, CAST(1 AS INT) AS n_made, CAST(0 AS INT) AS n_left
+FROM customer""",
     "source_csv_lenient": """
 SELECT CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS BIGINT) END AS key, CAST(c_acctbal AS DOUBLE) AS balance
 FROM customer WHERE c_custkey % 7 <> 0""",

@@ -383,6 +383,14 @@ LEFT JOIN (SELECT PATIENT_ID, min(EARLIEST_DX) AS Index_Date, count(*) AS n_inde
     "sort_events": "SELECT * FROM censored ORDER BY PATIENT_ID, DATE, CODE",
     **io.SQL,
 }
+# Other ways to the same result.
+SELECTS |= {
+    "restrict_to_filtered": SELECTS["restrict_to"],
+    "split_sequences_stored": SELECTS["split_sequences"],
+    "write_splits": SELECTS["split_sequences"],
+    "encode_mlm_tails": SELECTS["encode_mlm"],
+    "encode_classifier_tails": SELECTS["encode_classifier"],
+}
 
 
 def _needed(text, have):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epistrand.functions import arrays as A
 from epistrand.operators import audit, censor, cohort, encode, evaluate, events, normalize, sequences, vocab
-from epistrand.plans import horizon_test_sets, patient_sequences
+from epistrand.plans import horizon_test_sets, patient_runs, patient_sequences, store_sequences
 from epistrand.sources import materialize
 from verification import io
 from verification.views import THRESHOLDS, Views
@@ -88,6 +88,10 @@ class Inputs:
     def seqs(self):
         return self._once("seqs", lambda: patient_sequences(self.events, self.index, self.demo))
 
+    @property
+    def runs(self):
+        return patient_runs(self.events, self.index, self.demo)
+
     @property
     def segments(self):
         return self._once("segments", lambda: patient_sequences(self.events, self.index, self.demo, SEGMENT))
@@ -188,6 +192,17 @@ def _classifier(i):
     return encode.encode_classifier(labelled.drop("split"), i.vocab, CLASSIFIER_TOKENS)
 
 
+def _classifier_tails(i):
+    """Examples from runs; the labels join what is then short."""
+    examples = encode.encode_classifier_tails(i.runs, ["PATIENT_ID"], i.vocab, CLASSIFIER_TOKENS)
+    return cohort.split_sequences(examples, i.split)
+
+
+def _mlm_tails(i):
+    runs = i.runs.filter(F.col("n_visits") >= 5)
+    return encode.encode_mlm_tails(runs, ["PATIENT_ID"], i.vocab, i.ages, TOKENS, SEED)
+
+
 def _mlm_mask(i):
     rows = encode.mlm_mask(i.seqs.select("patid", "code"), i.vocab, SEED)
     return _numbers(rows, ["patid"], ["code", "label"])
@@ -251,6 +266,8 @@ QUERIES = {
         i.seqs.select("patid", "n_tokens"), cohort.distinct_labels(i.dx)
     ),
     "restrict_to": lambda i: cohort.restrict_to(i.censored, i.test),
+    # As if the ids were too many to be broadcast.
+    "restrict_to_filtered": lambda i: cohort.restrict_to(i.censored, i.test, max_bytes=-1),
     # Normalisation and binning
     "synonym_map": lambda i: normalize.synonym_map(i.crosswalk, CANONICAL),
     "ambiguous_names": lambda i: normalize.ambiguous_names(i.crosswalk, CANONICAL).select("name", text("loincs")),
@@ -294,6 +311,10 @@ QUERIES = {
     "split_sequences": lambda i: _sequence_text(
         cohort.split_sequences(i.seqs, i.split), "patid", "label", "split"
     ),
+    "split_sequences_stored": lambda i: _sequence_text(
+        cohort.split_sequences(store_sequences(i.runs, io.BUCKETS), i.split), "patid", "label", "split"
+    ),
+    "write_splits": lambda i: _sequence_text(io.written_splits(i.seqs, i.split), "patid", "label", "split"),
     "undersample": lambda i: cohort.undersample(i.cohort, SEED),
     "shuffle": lambda i: cohort.shuffle(i.cohort, SEED),
     "sample_patients": lambda i: cohort.sample_patients(i.cohort, 150, SEED),
@@ -328,6 +349,10 @@ QUERIES = {
     "encode_classifier": lambda i: _numbers(
         _classifier(i), ["patid", "label"], ["input_ids", "age_ids", "seg_ids", "attention_mask"]
     ),
+    "encode_mlm_tails": lambda i: _numbers(_mlm_tails(i), ["patid"], EXAMPLE),
+    "encode_classifier_tails": lambda i: _numbers(
+        _classifier_tails(i), ["patid", "label"], ["input_ids", "age_ids", "seg_ids", "attention_mask"]
+    ),
     "aligned_tokens": lambda i: encode.aligned_tokens(i.seqs, TOKENS).select("patid", text("code")),
     # Evaluation
     "confusion": lambda i: evaluate.confusion(i.preds),
