@@ -55,6 +55,10 @@ class Lookup:
         text = json.dumps(held, separators=(",", ":"), ensure_ascii=False)
         self.literal = F.from_json(F.lit(text), f"array<map<string,{kind}>>")
 
+    def scalar(self, spark: SparkSession) -> Column:
+        """The literal by way of a scalar subquery: tasks get it as one block of memory instead of many objects."""
+        return spark.range(1).select(self.literal.alias("_literal")).scalar()
+
     def get(self, bound: Column, key: Column) -> Column:
         """The value of a key, or NULL; ``bound`` is the literal as a lambda's variable."""
         bucket = F.pmod(F.crc32(key.cast("binary")), F.lit(self.buckets)).cast("int")
@@ -275,28 +279,38 @@ def encode(
     v = vocabulary or Vocabulary.load()
     cut = Pattern(docs.sparkSession, pattern)
     doc = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("doc")
+    found = cut.words(F.col("text"))
     if not common:
-        return docs.select(doc, F.flatten(_encode_all(v, cut.words(F.col("text")))).alias("ids"))
+        rows = docs.select(doc, found.alias("_words"))
+        return _encode_words(v, rows).select("doc", F.flatten("_ids").alias("ids"))
     # In several tasks, and stored, so that a text's plan holds only their result.
-    once = materialize(common_words(docs.select("text"), cut, common))
-    once = once.repartition(TASKS, "word").select("word", _encode_all(v, F.array("word"))[0].alias("ids"))
-    rows = docs.select(doc, "text", lookup_value(materialize(once), "word", "ids").alias("_held"))
-    encoded = bind(F.col("_held"), lambda held: _encode_all(v, cut.words(F.col("text")), held))
-    return rows.select("doc", F.flatten(encoded).alias("ids"))
+    once = materialize(common_words(docs.select("text"), cut, common)).repartition(TASKS, "word")
+    once = _encode_words(v, once.select("word", F.array("word").alias("_words"))).select("word", F.get("_ids", F.lit(0)).alias("ids"))
+    rows = docs.select(doc, found.alias("_words"), lookup_value(materialize(once), "word", "ids").alias("_held"))
+    return _encode_words(v, rows).select("doc", F.flatten("_ids").alias("ids"))
+
 
+def _encode_words(v: Vocabulary, rows: DataFrame) -> DataFrame:
+    """Add ``_ids``, one array of ids for each word in ``_words``; a column ``_held`` is a lookup of words that are done.
 
-def _encode_all(v: Vocabulary, found: Column, held: Column | None = None) -> Column:
-    """An array of ids for each word of an array; every literal stands in the expression once."""
+    Each value is named once, so that Spark merges the projections and no row carries it.
+    """
+    spark, known = rows.sparkSession, "_held" in rows.columns
+    values = {"_ranks": v.ranks, "_pairs": v.pairs, "_single": v.single}
+    rows = rows.select("*", *[table.scalar(spark).alias(n) for n, table in values.items()])
 
-    def all_words(ranks, pairs, single):
+    def all_words(ranks, pairs, single, held=None):
         fold = _Fold(v, ranks, pairs, single)
-        if held is None:
-            return F.transform(found, fold.tokens)
-        return F.transform(found, lambda w: F.coalesce(find(held, w), fold.tokens(w)))
+        return F.transform("_words", lambda w: fold.tokens(w) if held is None else F.coalesce(find(held, w), fold.tokens(w)))
+
+    def with_ranks(held=None):
+        return bind(
+            F.col("_ranks"),
+            lambda a: bind(F.col("_pairs"), lambda b: bind(F.col("_single"), lambda c: all_words(a, b, c, held))),
+        )
 
-    return bind(
-        v.ranks.literal, lambda a: bind(v.pairs.literal, lambda b: bind(v.single.literal, lambda c: all_words(a, b, c)))
-    )
+    ids = bind(F.col("_held"), with_ranks) if known else with_ranks()
+    return rows.select(*[c for c in rows.columns if c not in ("_held", *values)], ids.alias("_ids")).drop("_words")
 
 
 def little_endian(ids: Column, vocabulary: Vocabulary | None = None) -> Column:
