@@ -24,7 +24,7 @@ from epistrand.sources import materialize
 ORDER = 3
 PLACES = 65_521  # trigrams share places modulo this prime
 MAX_LANGUAGES = 1000  # columns of the broadcast table: at most 262 MB
-MAX_SET = 4
+ALWAYS = 4  # sets of so many languages are tried for every document, larger ones while they pay
 PRIOR = 0.5
 PENALTY = 1.5  # the usual half per language, times three, as each byte is in three trigrams
 STEPS = 40
@@ -103,23 +103,29 @@ def choose(owner: np.ndarray, weight: np.ndarray, likely: np.ndarray, documents:
     """Proportions within the language set with the best penalised likelihood.
 
     Candidate sets are the languages with the largest proportions when all are allowed: the
-    first one, two, and so on up to ``MAX_SET``.
+    first one, two, and so on. Beyond ``ALWAYS`` a document goes on as long as each further
+    language makes its set better, however many there are.
     """
     languages = likely.shape[1]
     full, _ = proportions(owner, weight, likely, np.full((documents, languages), 1 / languages))
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     size = np.add.reduceat(weight, np.searchsorted(owner, np.arange(documents)))
     best, value = full, np.full(documents, -np.inf)
-    for k in range(1, min(MAX_SET, languages) + 1):
+    chosen = np.zeros(documents, int)
+    for k in range(1, languages + 1):
+        growing = (chosen == k - 1) | (k <= ALWAYS)
+        if not growing.any():
+            break
         start = np.where(rank < k, 1 / k, 0.0)
         if k > 1:
             start = np.where(rank < k, np.maximum(full, 1e-3), 0.0)
             start /= start.sum(1, keepdims=True)
         share, fit = proportions(owner, weight, likely, start)
         fit = fit - PENALTY * k * np.log(np.maximum(size, 2))
-        better = fit > value
+        better = (fit > value) & growing
+        chosen[better] = k
         best = np.where(better[:, None], share, best)
-        value = np.maximum(value, fit)
+        value = np.where(better, fit, value)
     return best
 
 
@@ -154,13 +160,16 @@ class LanguageModel:
         self.model = spark.sparkContext.broadcast((names, table))
 
     def predict(self, docs: DataFrame) -> DataFrame:
-        """The columns of ``docs`` but text, lang_pred and score, the proportion of that language.
+        """The columns of ``docs`` but text, with lang_pred and score, the proportion of that language.
+
+        Columns of these two names in ``docs`` are replaced.
 
         Where the text is NULL or has no letter, or nothing was learned, lang_pred is ``und``
         and the score 0. Equal proportions go to the language that is first by name.
         """
-        schema = StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
-        return docs.mapInArrow(functools.partial(_predict, model=self.model), schema)
+        said = StructType([f for f in docs.schema if f.name not in ("text", "lang_pred", "score")])
+        rows = docs.select(*said.names, "text")
+        return rows.mapInArrow(functools.partial(_predict, model=self.model), said.add("lang_pred", "string").add("score", "double"))
 
 
 def fit(docs: DataFrame) -> LanguageModel:

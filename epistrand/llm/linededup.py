@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from epistrand.llm.words import U64, as_bytes, mix
+from epistrand.operators.bloom import prefilter
 from epistrand.sources.store import checkpoint_folder
 
 MIN_CHARS = 10
 SHARD_KEYS = 250_000
 SLOTS = 4
 MAX_KICKS = 200
+CHANGES = 2
 
 
 class CuckooFilter:
@@ -261,21 +263,31 @@ class LineIndex:
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def keys(self) -> DataFrame:
-        """The reference count of each key and the smallest document that holds it."""
+    def keys(self, among: DataFrame | None = None) -> DataFrame:
+        """The reference count of each key and the smallest document that holds it.
+
+        With ``among``, a table of keys, only those are taken from the log: a Bloom filter of
+        them leaves the others out before anything is shuffled.
+        """
         log = self._read("keys", "key binary, n long, first long, v int")
-        return (
-            log.groupBy("key").agg(F.max_by(F.struct("n", "first"), "v").alias("s")).select("key", "s.n", "s.first")
-            if self.version > 1
-            else log.select("key", "n", "first")
-        )
+        if among is not None:
+            log = prefilter(log, "key", among, "key")
+        if self.version < 2:
+            return log.select("key", "n", "first")
+        return log.groupBy("key").agg(F.max_by(F.struct("n", "first"), "v").alias("s")).select("key", "s.n", "s.first")
+
+    def latest_filters(self) -> DataFrame:
+        """The last filter of each shard; those before it are not read."""
+        last = self.filters.groupBy("shard").agg(F.max("v").alias("v"))
+        return self.filters.join(last, ["shard", "v"])
 
     def live_postings(self) -> DataFrame:
-        if self.version < 2:
+        """Which document holds which key. A document whose rows repeat may have a key more than once."""
+        if not self._exists(f"{self.folder}/deleted"):
             return self.postings.select("doc_id", "key")
         gone = self.deleted.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("v").alias("_v"))
         alive = self.postings.join(gone, F.col("doc_id") == F.col("_doc"), "left")
-        return alive.filter(F.col("_v").isNull() | (F.col("v") > F.col("_v"))).select("doc_id", "key").distinct()
+        return alive.filter(F.col("_v").isNull() | (F.col("v") > F.col("_v"))).select("doc_id", "key")
 
     def insert(self, docs: DataFrame) -> None:
         found = docs.select("doc_id", "text").mapInArrow(_postings, "doc_id long, key binary")
@@ -284,11 +296,12 @@ class LineIndex:
         batch = held.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
         batch = batch.select(self._shard(), "key", "n", "first")
         if self.version:
-            probed = batch.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_probe, PROBED)
+            probed = batch.groupBy("shard").cogroup(self.latest_filters().groupBy("shard")).applyInPandas(_probe, PROBED)
             self._write(probed, "probed")
             probed = self.spark.read.parquet(self._path("probed"))
-            before = self.keys().filter("n > 0").select("key", F.col("n").alias("_n"), F.col("first").alias("_first"))
-            both = probed.filter("known").join(before, "key", "left").select(
+            asked = probed.filter("known")
+            before = self.keys(asked).filter("n > 0").select("key", F.col("n").alias("_n"), F.col("first").alias("_first"))
+            both = asked.join(before, "key", "left").select(
                 "shard",
                 "key",
                 (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
@@ -300,7 +313,7 @@ class LineIndex:
             batch = batch.withColumn("new", F.lit(True))
         self._write(batch, "counted")
         counted = self.spark.read.parquet(self._path("counted"))
-        new = counted.filter("new").select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        new = counted.filter("new").select("shard", "key").groupBy("shard").cogroup(self.latest_filters().groupBy("shard"))
         self._write(new.applyInPandas(_remember, "shard int, filter binary"), "filters")
         self._write(counted.select("key", "n", "first"), "keys")
         self._commit()
@@ -308,7 +321,7 @@ class LineIndex:
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents out again; ``doc_ids`` has a column doc_id."""
         ids = doc_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-        live = self.live_postings()
+        live = self.live_postings().distinct()
         self._write(live.join(ids, "doc_id", "left_semi").select("key").distinct(), "touched")
         touched = self.spark.read.parquet(self._path("touched"))
         self._write(ids, "deleted")
@@ -318,7 +331,7 @@ class LineIndex:
         recounted = touched.join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), "first")
         self._write(recounted, "keys")
         empty = self.spark.read.parquet(self._path("keys")).filter("n = 0").select(self._shard(), "key")
-        forgot = empty.groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        forgot = empty.groupBy("shard").cogroup(self.latest_filters().groupBy("shard"))
         self._write(forgot.applyInPandas(_forget, "shard int, filter binary"), "filters")
         self._commit()
 
@@ -340,12 +353,16 @@ class LineIndex:
         return rows.mapInArrow(_rewrite, out)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, changes: int = CHANGES) -> DataFrame:
     """Drop every line whose key is also in a document with a smaller doc_id.
 
-    Builds an index of ``docs`` and applies it to them; see :meth:`LineIndex.rewrite`.
+    Builds an index of ``docs`` and applies it to them; see :meth:`LineIndex.rewrite`. The
+    documents are inserted in several changes, by a hash of their ids: after the first one,
+    the filters tell which of the keys to look up. The result does not depend on ``changes``.
     """
     lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     index = LineIndex(docs.sparkSession, shards=max(1, -(-lines // SHARD_KEYS)))
-    index.insert(docs)
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("change")), F.lit(changes))
+    for n in range(changes):
+        index.insert(docs.filter(turn == n))
     return index.rewrite(docs)

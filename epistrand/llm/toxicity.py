@@ -186,7 +186,12 @@ class ToxicityModel:
             self.table = ratios.sparkSession.sparkContext.broadcast(_sorted(rows["word"], rows["ratio"]))
 
     def mean_ratio(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
-        """The columns of ``docs``, text only if wanted, and ``mean_ratio``: the log ratio per word of the whole text."""
+        """The columns of ``docs``, text only if wanted, and ``mean_ratio``: the log ratio per word of the whole text.
+
+        A column of that name in ``docs`` is replaced, as are ``score``, ``predicted`` and
+        ``held_out`` by the functions that return them.
+        """
+        docs = docs.drop("mean_ratio")
         schema = StructType([f for f in docs.schema if keep_text or f.name != "text"])
         kept = schema.names[:]
         schema = StructType(schema.fields[:]).add("mean_ratio", "double")

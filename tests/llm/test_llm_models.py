@@ -182,3 +182,31 @@ def test_url_model_without_both_labels(spark):
     assert urls.fit(many, max_labelled=50).regression is not None
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(pages, queries.URL_RULES, urls.fit(urls.examples(spark))).count() == 0
+
+
+def test_clashing_column_names(spark):
+    """Columns named like results are replaced; others come along."""
+    texts = ["the house and the garden of the king", "das Haus und der Garten des Königs", None]
+    docs = spark.createDataFrame(
+        [(i, t, ("en", "de", None)[i % 3], "x", 9.0, 7.0, True, 5) for i, t in enumerate(texts * 8)],
+        "doc_id long, text string, lang string, lang_pred string, score double, mean_ratio double, held_out boolean, predicted int",
+    )
+    said = languages.fit(docs).predict(docs)
+    assert said.columns == ["doc_id", "lang", "mean_ratio", "held_out", "predicted", "lang_pred", "score"]
+    assert {r.lang: r.lang_pred for r in said.collect()} == {"en": "en", "de": "de", None: "und"}
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(24)], "doc_id long, toxic int")
+    scored = toxicity.classify(docs, labels)
+    assert sorted(scored.columns) == ["doc_id", "held_out", "lang", "lang_pred", "predicted", "score"]
+    assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in scored.collect())
+
+
+def test_documents_of_many_languages():
+    """Seven languages in equal parts are all found; the share of the first is not that of a smaller set."""
+    languages_, per = 9, 40
+    likely = np.full((languages_ * per, languages_), 1e-4)
+    for k in range(languages_):
+        likely[k * per : (k + 1) * per, k] = 0.02
+    for n in (1, 3, 5, 7):
+        grams = np.arange(n * per)
+        share = languages.choose(np.zeros(n * per, int), np.full(n * per, 3.0), likely[grams], 1)[0]
+        assert np.allclose(share[:n], 1 / n, atol=0.02) and share[n:].sum() < 0.01
