@@ -32,9 +32,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document with a smaller doc_id holds.
 
     A text that loses no line stays as it is, also a NULL or empty one. A document that
-    loses all its lines has nothing new to say and goes; n_chars follows the text.
+    loses all its lines stays with an empty text; n_chars follows the text.
     """
-    left = linededup.dedup_lines(_apart(docs)).filter("n_dropped < n_lines")
+    left = linededup.dedup_lines(_apart(docs))
     row = F.col("doc.row")
     columns = {c: row[c] for c in docs.columns if c != "text"}
     columns["text"] = F.when(~row["_null"], F.col("kept"))
