@@ -1,5 +1,10 @@
 """Joins and running totals that hold up when one key has a large share of the rows."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ BROADCAST_BYTES = 8_000_000
 # they have such shares; the share grows with the table, so that there are at most MAX_HOT.
 TASK_ROWS = 1_000_000
 MAX_HOT = 10_000
+# Keys in the summary of a task, and what a count may be too low by as a part of all rows.
+COUNTERS = 4 * MAX_HOT
 
 
 def fits_in_broadcast(lookup: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -23,10 +30,53 @@ def fits_in_broadcast(lookup: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bo
 
 
 def hot_keys(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """The keys with more rows than a task should get, and the salts to spread each over: ``key, _salts``."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    share = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) / F.lit(MAX_HOT), F.lit(float(task_rows)))).scalar()
-    return counts.filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+    """The keys with more rows than a task should get, and the salts to spread each over: ``key, _salts``.
+
+    One scan of the key column, without grouping by it: every task keeps a summary of at most
+    ``COUNTERS`` keys (Misra and Gries), and summaries add up. No count is too high, and none
+    is too low by more than a ``COUNTERS``-th of all rows, which is at most a quarter of the
+    share of a task. So every key above the share is found; a key just below it may be, too.
+    """
+    narrow = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"))
+    found = narrow.mapInArrow(_summarize, f"_key {narrow.schema['_key'].dataType.simpleString()}, _n long")
+    # The row without a key has the number of rows of a task.
+    summed = materialize(found.groupBy("_key").agg(F.sum("_n").alias("_n")))
+    total = F.coalesce(summed.filter(F.col("_key").isNull()).agg(F.max("_n")).scalar(), F.lit(0))
+    counts = summed.filter(F.col("_key").isNotNull()).withColumn("_all", total)
+    share = F.greatest(F.col("_all") / F.lit(MAX_HOT), F.lit(float(task_rows)))
+    most = F.col("_n") + F.floor(F.col("_all") / F.lit(COUNTERS))
+    hot = counts.filter(most > share).select(F.col("_key").alias(key), F.ceil(most / share).cast("int").alias("_salts"))
+    return materialize(hot)
+
+
+def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of at most ``COUNTERS`` keys of a task, and under NULL the number of its rows."""
+    held, total, kind = None, 0, None
+    for batch in batches:
+        column = batch["_key"]
+        total, kind = total + len(column), column.type
+        counted = column.value_counts()
+        held = pa.concat_tables([held, _counts(counted)]) if held is not None else _counts(counted)
+        if len(held) > 4 * COUNTERS:
+            held = _most(held)
+    if held is not None:
+        held = _most(held)
+        yield from held.select(["_key", "_n"]).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([total], pa.int64())], ["_key", "_n"])
+
+
+def _counts(counted):
+    return pa.table({"_key": counted.field("values"), "_n": counted.field("counts").cast(pa.int64())})
+
+
+def _most(held):
+    """Add up equal keys; if there are too many, take from all what the first one too many has."""
+    summed = held.group_by("_key").aggregate([("_n", "sum")]).rename_columns(["_key", "_n"])
+    if len(summed) <= COUNTERS:
+        return summed
+    less = int(np.partition(summed["_n"].to_numpy(), len(summed) - COUNTERS - 1)[len(summed) - COUNTERS - 1])
+    left = summed.set_column(1, "_n", pc.subtract(summed["_n"], less))
+    return left.filter(pc.greater(left["_n"], 0))
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, how: str, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -85,3 +85,28 @@ def test_running_before_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, None, 1, 5), (None, 2, 2, 6), ("g", None, 3, 7), ("g", None, 4, 8)], "g string, a int, o int, v int")
     got = skew.running_before(df, ["g"], ["a"], [F.col("o")], F.col("v"), "t").select("o", "t")
     assert rows(got) == [(1, 0), (2, 5), (3, 0), (4, 7)]
+
+
+def test_heavy_keys_are_found_with_few_counters(spark, monkeypatch):
+    """Every key above the share is found though each task keeps only some counters, and no count is too high."""
+    monkeypatch.setattr(skew, "COUNTERS", 40)
+    monkeypatch.setattr(skew, "MAX_HOT", 10)
+    rng = random.Random(1)
+    keys = ["hot"] * 6000 + ["warm"] * 2500 + [f"k{rng.randrange(8000)}" for _ in range(11_000)] + [None] * 3000
+    rng.shuffle(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "key string").repartition(5)
+    hot = {r.key: r._2 if hasattr(r, "_2") else r[1] for r in skew.hot_keys(df, "key", 1000).collect()}
+    # The share is a tenth of 19,500 rows; a count may be too low by a fortieth of them.
+    assert set(hot) == {"hot", "warm"}
+    assert 3 <= hot["hot"] <= 4 and hot["warm"] == 2
+    numbers = spark.range(1000).select(F.when(F.col("id") < 600, 7).otherwise(F.col("id")).alias("key"))
+    assert [tuple(r) for r in skew.hot_keys(numbers, "key", 100).collect()] == [(7, 7)]
+    assert skew.hot_keys(df.filter("false"), "key", 10).count() == 0
+
+
+def test_one_narrow_scan_for_hot_keys(spark, tmp_path):
+    """The summaries read the key alone, and no plan groups all rows by it."""
+    spark.range(1000).select((F.col("id") % 10).alias("key"), F.lit("wide").alias("x")).write.parquet(str(tmp_path / "t"))
+    narrow = spark.read.parquet(str(tmp_path / "t")).filter("key is not null").select(F.col("key").alias("_key"))
+    plan = narrow.mapInArrow(skew._summarize, "_key long, _n long")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<key:bigint>" in plan and "Exchange" not in plan

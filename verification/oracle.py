@@ -368,6 +368,8 @@ FROM (SELECT years, patid, code[greatest(len(code) - {ATTRIBUTED - 1}, 1):] AS c
 SELECT patid, label, CAST(prob > 0.5 AS INT) AS pred, round(prob, 9) AS prob FROM (SELECT patid, label, 1 / (1 + exp(-(n_real / 100.0 - 0.75))) AS prob FROM classified)""",
     "bin_summary": "SELECT regexp_extract(CODE, 'LAB:(.*)_BIN', 1) AS TEST_NAME, count(*) AS n FROM lab_events GROUP BY 1",
     "event_kind_summary": "SELECT if(starts_with(CODE, 'DX:'), 'DX', 'LAB/VITAL') AS type, count(*) AS n FROM censored GROUP BY ALL",
+    "distinct_by_kind": """
+SELECT if(starts_with(CODE, 'DX:'), 'DX', 'LAB/VITAL') AS kind, count(DISTINCT PATIENT_ID) AS n, CAST(1 AS INT) AS is_near FROM universal GROUP BY 1""",
     "patient_profile": """
 SELECT PATIENT_ID, count(*) AS total_events, count(DISTINCT DATE) AS unique_dates, min(DATE) AS first_date, max(DATE) AS last_date,
   CAST(date_diff('year', min(DATE), max(DATE)) AS INT) AS years_span FROM censored GROUP BY PATIENT_ID""",

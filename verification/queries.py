@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistrand.functions import arrays as A
-from epistrand.operators import audit, censor, cohort, encode, evaluate, events, normalize, sequences, vocab
+from epistrand.functions.scalars import event_kind
+from epistrand.operators import audit, censor, cohort, distinct, encode, evaluate, events, normalize, sequences, vocab
 from epistrand.plans import horizon_test_sets, patient_runs, patient_sequences, store_sequences
 from epistrand.sources import materialize
 from verification import io
@@ -192,6 +193,15 @@ def _classifier(i):
     return encode.encode_classifier(labelled.drop("split"), i.vocab, CLASSIFIER_TOKENS)
 
 
+def _distinct_by_kind(i):
+    """Patients with each kind of event, exactly, and whether the merged sketches of months are as near as stated."""
+    kinds = i.events.select(event_kind(F.col("CODE")).alias("kind"), F.trunc("DATE", "MM").alias("month"), "PATIENT_ID")
+    sketches = materialize(distinct.sketch_distinct(kinds, ["kind", "month"], "PATIENT_ID"))
+    both = distinct.count_distinct(kinds, ["kind"], "PATIENT_ID").join(distinct.estimate_distinct(sketches, ["kind"]), "kind")
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.col("n") * F.lit(distinct.error_bound())
+    return both.select("kind", "n", near.cast("int").alias("is_near"))
+
+
 def _classifier_tails(i):
     """Examples from runs; the labels join what is then short."""
     examples = encode.encode_classifier_tails(i.runs, ["PATIENT_ID"], i.vocab, CLASSIFIER_TOKENS)
@@ -399,6 +409,7 @@ QUERIES = {
         normalize.discretize(i.labs, i.vitals, i.crosswalk, THRESHOLDS)
     ),
     "event_kind_summary": lambda i: audit.event_kind_summary(i.censored),
+    "distinct_by_kind": _distinct_by_kind,
     "patient_profile": lambda i: audit.patient_profile(i.censored),
     "top_days": lambda i: audit.top_days(i.censored),
     "top_codes": lambda i: audit.top_codes(i.censored),
