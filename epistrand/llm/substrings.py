@@ -6,12 +6,14 @@ times over, so a count-min sketch first rules out those that occur once:
 1. Each window is represented by the 8-word run with the smallest hash in it, its anchor.
    Neighbouring windows mostly share one. Equal windows have equal anchors, so the number of
    an anchor's occurrences is at least that of any of its windows.
-2. Each chunk of documents makes a sketch of its anchors in sparse form: the cells it
-   touches, once per chunk. Cells are dealt to shards by range and merged there by adding.
-   An anchor's smallest cell never falls short of its count, so anchors below two in
-   it are out for certain; the others are reported to their documents.
-3. A second pass over the reported documents hashes the windows of the reported anchors
-   and groups them exactly, by two independent 64-bit hashes. All but the first occurrence
+2. Each chunk of documents counts its anchors in a count-min sketch: two cells each, counts
+   stopping at two. Cells are dealt by range into tiles of a fixed width whose number follows
+   the corpus, and a chunk sends each tile the cells it touched with the documents they came
+   from, but no hashes. A tile adds the sketches of all chunks; an anchor's smaller cell never
+   falls short of its count, so anchors below two in it are out for certain. For the others
+   the documents get the cells to consult.
+3. A second pass over the reported documents hashes the windows whose anchors fall into
+   these cells and groups them exactly, by two independent 64-bit hashes. All but the first occurrence
    of a window cover their words.
 
 Repeats within a chunk are settled there, so that a passage that a third of all documents
@@ -32,8 +34,8 @@ from epistrand.llm.words import BASES, U64, Words, as_bytes, chunks, mix
 
 WINDOW = 20
 ANCHOR = 8
-SHARD_BYTES = 4_000_000  # of text per shard
-REPEATED = np.uint8(2)
+SHARD_BYTES = 4_000_000  # of text per shard, which is also a tile of the sketch
+CELL_BITS = 20  # of a cell's place in its row of a tile; two rows
 
 _PLACE_BITS = U64(24)
 _PLACE = U64((1 << 24) - 1)
@@ -85,17 +87,43 @@ def _texts(batches):
             yield batch, slice(first, first + len(texts)), ids[first : first + len(texts)].astype(np.int64), texts
 
 
-SKETCH = "shard int, local boolean, hashes binary, docs binary"
-_SKETCH = {"shard": pa.int32(), "local": pa.bool_(), "hashes": pa.binary(), "docs": pa.binary()}
-_MANY = np.int64(-(1 << 63))
+SKETCH = "shard int, local boolean, cells binary, twice binary, docs binary, base long, width int"
+_SKETCH = {
+    "shard": pa.int32(),
+    "local": pa.bool_(),
+    "cells": pa.binary(),
+    "twice": pa.binary(),
+    "docs": pa.binary(),
+    "base": pa.int64(),
+    "width": pa.int32(),
+}
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """The sparse sketch of each chunk.
+def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """An anchor's cells in the two rows of its tile, as one number."""
+    return mix(hashes ^ U64(BASES[1])) >> U64(64 - 2 * bits)
 
-    An anchor that occurs once in a chunk comes with its document; one that occurs more
-    often comes as ``_MANY`` once, and its documents go on in a ``local`` row, dealt by
-    chunk, as it is known to be repeated.
+
+def _pack(cells: np.ndarray) -> bytes:
+    """Numbers of up to 40 bits, as their lower 32 bits and then the others."""
+    return cells.astype("<u4").tobytes() + (cells >> U64(32)).astype("u1").tobytes()
+
+
+def _unpack(packs) -> np.ndarray:
+    parts = [np.zeros(0, U64)]
+    for data in packs:
+        n = len(data) // 5
+        parts.append(np.frombuffer(data, "<u4", n).astype(U64) | np.frombuffer(data, "u1", n, 4 * n).astype(U64) << U64(32))
+    return np.concatenate(parts)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The sketch of each chunk, a row per tile.
+
+    ``cells`` are those of anchors that occur once in the chunk, each with its document
+    (less ``base``, in ``width`` bytes); ``twice`` are those of anchors that occur more
+    often. These are known to be repeated: their documents go on in a ``local`` row, dealt by
+    chunk.
     """
     for _, _, ids, texts in _texts(batches):
         words = Words(texts)
@@ -106,37 +134,69 @@ def _sketch(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         order = np.argsort(hashes, kind="stable")
         hashes, docs = hashes[order], ids[owner[order]]
         out = {c: [] for c in _SKETCH}
+
+        def add(shard, local, cells, twice, docs):
+            base = int(docs.min()) if len(docs) else 0
+            there = (docs - np.int64(base)).view(U64)
+            most = int(there.max()) if len(docs) else 0
+            width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+            packed = there.astype(f"<u{width}").tobytes()
+            for c, v in zip(out, (shard, local, _pack(cells), _pack(twice), packed, base, width)):
+                out[c].append(v)
+
+        cells = cells_of(hashes, bits)
         begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, int)
         times = np.diff(np.concatenate((begin, [len(hashes)])))
-        single, one = hashes[begin], np.where(times > 1, _MANY, docs[begin])
-        for s, part in _split(_shards(single, shards), shards):
-            for c, v in zip(out, (s, False, single[part].tobytes(), one[part].tobytes())):
-                out[c].append(v)
+        for s, part in _split(_shards(hashes[begin], shards), shards):
+            at, once = begin[part], times[part] == 1
+            add(s, False, cells[at[once]], cells[at[~once]], docs[at[once]])
         often = np.repeat(times > 1, times)
         if often.any():
-            deal = int(mix(hashes[:1])[0] % U64(shards))
-            for c, v in zip(out, (deal, True, hashes[often].tobytes(), docs[often].tobytes())):
-                out[c].append(v)
+            add(int(mix(hashes[:1])[0] % U64(shards)), True, cells[often], cells[:0], docs[often])
         yield _rows(out, _SKETCH)
 
 
-def _estimate(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge the sketches of a shard and report the anchors whose estimated count is two or more."""
+def _docs(rows: pd.DataFrame) -> np.ndarray:
+    """The documents of all cells of some rows."""
+    parts = [np.zeros(0, np.int64)]
+    for data, base, width in zip(rows["docs"], rows["base"], rows["width"]):
+        parts.append(np.frombuffer(data, f"<u{width}").astype(U64).view(np.int64) + np.int64(base))
+    return np.concatenate(parts)
+
+
+def merge(sketches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    """The sum of the sketches of chunks: two rows of counts, which stop at two.
+
+    A sketch has the cells that an anchor touched once in its chunk, and those that one
+    touched more often.
+    """
+    merged = np.zeros((2, 1 << bits), np.uint8)
+    for cells, twice in sketches:
+        for row, shift in zip(merged, (0, bits)):
+            for numbers, n in ((cells, 1), (twice, 2)):
+                at = (numbers >> U64(shift) & U64((1 << bits) - 1)).astype(np.int64)
+                # Cells that anchors of one chunk share count once for each of them.
+                place, times = np.unique(at, return_counts=True)
+                row[place] = np.minimum(row[place] + np.minimum(times * n, 2), 2)
+    return merged
+
+
+def estimates(merged: np.ndarray, cells: np.ndarray, bits: int) -> np.ndarray:
+    """At least how often each anchor occurs, or two."""
+    low, high = ((cells >> U64(shift) & U64((1 << bits) - 1)).astype(np.int64) for shift in (0, bits))
+    return np.minimum(merged[0][low], merged[1][high])
+
+
+def _estimate(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Merge the sketches of a tile and report the cells of anchors estimated to be repeated."""
     local, dealt = rows[rows["local"]], rows[~rows["local"]]
-    hashes = np.frombuffer(b"".join(dealt["hashes"]), U64)
-    docs = np.frombuffer(b"".join(dealt["docs"]), np.int64)
-    cells = 1 << max(10, int(4 * len(hashes)).bit_length())
-    estimate = np.full(len(hashes), 255, np.uint8)
-    add = np.where(docs == _MANY, REPEATED, np.uint8(1))
-    for row in BASES:
-        cell = (mix(hashes ^ U64(row)) & U64(cells - 1)).astype(np.int64)
-        counts = np.minimum(np.bincount(cell, weights=add, minlength=cells), 255).astype(np.uint8)
-        estimate = np.minimum(estimate, counts[cell])
-    said = (estimate >= REPEATED) & (docs != _MANY)
-    hashes = np.concatenate((hashes[said], np.frombuffer(b"".join(local["hashes"]), U64)))
-    docs = np.concatenate((docs[said], np.frombuffer(b"".join(local["docs"]), np.int64)))
-    order = np.lexsort((hashes, docs))
-    return _by_doc(docs[order], hashes[order])
+    merged = merge(((_unpack([c]), _unpack([t])) for c, t in zip(dealt["cells"], dealt["twice"])), bits)
+    cells, docs = _unpack(dealt["cells"]), _docs(dealt)
+    said = estimates(merged, cells, bits) >= 2
+    cells = np.concatenate((cells[said], _unpack(local["cells"])))
+    docs = np.concatenate((docs[said], _docs(local)))
+    order = np.lexsort((cells, docs))
+    return _by_doc(docs[order], cells[order])
 
 
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> pd.DataFrame:
@@ -153,8 +213,8 @@ _WINDOWS = {"shard": pa.int32(), "runs": pa.binary(), "hashes": pa.binary(), "co
 _RUN = np.dtype([("anchor", "u8"), ("doc", "i8"), ("start", "i8"), ("n", "i4")])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """The windows of reported anchors, as runs of windows that share one.
+def _windows(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The windows whose anchors fall into reported cells, as runs of windows that share one.
 
     Of runs that are equal within the chunk only the first goes to its shard; the others
     are covered for certain.
@@ -163,11 +223,11 @@ def _windows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         words = Words(texts)
         first, place, hashes = anchors(words)
         owner = words.texts_of(first)
-        said = np.zeros(len(first), bool)
+        cells, said = cells_of(hashes, bits), np.zeros(len(first), bool)
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         for i, packs in enumerate(batch["reported"].slice(at.start, len(texts)).to_pylist()):
             part = slice(bounds[i], bounds[i + 1])
-            said[part] = np.isin(hashes[part], np.frombuffer(b"".join(packs or ()), U64))
+            said[part] = np.isin(cells[part], np.frombuffer(b"".join(packs or ()), U64))
         pick = np.flatnonzero(said)
         if not len(pick):
             continue
@@ -263,7 +323,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, cell_bits: int = CELL_BITS) -> DataFrame:
     """Remove every word that a window covers whose 20 words also start earlier.
 
     Earlier means in a document with a smaller doc_id, or at an earlier word of the same
@@ -272,16 +332,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns of ``docs`` in ``doc``. Words are runs without ASCII white space. A NULL, empty
     or shorter text has no window. Rows without a doc_id lose nothing and cause no
     removal. Rows with the same doc_id are the same document: their texts should be equal,
-    and each loses what any of them loses.
+    and each loses what any of them loses. Fewer ``cell_bits`` (at most 20) estimate more
+    windows to be repeated and change no result.
     """
     bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-bytes_ // SHARD_BYTES))
     rows = docs.select("doc_id", "text")
-    sketches = rows.filter("doc_id is not null and text is not null").mapInArrow(functools.partial(_sketch, shards=shards), SKETCH)
-    reported = sketches.groupBy("shard").applyInPandas(_estimate, "doc_id long, packed binary")
+    sketches = rows.filter("doc_id is not null and text is not null").mapInArrow(functools.partial(_sketch, shards=shards, bits=cell_bits), SKETCH)
+    reported = sketches.groupBy("shard").applyInPandas(lambda rows: _estimate(rows, cell_bits), "doc_id long, packed binary")
     reported = reported.groupBy("doc_id").agg(F.collect_list("packed").alias("reported"))
     # The two joins deal out the same rows by the same key, so Spark shuffles the texts once.
-    windows = rows.join(reported, "doc_id", "left").mapInArrow(functools.partial(_windows, shards=shards), WINDOWS)
+    windows = rows.join(reported, "doc_id", "left").mapInArrow(functools.partial(_windows, shards=shards, bits=cell_bits), WINDOWS)
     covered = windows.groupBy("shard").applyInPandas(_covers, "doc_id long, packed binary")
     covered = covered.groupBy("doc_id").agg(F.collect_list("packed").alias("covered"))
     others = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")

@@ -71,6 +71,42 @@ def test_substring_dedup(spark, monkeypatch, shard_bytes):
     assert sum(r[1] for r in got.values()) > 500
 
 
+def test_merged_sketch_never_falls_short():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 64, 400, dtype=np.uint64, endpoint=False)
+    times = np.concatenate((np.ones(300, int), np.full(100, 2)))
+    # Each occurrence goes to one of five chunks; a chunk may hold one twice.
+    held = [[] for _ in range(5)]
+    for h, n in zip(hashes, times):
+        for c in rng.integers(0, 5, n):
+            held[c].append(h)
+    for bits, wrong in ((20, 0), (8, 50)):
+        sketches = []
+        for part in held:
+            found, n = np.unique(np.array(part, np.uint64), return_counts=True)
+            sketches.append((substrings.cells_of(found[n == 1], bits), substrings.cells_of(found[n > 1], bits)))
+        guess = substrings.estimates(substrings.merge(sketches, bits), substrings.cells_of(hashes, bits), bits)
+        assert (guess >= times).all()
+        over = int((guess > times).sum())
+        assert over == 0 if wrong == 0 else over >= wrong
+    assert substrings._unpack([substrings._pack(substrings.cells_of(hashes, 20))]).tolist() == substrings.cells_of(hashes, 20).tolist()
+
+
+def test_exact_pass_removes_what_the_sketch_says_wrongly(spark, monkeypatch):
+    """A narrow sketch estimates windows to be repeated that are not; the result stays the same."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 50_000)
+    docs = C.documents(spark)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    found = Words([t.encode() if t is not None else None for _, t in texts])
+    hashes, times = np.unique(substrings.anchors(found)[2], return_counts=True)
+    bits = 4
+    cells = substrings.cells_of(hashes, bits)
+    merged = substrings.merge([(cells[times == 1], cells[times > 1])], bits)
+    assert (substrings.estimates(merged, cells, bits)[times == 1] == 2).mean() > 0.5
+    got = {r.doc.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs, cell_bits=bits).collect()}
+    assert got == plain_repeats(texts)
+
+
 def test_substring_dedup_odd_rows(spark):
     text = " ".join(str(i) for i in range(25))
     rows = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text), (None, None)], "doc_id long, text string")
