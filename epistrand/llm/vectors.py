@@ -36,12 +36,13 @@ def dimension(vectors: DataFrame) -> int:
     return (vectors.agg(F.max(F.octet_length("vec"))).first()[0] or 8) // 8
 
 
-def matrix(column, dim: int) -> np.ndarray:
-    """Vectors as the rows of a matrix."""
+def matrix(column, dim: int, kind: str = "<f8") -> np.ndarray:
+    """Vectors, stored as bytes of numbers of that kind, as the rows of a matrix."""
     parts = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
     out = np.zeros((len(parts), dim))
     for row, data in zip(out, parts):
-        row[: len(data) // 8] = np.frombuffer(data, "<f8")
+        numbers = np.frombuffer(data, kind)
+        row[: len(numbers)] = numbers
     return out
 
 

@@ -122,16 +122,54 @@ def test_embedding_near_duplicates_in_a_dense_group(spark):
     assert [g[2] for g in got] == [root[i] for i in range(n)]
 
 
-def test_cells_rule_out_far_blocks():
-    """Tight cells that stand apart are not compared, cells that may touch are."""
-    angles = np.array([0.0, 0.6, 2.0])
-    pivots = np.column_stack((np.cos(angles), np.sin(angles)))
-    layout = (pivots, np.full(3, 0.1), np.array([0, 1, 3]), np.array([1, 2, 1]))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64())], ["id"])
-    value = type("Value", (), {"value": layout})
-    rows = [tuple(r.values()) for b in embeddingdedup._partners([batch], value, 0.45) for r in b.to_pylist()]
-    assert {r[1:] for r in rows} == {(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2), (3, 3)}
-    assert sorted(rows) == sorted({(b, low, high) for _, low, high in rows for b in (low, high)})
+def test_pivots_stand_apart():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 16))
+    x[50:150] = x[50] + 0.3 * rng.standard_normal((100, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    kept = embeddingdedup.spread(x, 0.7)
+    near = kept @ kept.T - 2 * np.eye(len(kept))
+    assert near.max() < 0.7
+    assert ((x @ kept.T).max(axis=1) >= 0.7 - 1e-12).all()  # what was left out lies near one that was kept
+
+
+def test_candidates_share_pivots():
+    """Each pair is a candidate in one list only, that of the smallest pivot that both name."""
+    rng = np.random.default_rng(4)
+    named = np.array([rng.permutation(300)[:5] % 40 for _ in range(60)])
+    named = np.array([list(dict.fromkeys(r))[:5] for r in named if len(set(r)) == 5], "<u2")
+    met = {}
+    for pivot in range(40):
+        rows = np.flatnonzero((named == pivot).any(axis=1))
+        if len(rows):
+            of = embeddingdedup._candidates(named[rows], np.arange(len(rows)), pivot, 2)
+            for k, row in enumerate(rows):
+                for other in rows[of(k)]:
+                    if row < other:
+                        met[row, other] = met.get((row, other), 0) + 1
+    want = set()
+    for a in range(len(named)):
+        for b in range(a + 1, len(named)):
+            if len(set(named[a]) & set(named[b])) >= 2 or named[a][0] == named[b][0]:
+                want.add((a, b))
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_embedding_near_duplicates_recall_of_pairs(spark):
+    """Pairs that stand alone just above the threshold, among vectors in random directions."""
+    rng = np.random.default_rng(9)
+    n, dim = 6000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((n // 2, dim))
+    side -= (side * x[::2]).sum(1)[:, None] * x[::2]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.901, 0.92, n // 2)[:, None]
+    x[1::2] = cos * x[::2] + np.sqrt(1 - cos * cos) * side
+    data = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))})
+    got = embeddingdedup.near_duplicates(spark.createDataFrame(data)).collect()
+    assert sum(r.n_links for r in got) / n >= 0.99
+    assert all(r.component_id in (r.vec_id, r.vec_id - r.vec_id % 2) and r.n_links <= 1 for r in got)
 
 
 def test_embedding_near_duplicates_odd_tables(spark):
