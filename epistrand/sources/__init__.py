@@ -16,4 +16,5 @@ from epistrand.sources.files import (  # noqa: F401
 )
 from epistrand.sources.logs import append_log, read_log  # noqa: F401
 from epistrand.sources.keyed import drop_stored, store_by_key  # noqa: F401
+from epistrand.sources.longrows import join_segments, write_long_rows  # noqa: F401
 from epistrand.sources.store import local_table, materialize, name_relation, release, scoped_tables  # noqa: F401

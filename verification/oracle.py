@@ -390,6 +390,7 @@ SELECTS |= {
     "restrict_to_filtered": SELECTS["restrict_to"],
     "split_sequences_stored": SELECTS["split_sequences"],
     "write_splits": SELECTS["split_sequences"],
+    "join_segments": SELECTS["patient_sequences"],
     "encode_mlm_tails": SELECTS["encode_mlm"],
     "encode_classifier_tails": SELECTS["encode_classifier"],
 }

@@ -13,7 +13,7 @@ from epistrand.functions import arrays as A
 from epistrand.functions.scalars import event_kind
 from epistrand.operators import audit, censor, cohort, distinct, encode, evaluate, events, normalize, sequences, vocab
 from epistrand.plans import horizon_test_sets, patient_runs, patient_sequences, store_sequences
-from epistrand.sources import materialize
+from epistrand.sources import join_segments, materialize
 from verification import io
 from verification.views import THRESHOLDS, Views
 
@@ -324,6 +324,7 @@ QUERIES = {
     "split_sequences_stored": lambda i: _sequence_text(
         cohort.split_sequences(store_sequences(i.runs, io.BUCKETS), i.split), "patid", "label", "split"
     ),
+    "join_segments": lambda i: _sequence_text(join_segments(i.segments), "patid"),
     "write_splits": lambda i: _sequence_text(io.written_splits(i.seqs, i.split), "patid", "label", "split"),
     "undersample": lambda i: cohort.undersample(i.cohort, SEED),
     "shuffle": lambda i: cohort.shuffle(i.cohort, SEED),
