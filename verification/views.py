@@ -1,6 +1,7 @@
 """The raw inputs of the library, derived from the test tables (see FIXTURES.md)."""
 
 import functools
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +21,25 @@ def _test(number):
     return _pick(_TESTS, number)
 
 
+def _vital_codes():
+    return [n.replace("VITAL_", "VITALS:").removesuffix("_MEAN") for n in _VITALS]
+
+
 def _vital(number):
-    return _pick([n.replace("VITAL_", "VITALS:").removesuffix("_MEAN") for n in _VITALS], number)
+    return _pick(_vital_codes(), number)
 
 
-def _value(names, number, turn):
-    """A value below, at or above an edge: ``number`` tells the test and ``turn`` which value."""
+def _around(names):
+    """Values below, at and above the edges of each test, as many for each."""
     around = [[str(e + d) if d else str(e) for e in BIN_EDGES[n] for d in (-0.5, 0, 0.5)] for n in names]
     most = max(map(len, around))
-    lists = [",".join(v[i % len(v)] for i in range(most)) for v in around]
+    return [[v[i % len(v)] for i in range(most)] for v in around]
+
+
+def _value(names, number, turn):
+    """A value below, at or above an edge: ``number`` tells the test and ``turn`` which value."""
+    lists = [",".join(v) for v in _around(names)]
+    most = len(_around(names)[0])
     return f"split_part({_pick(lists, number)}, ',', CAST(({turn}) % {most} + 1 AS INT))"
 
 
@@ -82,6 +93,22 @@ SELECT user_id AS run_id, event_id AS cnt, value AS loss FROM events""",
 _TABLES = ["customer", "part", "orders", "lineitem", "events"]
 
 
+def _array(values):
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else _array(v) for v in values) + ")"
+
+
+def _listed(text: str) -> str:
+    """The same view with the texts to pick from as arrays that Spark makes once, instead of splitting them for each row."""
+    for names in (_TESTS, _VITALS):
+        lists, values = [",".join(v) for v in _around(names)], _array(_around(names))
+        joined = re.escape("split_part('" + "|".join(lists) + "', '|', ")
+        # Of a list in a list: the numbers of both, neither with a comma in it.
+        text = re.sub(rf"split_part\({joined}(CAST\([^,]*? AS INT\))\), ',', ", rf"try_element_at(try_element_at({values}, \1), ", text)
+    for values in (_TESTS, _vital_codes()):
+        text = text.replace("split_part('" + "|".join(values) + "', '|', ", f"try_element_at({_array(values)}, ")
+    return text
+
+
 @functools.cache
 def _open(spark, application, path):
     """The table, not its rows: saves reading the schema again for every query."""
@@ -102,7 +129,7 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        text = VIEWS[name]
+        text = _listed(VIEWS[name])
         for table in _TABLES:
             text = text.replace(f"FROM {table} ", "FROM {%s} " % table).replace(
                 f"JOIN {table} ", "JOIN {%s} " % table
