@@ -110,3 +110,14 @@ def test_one_narrow_scan_for_hot_keys(spark, tmp_path):
     narrow = spark.read.parquet(str(tmp_path / "t")).filter("key is not null").select(F.col("key").alias("_key"))
     plan = narrow.mapInArrow(skew._summarize, "_key long, _n long")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<key:bigint>" in plan and "Exchange" not in plan
+
+
+def test_small_lookup_from_a_large_table_is_broadcast(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    bound = spark.range(10**6).select((F.col("id") % 5).alias("k"), F.lit(1).alias("v"))
+    lookup = bound.groupBy("k").agg(F.sum("v").alias("v"))
+    joined = skew.lookup_join(rows, lookup, "k", "left", max_bytes=1_000_000, bound=bound)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    counted = lambda df: {tuple(r) for r in df.groupBy("k", "v").count().collect()}
+    assert counted(joined) == counted(rows.join(lookup, "k", "left"))
