@@ -10,7 +10,7 @@ from epistrand import sources
 from epistrand.operators import bloom, cohort
 from epistrand.operators import sequences as S
 from epistrand.plans import store_sequences
-from epistrand.sources import manifest
+from epistrand.sources import manifest, store
 from helpers import rows
 
 
@@ -148,3 +148,12 @@ def test_scopes_release_their_tables(spark):
             c = where(sources.materialize(spark.range(3)))
             1 / 0
     assert not os.path.exists(c)
+
+
+def test_files_of_intermediate_tables_end_after_some_rows(spark, monkeypatch):
+    """Else a split of a narrow table holds more rows than a task can group in memory."""
+    monkeypatch.setattr(store, "FILE_ROWS", 10)
+    table = sources.materialize(spark.range(95).coalesce(1))
+    assert len(table.inputFiles()) == 10
+    assert rows(table) == rows(spark.range(95))
+    sources.release(table)
