@@ -40,8 +40,12 @@ def attach_labels(sequences: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _join_narrow(sequences, narrow):
-    """Join on the patient; a narrow side that is known to be small is broadcast."""
-    return sequences.join(F.broadcast(narrow) if fits_in_broadcast(narrow) else narrow, "patid")
+    """Join on the patient; a narrow side that is known to be small is broadcast.
+
+    A larger one is hashed per partition, so that the wide rows stream by and are never sorted.
+    """
+    small = fits_in_broadcast(narrow)
+    return sequences.join(F.broadcast(narrow) if small else narrow.hint("shuffle_hash"), "patid")
 
 
 def patient_labels(dx: DataFrame, mapping: dict = LABEL_OF_GROUP) -> DataFrame:

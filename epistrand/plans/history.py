@@ -67,9 +67,13 @@ def patient_runs(events: DataFrame, dx_dates: DataFrame, demographics: DataFrame
 def store_sequences(runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Collect the runs of each patient and store the sequences by ``patid`` (see ``sources.store_by_key``).
 
-    The shuffle that brings a sequence together is also the one that deals it to its bucket.
+    The shuffle that brings a sequence together is also the one that deals it to its bucket. It has
+    the multiple of ``buckets`` partitions that comes next below the usual number, or ``buckets``:
+    each lies in one bucket, and few buckets do not make tasks that sort and collect a whole one.
     """
-    sequences = collect_runs(runs, _PATIENT, deal=(buckets, "PATIENT_ID")).withColumnRenamed("PATIENT_ID", "patid")
+    usual = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = buckets * max(1, usual // buckets)
+    sequences = collect_runs(runs, _PATIENT, deal=(parts, "PATIENT_ID")).withColumnRenamed("PATIENT_ID", "patid")
     return store_by_key(sequences, "patid", buckets, dealt=True)
 
 

@@ -13,8 +13,8 @@ def store_by_key(df: DataFrame, key: str, buckets: int = BUCKETS, dealt: bool =
     """Write ``df`` as a table in ``buckets`` hash buckets of ``key``, each sorted by it, and read it back.
 
     A join or grouping by the key then shuffles only the other side. ``dealt`` says that the
-    rows are already hash partitioned by the key into as many partitions, and are not
-    shuffled for storing either. The table lies in the checkpoint folder under a name of its
+    rows are already hash partitioned by the key into as many partitions or a multiple of
+    that, and are not shuffled for storing either; a bucket has a file for each of its partitions. The table lies in the checkpoint folder under a name of its
     own; :func:`drop_stored` removes it.
     """
     spark = df.sparkSession

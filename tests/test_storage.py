@@ -157,3 +157,31 @@ def test_files_of_intermediate_tables_end_after_some_rows(spark, monkeypatch):
     assert len(table.inputFiles()) == 10
     assert rows(table) == rows(spark.range(95))
     sources.release(table)
+
+
+def test_few_buckets_do_not_make_few_tasks(spark, runs):
+    plain = rows(S.collect_runs(runs, ["PATIENT_ID"]).withColumnRenamed("PATIENT_ID", "patid"))
+    stored = store_sequences(runs, 2)  # the session has eight shuffle partitions
+    files = [os.path.basename(f) for f in stored.inputFiles()]
+    assert len({f.split("-")[1] for f in files}) > 2 and len({f.split("_")[1][:5] for f in files}) == 2
+    assert rows(stored) == plain
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ids = stored.select("patid").withColumn("n", F.lit(1))
+        assert rows(stored.join(ids, "patid").drop("n")) == plain  # Spark relies on the buckets here
+        grouped = stored.groupBy("patid").count()
+        assert "Exchange" not in nodes(grouped) and grouped.filter("count = 1").count() == len(plain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sources.drop_stored(stored)
+
+
+def test_wide_rows_are_not_sorted_for_a_large_split(spark, runs, monkeypatch):
+    sequences = S.collect_runs(runs, ["PATIENT_ID"]).withColumnRenamed("PATIENT_ID", "patid")
+    split = spark.range(40).select(F.concat(F.lit("p"), F.col("id")).alias("patid"), F.lit(0).alias("label"), F.lit("train").alias("split"))
+    want = rows(cohort.split_sequences(sequences, split))
+    monkeypatch.setattr(cohort, "fits_in_broadcast", lambda narrow: False)
+    joined = cohort.split_sequences(sequences, split)
+    assert "ShuffledHashJoin [patid" in nodes(joined) and "SortMergeJoin [patid" not in nodes(joined)
+    assert rows(joined) == want
