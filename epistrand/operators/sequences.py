@@ -29,8 +29,11 @@ def count_events(events: DataFrame, *keys: str) -> DataFrame:
 
     ``day`` is the number of days since 1970-01-01.
     """
-    day = F.coalesce(F.unix_date("DATE"), F.lit(_NO_DAY)).alias("day")
-    return events.groupBy("PATIENT_ID", day, "CODE", *keys).agg(F.count("*").alias("n"))
+    return events.groupBy("PATIENT_ID", day_number(F.col("DATE")).alias("day"), "CODE", *keys).agg(F.count("*").alias("n"))
+
+
+def day_number(date):
+    return F.coalesce(F.unix_date(date), F.lit(_NO_DAY))
 
 
 def year_of_day(day):
@@ -145,6 +148,31 @@ def collect_runs(
     )
 
 
+def collect_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per sequence from counted events ``keys, day, CODE, n, sep_age``, of which all of a day have its age.
+
+    As ``collect_runs`` of what ``place`` makes of them, without their positions.
+    """
+    piece = F.struct("day", F.col("CODE").isNull().alias("no_code"), "CODE", F.col("n").cast("int").alias("copies"), "sep_age")
+    pieces = counts.select(*keys, piece.alias("piece")).repartition(*keys).sortWithinPartitions(*keys)
+    collected = pieces.groupBy(*keys).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    # The day of the piece after each; none follows the last one.
+    after = F.concat(F.slice(F.col("pieces.day"), F.lit(2), F.size("pieces")), F.array(F.lit(None).cast("int")))
+    rows = collected.select(*keys, "pieces", after.alias("after"))
+
+    def code(p, next_day):
+        repeated = F.array_repeat(p["CODE"], p["copies"])
+        return F.when(p["day"].eqNullSafe(next_day), repeated).otherwise(F.concat(repeated, F.array(F.lit(SEP))))
+
+    def age(p, next_day):
+        return F.array_repeat(p["sep_age"], p["copies"] + F.when(p["day"].eqNullSafe(next_day), 0).otherwise(1))
+
+    codes, ages = (F.flatten(F.zip_with("pieces", "after", f)) for f in (code, age))
+    n_tokens = F.aggregate("pieces", F.col("n_visits"), lambda n, p: n + p["copies"])
+    rows = rows.select(*keys, "pieces", F.size(F.array_distinct("pieces.day")).cast("long").alias("n_visits"), codes.alias("code"), ages.alias("age"))
+    return rows.select(*keys, n_tokens.alias("n_tokens"), "n_visits", "code", "age")
+
+
 def build_visits(events: DataFrame, segment_tokens: int | None = None) -> DataFrame:
     """One row per patient and day: the sorted codes of the day and their ages, closed by SEP.
 

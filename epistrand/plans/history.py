@@ -14,7 +14,15 @@ from epistrand.functions.scalars import years_before
 from epistrand.operators.censor import earliest_index, reference_dates
 from epistrand.operators.cohort import restrict_to
 from epistrand.operators.events import age_text, one_row_per_patient
-from epistrand.operators.sequences import collect_runs, count_events, lay_out, place, year_of_day
+from epistrand.operators.sequences import (
+    collect_counts,
+    collect_runs,
+    count_events,
+    day_number,
+    lay_out,
+    place,
+    year_of_day,
+)
 from epistrand.schemas import HORIZON_YEARS
 from epistrand.sources.keyed import BUCKETS, store_by_key
 
@@ -48,9 +56,34 @@ def _censored_days(counts, dx_dates):
 def patient_sequences(
     events: DataFrame, dx_dates: DataFrame, demographics: DataFrame, segment_tokens: int | None = None
 ) -> DataFrame:
-    """The same as ``censor_at_index``, ``add_age`` and ``build_sequences`` one after the other."""
-    runs = patient_runs(events, dx_dates, demographics)
-    return collect_runs(runs, _PATIENT, segment_tokens).withColumnRenamed("PATIENT_ID", "patid")
+    """The same as ``censor_at_index``, ``add_age`` and ``build_sequences`` one after the other.
+
+    Whole sequences need no positions: counted events come together with their day, and day and
+    code order them. So no layout is made, and only codes, days and ages are shuffled.
+    """
+    if segment_tokens is not None:
+        runs = patient_runs(events, dx_dates, demographics)
+        return collect_runs(runs, _PATIENT, segment_tokens).withColumnRenamed("PATIENT_ID", "patid")
+    days = _known_days(events, dx_dates, demographics)
+    # See sequences.place for the hint.
+    dated = count_events(events).join(days.hint("merge"), ["PATIENT_ID", "day"])
+    return collect_counts(dated, _PATIENT).withColumnRenamed("PATIENT_ID", "patid")
+
+
+def _known_days(events, dx_dates, demographics):
+    """``PATIENT_ID, day, sep_age`` of the days that are left after censoring, as :func:`_aged_days` has them.
+
+    The days of a patient are one row here, made map-side, so that few rows meet the index dates and ages.
+    """
+    day = day_number(F.col("DATE"))
+    held = events.groupBy("PATIENT_ID").agg(F.collect_set(day).alias("_days"))
+    known = held.join(earliest_index(dx_dates), "PATIENT_ID", "left").join(one_row_per_patient(demographics), "PATIENT_ID")
+    index = F.unix_date("Index_Date")
+    left = known.withColumn("_days", F.filter("_days", lambda d: index.isNull() | (d < index)))
+    last = F.array_max(F.filter("_days", lambda d: year_of_day(d).isNotNull()))
+    born = left.withColumn("_birth", year_of_day(last) - F.col("AGE_AT_END"))
+    rows = born.select("PATIENT_ID", "_birth", F.explode("_days").alias("day"))
+    return rows.select("PATIENT_ID", "day", age_text(year_of_day(F.col("day")), F.col("_birth")).alias("sep_age"))
 
 
 def patient_runs(events: DataFrame, dx_dates: DataFrame, demographics: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """What the plans must look like to hold up on large tables."""
 
+import datetime as D
 import os
+import random
 import re
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epistrand.operators import cohort, encode, evaluate
 from epistrand.operators import sequences as Q
-from epistrand.plans import patient_sequences
+from epistrand.plans import patient_runs, patient_sequences
 from epistrand.sources import materialize
 from verification.queries import QUERIES, Inputs, run
 
@@ -88,3 +90,32 @@ def test_binning_does_not_shuffle(spark):
     shuffled = re.findall(r"Exchange hashpartitioning\(([^,]*),", physical(rows))
     assert all(s.startswith(("name#", "loinc#", "synonym#")) for s in shuffled), shuffled
     assert i.crosswalk.count() > 100
+
+
+def odd_history(spark):
+    """Events, index dates and ages with copies, missing dates, codes and patients, and patients censored whole."""
+    rng = random.Random(3)
+
+    def day():
+        return rng.choice([None] + [D.date(2000, 1, 1) + D.timedelta(rng.randrange(900)) for _ in range(6)])
+
+    rows = [(rng.choice([None] + [f"p{i}" for i in range(30)]), day(), rng.choice([None, "SEP", "", *"abc"])) for _ in range(1500)]
+    rows += rng.choices(rows, k=800) + [("p1", D.date(1999, 5, 5), "a")] * 200
+    index = [(f"p{i}", day()) for i in range(20)] + [(None, day()), ("p3", D.date(1990, 1, 1))]
+    ages = [(f"p{i}", None if i % 9 == 0 else 3 + 2 * i) for i in range(1, 35)] + [(None, 3)]
+    return (
+        spark.createDataFrame(rows, "PATIENT_ID string, DATE date, CODE string"),
+        spark.createDataFrame(index, "PATIENT_ID string, EARLIEST_DX date"),
+        spark.createDataFrame(ages, "PATIENT_ID string, AGE_AT_END int"),
+    )
+
+
+def test_whole_sequences_need_no_layout(spark):
+    """Neither windows nor their shuffles, and the same rows as by way of positions."""
+    inputs = [materialize(t) for t in odd_history(spark)]
+    found = patient_sequences(*inputs)
+    plan = physical(found)
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 7
+    placed = Q.collect_runs(patient_runs(*inputs), ["PATIENT_ID"]).withColumnRenamed("PATIENT_ID", "patid")
+    assert found.dtypes == placed.dtypes
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
