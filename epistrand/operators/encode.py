@@ -154,9 +154,8 @@ def _known(rows, vocab, ages, max_bytes):
     if fits_in_broadcast(vocab, max_bytes):
         unknown_age = ages.filter(F.col("token") == UNK).select("idx").scalar().alias("_unknown")
         found = look_up_all(rows, "code", vocab, "code_id", lambda t, i: F.coalesce(i, _special_id(UNK)))
-        found = look_up_all(found, "age", ages, "age_id").select("*", unknown_age)
-        age_ids = F.transform("age_id", lambda i: F.coalesce(i, F.col("_unknown")))
-        return found.select(*others, "code_id", age_ids.alias("age_id"), F.transform("code", _is_sep).alias("is_sep"))
+        found = look_up_all(found.select("*", unknown_age), "age", ages, "age_id", lambda t, i: F.coalesce(i, F.col("_unknown")))
+        return found.select(*others, "code_id", "age_id", F.transform("code", _is_sep).alias("is_sep"))
     long, others = _explode(rows, ["code", "age"])
     long = _look_up(_look_up(long, vocab, "code", "code_id", max_bytes), ages, "age", "age_id", max_bytes)
     unknown_age = ages.filter(F.col("token") == UNK).select("idx").scalar()
