@@ -3,7 +3,8 @@
 A text is cut by the tokenizer's pattern, and each word becomes an array of byte pieces, in
 hexadecimal. A fold over that array joins the neighbours of lowest rank until no two
 neighbours are a token; ranks come from a literal map in the plan. Decoding looks each id up
-in a literal array and joins the pieces.
+in a literal array and joins the pieces. Literals are rows of a local relation: Spark keeps the
+text of every plan, and prints other literals there with all they hold.
 
 The commonest distinct words of the whole table, at most ``COMMON`` of them, are folded once
 and looked up in a scalar of the plan; the fold encodes all other words where they stand. So
@@ -17,12 +18,13 @@ import json
 import sys
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistrand.functions.arrays import bind
 from epistrand.operators.lookup import find, lookup_value
-from epistrand.sources import materialize
+from epistrand.sources import local_table, materialize
 
 RANKS = "byte_bpe_50k.tiktoken"
 # So many of the commonest words are sent to all tasks, at most COMMON_BYTES bytes each.
@@ -41,23 +43,32 @@ def _place(first: Column) -> Column:
     return first.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
 
 
-class Lookup:
-    """A map that is part of the plan: an array of buckets by checksum, each a map of a few keys.
+class Literal:
+    """A value that is part of the plan, but not of its text. It reaches tasks as one block of memory."""
+
+    def __init__(self, value: object, kind: pa.DataType):
+        self.held = pa.array([value], kind)
+
+    def scalar(self, spark: SparkSession) -> Column:
+        """The value as a scalar subquery, which lambdas cannot hold: select it, and name it once."""
+        return local_table(spark, _literal=self.held).select(self.read("_literal")).scalar()
+
+    def read(self, name: str) -> Column:
+        return F.col(name)
+
+
+class Lookup(Literal):
+    """A literal map: an array of buckets by checksum, each a map of a few keys.
 
     Spark searches a map from its start; a bucket has about one key.
     """
 
-    def __init__(self, values: dict[str, object], kind: str):
+    def __init__(self, values: dict[str, int]):
         self.buckets = 1 << max(len(values) - 1, 1).bit_length()
-        held: list[dict] = [{} for _ in range(self.buckets)]
+        held: list[list] = [[] for _ in range(self.buckets)]
         for key, value in values.items():
-            held[zlib.crc32(key.encode()) % self.buckets][key] = value
-        text = json.dumps(held, separators=(",", ":"), ensure_ascii=False)
-        self.literal = F.from_json(F.lit(text), f"array<map<string,{kind}>>")
-
-    def scalar(self, spark: SparkSession) -> Column:
-        """The literal by way of a scalar subquery: tasks get it as one block of memory instead of many objects."""
-        return spark.range(1).select(self.literal.alias("_literal")).scalar()
+            held[zlib.crc32(key.encode()) % self.buckets].append((key, value))
+        super().__init__(held, pa.list_(pa.map_(pa.string(), pa.int32())))
 
     def get(self, bound: Column, key: Column) -> Column:
         """The value of a key, or NULL; ``bound`` is the literal as a lambda's variable."""
@@ -65,24 +76,36 @@ class Lookup:
         return F.try_element_at(F.get(bound, bucket), key)
 
 
+class Pieces(Literal):
+    """Bytes by id. Spark joins strings only, and does not look into them."""
+
+    def __init__(self, values: list[bytes]):
+        super().__init__(values, pa.list_(pa.binary()))
+
+    def read(self, name: str) -> Column:
+        return F.col(name).cast("array<string>")
+
+    @functools.cached_property
+    def column(self) -> Column:
+        """The same as an expression; it is in the text of the plan, which takes megabytes of the driver."""
+        text = json.dumps([v.hex() for v in self.held[0].as_py()], separators=(",", ":"))
+        return F.transform(F.from_json(F.lit(text), "array<string>"), lambda x: F.unhex(x).cast("string"))
+
+
 class Vocabulary:
     """A rank file as literals, with what the fold must know about it."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = Lookup({t.hex().upper(): r for t, r in ranks.items()}, "int")
+        self.ranks = Lookup({t.hex().upper(): r for t, r in ranks.items()})
         # Neighbouring bytes of any token: elsewhere a word can be cut.
         pairs = {t[i : i + 2].hex().upper() for t in ranks for i in range(len(t) - 1)}
-        self.pairs = Lookup(dict.fromkeys(pairs, 1), "int")
-        self.single = Lookup({str(r): 1 for r in _one_at_a_time(ranks)}, "int")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        self.pairs = Lookup(dict.fromkeys(pairs, 1))
+        self.single = Lookup({str(r): 1 for r in _one_at_a_time(ranks)})
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex().upper()
-        self.pieces = self._array(pieces)
-        self.little_endian = self._array([i.to_bytes(4, "little").hex() for i in range(len(pieces))])
-
-    @staticmethod
-    def _array(values: list[str]) -> Column:
-        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<string>")
+            pieces[rank] = token
+        self.pieces = Pieces(pieces)
+        self.little_endian = Pieces([i.to_bytes(4, "little") for i in range(len(pieces))])
 
     @staticmethod
     @functools.cache
@@ -313,13 +336,29 @@ def _encode_words(v: Vocabulary, rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("_held", *values)], ids.alias("_ids")).drop("_words")
 
 
+def with_bytes(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Add to rows with ``ids`` their number, and what :func:`little_endian` and :func:`decode` make of them.
+
+    The columns are ``n_tokens``, ``little_endian`` and ``decode``. The literals do not enter the text of the plan.
+    """
+    v, spark = vocabulary or Vocabulary.load(), encoded.sparkSession
+    literals = {"little_endian": v.little_endian, "decode": v.pieces}
+    # Each literal is named once, so that Spark merges the last two projections and no row carries it.
+    # The ids are named twice, so that they are computed once, before.
+    rows = encoded.select("*", F.size("ids").alias("n_tokens"), *[t.scalar(spark).alias(f"_{n}") for n, t in literals.items()])
+    joined = [bind(F.col(f"_{n}"), lambda held: _join(F.col("ids"), held)).alias(n) for n in literals]
+    return rows.select(*encoded.columns, "n_tokens", *joined)
+
+
 def little_endian(ids: Column, vocabulary: Vocabulary | None = None) -> Column:
     """Ids as unsigned 32-bit numbers, the lowest byte first: one binary value."""
-    v = vocabulary or Vocabulary.load()
-    return bind(v.little_endian, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(held, i)), "")))
+    return bind((vocabulary or Vocabulary.load()).little_endian.column, lambda held: _join(ids, held))
 
 
 def decode(ids: Column, vocabulary: Vocabulary | None = None) -> Column:
     """The bytes that an array of ids stands for; an id that is no token stands for none."""
-    v = vocabulary or Vocabulary.load()
-    return bind(v.pieces, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(held, i), F.lit(""))), "")))
+    return bind((vocabulary or Vocabulary.load()).pieces.column, lambda held: _join(ids, held))
+
+
+def _join(ids: Column, held: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.get(held, i)), "").cast("binary")

@@ -122,13 +122,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ids = F.col("ids")
+    encoded = bpe.with_bytes(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return encoded.select(
         "doc.doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(bpe.little_endian(ids), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
+        F.sha2("little_endian", 256).alias("ids_sha256"),
+        F.sha2("decode", 256).alias("decoded_sha256"),
     )
 
 

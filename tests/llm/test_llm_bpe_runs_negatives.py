@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -76,6 +77,28 @@ def test_texts_are_not_shuffled(spark):
     assert plan.count("Exchange") <= 1 and "Python" not in plan and "Arrow" not in plan  # the one of the fixture
 
 
+def test_literals_are_not_in_the_text_of_plans(spark):
+    """Spark keeps the text of each plan; with megabytes of literals in it the driver ran out of memory."""
+    plan = queries.op13_byte_bpe(spark, SF)._jdf.queryExecution()
+    assert len(plan.toString()) < 500_000
+    # No row carries the literals: only the projection that uses a literal names it.
+    assert not re.search("AS _(little_endian|decode|ranks|pairs|single|held)#", plan.optimizedPlan().toString())
+
+
+def test_bytes_of_any_ids(spark):
+    """Bytes that are no UTF-8 stay; ids that are no token, and NULL, stand for nothing."""
+    v = bpe.Vocabulary({bytes([255 - i]): i for i in range(256)} | {b"\xff\x00": 300})
+    lists = [list(range(256)) + [300], [256, 299, -1, 301, 7], [], None]
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id int, ids array<int>")
+    want = [bytes(range(255, -1, -1)) + b"\xff\x00", bytes([248]), b"", None]
+    packed = [np.array(lists[0], "<u4").tobytes(), np.array([256, 299, 7], "<u4").tobytes(), b"", None]
+    by_column = rows.select("doc_id", "ids", bpe.little_endian(F.col("ids"), v).alias("little_endian"), bpe.decode(F.col("ids"), v).alias("decode"))
+    for got in (by_column, bpe.with_bytes(rows, v)):
+        found = {r.doc_id: r for r in got.collect()}
+        assert [found[i].ids for i in range(4)] == lists
+        assert [found[i].decode for i in range(4)] == want and [found[i].little_endian for i in range(4)] == packed
+
+
 def plain_runs(w):
     out = {}
     for q in range(1, len(w) // 4 + 1):
