@@ -185,3 +185,24 @@ def test_wide_rows_are_not_sorted_for_a_large_split(spark, runs, monkeypatch):
     joined = cohort.split_sequences(sequences, split)
     assert "ShuffledHashJoin [patid" in nodes(joined) and "SortMergeJoin [patid" not in nodes(joined)
     assert rows(joined) == want
+
+
+def shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Neither when the work ends nor when it fails, and the session's settings are as before."""
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, held = spark.conf.get(name), shuffle_files(spark)
+    table = store.materialize(counts)
+    assert not shuffle_files(spark) - held
+    failing = counts.repartition(3, "n").select(F.when(F.col("k") >= 0, F.raise_error(F.lit("no"))).cast("int").alias("k"))
+    with pytest.raises(Exception, match="no"):
+        store.materialize(failing)
+    assert not shuffle_files(spark) - held
+    assert spark.conf.get(name) == setting
+    # What is asked of the same plan afterwards is computed again.
+    assert rows(counts) == rows(table)
