@@ -92,6 +92,32 @@ def place(counts: DataFrame, layout: DataFrame, keys: list[str], carry=("n_token
     )
 
 
+def place_in_order(counts: DataFrame, keys: list[str], also: tuple = ()) -> DataFrame:
+    """The positions of :func:`lay_out` and :func:`place` together, by one shuffle: of the counts, by ``keys``.
+
+    ``counts`` has ``keys, day, CODE, n``. Adds ``at, visit, closes, n_tokens, n_visits`` and, for
+    each name and column in ``also``, the column's greatest value in the sequence. A sequence passes
+    through one task in order; the windows keep no more of it in memory than fits, and spill.
+    """
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("day", F.col("CODE").asc_nulls_last())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = counts.select(
+        "*",
+        (~F.lag("day").over(order).eqNullSafe(F.col("day"))).cast("long").alias("_opens"),
+        (~F.lead("day").over(order).eqNullSafe(F.col("day"))).alias("closes"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
+        F.sum("n").over(every).alias("_events"),
+        *[F.max(column).over(every).alias(name) for name, column in also],
+    )
+    visit = (F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("visit")
+    placed = placed.select("*", visit, F.sum("_opens").over(every).alias("n_visits"))
+    # A separator follows each visit.
+    positions = {"at": F.col("_before") + F.col("visit"), "n_tokens": F.col("_events") + F.col("n_visits")}
+    return placed.withColumns(positions).drop("_opens", "_before", "_events")
+
+
 def last_tokens(runs: DataFrame, n: int) -> DataFrame:
     """The runs of the last ``n`` tokens of each sequence, cut at its border, so that no more is ever collected."""
     first = F.greatest(F.col("n_tokens") - n, F.lit(0))
@@ -107,12 +133,14 @@ def collect_tails(runs: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def collect_runs(
-    runs: DataFrame, keys: list[str], segment_tokens: int | None = None, deal: tuple[int, str] | None = None
+    runs: DataFrame, keys: list[str], segment_tokens: int | None = None, deal: tuple[int, str] | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """Collect runs of equal tokens into one row per sequence, or per segment of it.
 
     With ``deal``, a number and one of the keys, the result is hash partitioned by that key
-    into so many partitions, as a table stored by key needs it.
+    into so many partitions, as a table stored by key needs it. ``together`` says that the runs
+    of a sequence are in one partition, as ``place_in_order`` leaves them; no run is shuffled then.
     """
     at, n, closes = F.col("at"), F.col("n"), F.col("closes").cast("long")
     group, first, copies, has_sep = list(keys), at, n, F.col("closes")
@@ -130,7 +158,8 @@ def collect_runs(
     group += ["n_tokens", "n_visits"]
     piece = F.struct(first.alias("at"), "code", "age", "sep_age", copies.cast("int").alias("copies"), has_sep.alias("sep"), "visit")
     # Rows arrive in groups, so that each array is filled in one go.
-    pieces = runs.select(*group, piece.alias("piece")).repartition(*(deal or group)).sortWithinPartitions(*group)
+    pieces = runs.select(*group, piece.alias("piece"))
+    pieces = (pieces if together else pieces.repartition(*(deal or group))).sortWithinPartitions(*group)
     collected = pieces.groupBy(*group).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def spread(value, closing):

@@ -21,6 +21,7 @@ from epistrand.operators.sequences import (
     day_number,
     lay_out,
     place,
+    place_in_order,
     year_of_day,
 )
 from epistrand.schemas import HORIZON_YEARS
@@ -62,8 +63,8 @@ def patient_sequences(
     code order them. So no layout is made, and only codes, days and ages are shuffled.
     """
     if segment_tokens is not None:
-        runs = patient_runs(events, dx_dates, demographics)
-        return collect_runs(runs, _PATIENT, segment_tokens).withColumnRenamed("PATIENT_ID", "patid")
+        runs = _runs_in_order(events, dx_dates, demographics)
+        return collect_runs(runs, _PATIENT, segment_tokens, together=True).withColumnRenamed("PATIENT_ID", "patid")
     days = _known_days(events, dx_dates, demographics)
     # See sequences.place for the hint.
     dated = count_events(events).join(days.hint("merge"), ["PATIENT_ID", "day"])
@@ -86,6 +87,24 @@ def _known_days(events, dx_dates, demographics):
     return rows.select("PATIENT_ID", "day", age_text(year_of_day(F.col("day")), F.col("_birth")).alias("sep_age"))
 
 
+def _runs_in_order(events, dx_dates, demographics):
+    """The rows of :func:`patient_runs` with those of a patient in one partition, by one shuffle of the counted events.
+
+    For segments, which take all tokens of a sequence: brought together before they have positions,
+    the events are shuffled once more instead of three times, and never as pieces of segments.
+    """
+    known = count_events(events).join(earliest_index(dx_dates), "PATIENT_ID", "left")
+    known = known.join(one_row_per_patient(demographics), "PATIENT_ID")
+    index = F.unix_date("Index_Date")
+    # A missing date is never before an index date; its day number is above all others.
+    left = known.filter(index.isNull() | (F.col("day") < index)).drop("Index_Date")
+    last = F.when(year_of_day(F.col("day")).isNotNull(), F.col("day"))
+    placed = place_in_order(left, _PATIENT, [("_last", last)])
+    birth = year_of_day(F.col("_last")) - F.col("AGE_AT_END")
+    age = age_text(year_of_day(F.col("day")), birth)
+    return placed.withColumnRenamed("CODE", "code").withColumns({"age": age, "sep_age": age})
+
+
 def patient_runs(events: DataFrame, dx_dates: DataFrame, demographics: DataFrame) -> DataFrame:
     """The tokens of :func:`patient_sequences` in long form (see ``sequences.place``), keyed by ``PATIENT_ID``.
 

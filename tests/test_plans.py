@@ -119,3 +119,17 @@ def test_whole_sequences_need_no_layout(spark):
     placed = Q.collect_runs(patient_runs(*inputs), ["PATIENT_ID"]).withColumnRenamed("PATIENT_ID", "patid")
     assert found.dtypes == placed.dtypes
     assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_segments_take_two_shuffles_of_events(spark, size):
+    """Counted, and brought together by patient; never as pieces of segments. The same rows as by way of a layout."""
+    inputs = [materialize(t) for t in odd_history(spark)]
+    found = patient_sequences(*inputs, size)
+    plan = physical(found)
+    # The others are those of the index dates and ages.
+    assert plan.count("Exchange hashpartitioning") <= 4
+    assert not re.search(r"Exchange hashpartitioning\([^)]*start#", plan)
+    placed = Q.collect_runs(patient_runs(*inputs), ["PATIENT_ID"], size).withColumnRenamed("PATIENT_ID", "patid")
+    assert found.dtypes == placed.dtypes
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
