@@ -209,6 +209,9 @@ def build_visits(events: DataFrame, segment_tokens: int | None = None) -> DataFr
     and ``start`` in the visit if it is cut into segments.
     """
     counts = count_events(events, "AGE")
+    date = F.when(F.col("_day") != F.lit(_NO_DAY), F.date_from_unix_date("_day")).alias("DATE")
+    if segment_tokens is None:
+        return _whole_visits(counts).select("PATIENT_ID", date, "n_tokens", "code", "age")
     days = _days(counts, ["PATIENT_ID"])
     zero = F.lit(0).cast("long")
     layout = days.withColumns({"start": zero, "visit": zero, "n_tokens": F.col("n_day") + 1, "n_visits": F.lit(1)})
@@ -217,9 +220,32 @@ def build_visits(events: DataFrame, segment_tokens: int | None = None) -> DataFr
         counts.withColumn("_day", F.col("day")), layout.withColumn("_day", F.col("day")),
         ["PATIENT_ID", "_day"], segment_tokens,
     )
-    date = F.when(F.col("_day") != F.lit(_NO_DAY), F.date_from_unix_date("_day"))
-    start = [] if segment_tokens is None else ["start"]
-    return visits.select("PATIENT_ID", date.alias("DATE"), *start, "n_tokens", "code", "age")
+    return visits.select("PATIENT_ID", date, "start", "n_tokens", "code", "age")
+
+
+def _whole_visits(counts):
+    """One row per patient and day from counted events, which come together by one shuffle.
+
+    The codes order a day, so it needs no positions. Events without a patient are left out, as
+    :func:`place` does.
+    """
+    fields = [F.col("CODE").isNull().alias("no_code"), "CODE", F.col("AGE").isNull().alias("no_age"), "AGE"]
+    piece = F.struct(*fields, F.col("n").cast("int").alias("copies"))
+    pieces = counts.filter(F.col("PATIENT_ID").isNotNull()).select("PATIENT_ID", F.col("day").alias("_day"), "n", piece.alias("piece"))
+    # Rows arrive in groups, so that each array is filled in one go.
+    pieces = pieces.repartition("PATIENT_ID", "_day").sortWithinPartitions("PATIENT_ID", "_day")
+    visits = pieces.groupBy("PATIENT_ID", "_day").agg(
+        F.sort_array(F.collect_list("piece")).alias("pieces"),
+        (F.sum("n") + 1).alias("n_tokens"),
+        F.min("piece.AGE").alias("sep_age"),
+    )
+
+    def spread(field, closing):
+        repeated = F.flatten(F.transform("pieces", lambda p: F.array_repeat(p[field], p["copies"])))
+        return F.concat(repeated, F.array(closing))
+
+    codes, ages = spread("CODE", F.lit(SEP)), spread("AGE", F.col("sep_age"))
+    return visits.select("PATIENT_ID", "_day", "n_tokens", codes.alias("code"), ages.alias("age"))
 
 
 def _days(counts, keys):

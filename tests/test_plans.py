@@ -133,3 +133,19 @@ def test_segments_take_two_shuffles_of_events(spark, size):
     placed = Q.collect_runs(patient_runs(*inputs), ["PATIENT_ID"], size).withColumnRenamed("PATIENT_ID", "patid")
     assert found.dtypes == placed.dtypes
     assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
+
+
+def test_visits_take_two_shuffles(spark):
+    """Counted, and brought together by patient and day; the same rows as by way of positions."""
+    events = odd_history(spark)[0]
+    ages = F.when(F.pmod(F.xxhash64("DATE", "CODE"), F.lit(4)) > 0, F.pmod(F.xxhash64("CODE", "PATIENT_ID"), F.lit(90)).cast("string"))
+    aged = materialize(events.withColumn("AGE", ages))
+    found = Q.build_visits(aged)
+    plan = physical(found)
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "Window" not in plan
+    # The rows below the first are partial counts.
+    assert re.search(r"Exchange hashpartitioning\(PATIENT_ID#\d+, _groupingexpression#\d+, CODE#\d+, AGE#\d+, \d+\)[^\n]*\n[^\n]*partial_count", plan)
+    placed = Q.build_visits(aged, 10**6).drop("start")
+    assert found.dtypes == placed.dtypes
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
+    assert found.filter("DATE IS NULL").count() and found.filter(F.exists("code", lambda c: c.isNull())).count()
