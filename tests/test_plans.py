@@ -12,6 +12,7 @@ from epistrand.operators import cohort, encode, evaluate
 from epistrand.operators import sequences as Q
 from epistrand.plans import patient_runs, patient_sequences
 from epistrand.sources import materialize
+from helpers import shuffle_files
 from verification.queries import QUERIES, Inputs, run
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -149,3 +150,13 @@ def test_visits_take_two_shuffles(spark):
     assert found.dtypes == placed.dtypes
     assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
     assert found.filter("DATE IS NULL").count() and found.filter(F.exists("code", lambda c: c.isNull())).count()
+
+
+@pytest.mark.parametrize("name", ["mlm_mask_segments", "encode_mlm_segments"])
+def test_shared_tables_leave_no_shuffle_files(spark, name):
+    """Events, sequences, segments and vocabulary are stored before the query runs; their shuffles go one by one."""
+    Inputs.forget()
+    held = shuffle_files(spark)
+    found = run(name, spark, SF_DIR)
+    assert not shuffle_files(spark) - held
+    assert found.count() > 0

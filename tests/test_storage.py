@@ -11,7 +11,7 @@ from epistrand.operators import bloom, cohort
 from epistrand.operators import sequences as S
 from epistrand.plans import store_sequences
 from epistrand.sources import manifest, store
-from helpers import rows
+from helpers import rows, shuffle_files
 
 
 def nodes(df):
@@ -187,11 +187,6 @@ def test_wide_rows_are_not_sorted_for_a_large_split(spark, runs, monkeypatch):
     assert rows(joined) == want
 
 
-def shuffle_files(spark):
-    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
-
-
 def test_stored_tables_leave_no_shuffle_files(spark):
     """Neither when the work ends nor when it fails, and the session's settings are as before."""
     counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
