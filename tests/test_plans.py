@@ -134,6 +134,9 @@ def test_segments_take_two_shuffles_of_events(spark, size):
     placed = Q.collect_runs(patient_runs(*inputs), ["PATIENT_ID"], size).withColumnRenamed("PATIENT_ID", "patid")
     assert found.dtypes == placed.dtypes
     assert sorted(map(repr, found.collect())) == sorted(map(repr, placed.collect()))
+    twice = inputs[2].unionByName(inputs[2].filter("PATIENT_ID = 'p5'"))
+    with pytest.raises(Exception, match="several demographic rows of patient p5"):
+        patient_sequences(*inputs[:2], twice, size).collect()
 
 
 def test_visits_take_two_shuffles(spark):
